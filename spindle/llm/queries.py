@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spindle.llm import mixing
 from spindle.llm.common import table
 from spindle.llm.jaccard_join import jaccard_components
+from spindle.llm.token_files import END_ID, token_id_files
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_id_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mixing, op9_token_ids)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL}
