@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from spindle.llm import mixing
 from spindle.llm.common import table
 from spindle.llm.jaccard_join import jaccard_components
+from spindle.llm.language import identify_languages
+from spindle.llm.quality_rules import quality_rules
 from spindle.llm.token_files import END_ID, token_id_files
 
 
@@ -14,10 +16,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -28,7 +38,7 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mixing, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_mixing, op5_quality_rules, op9_token_ids)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL}
