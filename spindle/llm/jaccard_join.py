@@ -13,12 +13,16 @@ members.
   ``n - ceil(t n / 100) + 1`` members in one global order, rare before common:
   any linked pair shares a list.  The order only needs to be the same for all
   sets; how well it tells rare from common affects speed, never the result.
-  Lists with the same members are scanned once.  Short lists give candidate
-  pairs, at most ``SHORT_LIST`` / 2 for a list entry; long lists are cut into
-  blocks, and each pair of blocks is joined in memory by counting overlaps from
-  inverted lists (or, where that is cheaper, one matrix product), returning a
-  spanning forest of its links, so a group of copies never becomes a table of
-  pairs.
+  A first pass finds keys that occur twice, and a bitmap of bounded size keeps
+  the postings of others from being written.  Lists with the same members are
+  scanned once.  Short lists give candidate pairs, at most ``SHORT_LIST`` / 2 for
+  a list entry; long lists connect the sets of compatible sizes.  What candidates
+  connect meets in groups (of large ones, each long list's pairs of blocks and
+  each set with its partners): first sketches, the lowest part of each set, which
+  exclude pairs exactly, then whole texts of what is left.  In a group, overlaps
+  are counted from inverted lists in memory (or, where that is cheaper, by a
+  matrix product) and a spanning forest of the links comes back, so a group of
+  copies never becomes a table of pairs.
 * The *boundary* is the largest size for which enumerating subsets costs less
   than scanning lists.
 
@@ -42,8 +46,10 @@ from spindle.llm.components import components
 
 #: Candidate pairs come from lists of up to this many sets; longer lists are joined block by block.
 SHORT_LIST = 16
-#: Sets in a block of a long list.
+#: Sets in a block of a long list; candidates that connect fewer than twice as many sets are checked in one group.
 BLOCK = 1024
+#: Bits of the filter that keeps postings of repeated keys only (32 MB).
+FILTER_BITS = 1 << 28
 #: The most frequent shingles that the global order knows, all others count as rare.
 COMMON = 200_000
 #: A shingle is a candidate for these if it is in this many documents of a run of COUNT_BYTES of text ...
@@ -83,6 +89,8 @@ def signature(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
 _COUNTS = pa.schema([("token", pa.int64()), ("df", pa.int64())])
 _POSTINGS = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+_KEYS = pa.schema([("key", pa.int64())])
+_SKETCHES = pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -142,7 +150,9 @@ def _light_keys(values: np.ndarray, percent: int, boundary: int):
     return out
 
 
-def _postings(k: int, percent: int, boundary: int, common):
+def _postings(k: int, percent: int, boundary: int, common, bitmap):
+    """Without a bitmap the keys alone; with one, whole postings of the keys it has."""
+
     def run(batches):
         order = np.asarray(common.value)  # rarest first
         known = np.argsort(order)
@@ -172,37 +182,13 @@ def _postings(k: int, percent: int, boundary: int, common):
                         sigs.append(np.full(len(key), sig[d]))
                         sizes.append(np.full(len(key), n[d]))
                         places.append(place)
-                yield batch(_POSTINGS, np.concatenate(keys).view(np.int64), np.concatenate(sigs), np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32))
-
-    return run
-
-
-def _check_pairs(k: int, percent: int):
-    """Rows (a, b, text_a, text_b) -> the linked ones among them."""
-
-    def run(batches):
-        for b in batches:
-            u, v = np.asarray(b.column("a")), np.asarray(b.column("b"))
-            first, second = K.texts_of(b.column("text_a")), K.texts_of(b.column("text_b"))
-            good = np.zeros(len(u), dtype=bool)
-            i = 0
-            while i < len(u):  # both texts of some pairs, a few MB at a time
-                j = int(min(np.searchsorted(first.bounds, first.bounds[i] + K.SLICE_BYTES, "right"), np.searchsorted(second.bounds, second.bounds[i] + K.SLICE_BYTES, "right"))) - 1
-                j = max(i + 1, min(j, len(u)))
-                sets = []
-                for t in (first, second):
-                    c = t.bounds[i : j + 1]
-                    sets.append(K.shingle_sets(K.Texts(t.data[c[0] : c[-1]], c - c[0], t.valid[i:j]), k))
-                (x, xat), (y, yat) = sets
-                nx, ny = np.diff(xat), np.diff(yat)
-                pair = np.concatenate([np.repeat(np.arange(j - i), nx), np.repeat(np.arange(j - i), ny)])
-                both = np.concatenate([x, y])
-                o = np.lexsort((both, pair))
-                same = (both[o][1:] == both[o][:-1]) & (pair[o][1:] == pair[o][:-1])
-                shared = np.bincount(pair[o][1:][same], minlength=j - i)
-                good[i:j] = (shared > 0) & (100 * shared >= percent * (nx + ny - shared))
-                i = j
-            yield batch(_LINKS, u[good], v[good])
+                found = np.concatenate(keys).view(np.int64)
+                if bitmap is None:
+                    yield batch(_KEYS, found)
+                    continue
+                low = found & (64 * len(bitmap.value) - 1)
+                hit = (bitmap.value[low >> 6] >> (low & 63)) & 1 == 1
+                yield batch(_POSTINGS, found[hit], *(np.concatenate(c)[hit].astype(t) for c, t in ((sigs, np.int64), (sizes, np.int32), (places, np.int32))))
 
     return run
 
@@ -260,28 +246,136 @@ def forest_of(values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[in
     return out
 
 
-def _block_links(k: int, percent: int):
-    """All sets of a pair of blocks of one long list -> a forest of their links."""
+def _group_links(k: int, percent: int):
+    """All sets of one group -> a forest of their links."""
 
     def run(table: pa.Table) -> pa.Table:
         sigs = np.asarray(table.column("sig"))
-        _, once = np.unique(sigs, return_index=True)
-        texts = table.column("text").take(pa.array(once))
-        parts = [K.shingle_sets(p, k) for _, _, p in K.slices(K.texts_of(texts))]
+        parts = [K.shingle_sets(p, k) for _, _, p in K.slices(K.texts_of(table.column("text")))]
         values = np.concatenate([v for v, _ in parts])
-        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
+        n = np.concatenate([np.diff(a) for _, a in parts])
+        at = np.concatenate([[0], np.cumsum(n)])
+        own = signature(K.sums_in_docs(K.mix(values), at), n) == sigs  # else another text of the same doc_id
+        once = np.unique(np.where(own, sigs, np.int64(0)), return_index=True)[1]
+        once = np.sort(once[own[once]])
+        keep = np.zeros(len(n), dtype=bool)
+        keep[once] = True
+        values, at, s = values[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]), sigs[once]
         links = np.array(forest_of(values, at, percent), dtype=np.int64).reshape(-1, 2)
-        s = sigs[once]
         return pa.Table.from_batches([batch(_LINKS, s[links[:, 0]], s[links[:, 1]])], schema=_LINKS)
 
     return run
 
 
+def sketch_size(n, percent: int):
+    """Lowest members of a set of size n in its sketch: enough that unlike sets differ there by more than a linked pair may in all."""
+    return np.minimum(n, (n * 1.85 * (100 - percent) / (100 + percent)).astype(np.int64) + 2)
+
+
+def _sketches(k: int, percent: int):
+    """The first 32 bits of each set's lowest members."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, part in K.slices(K.texts_of(b.column("text"))):
+                values, at = K.shingle_sets(part, k)
+                n = np.diff(at)
+                sig = signature(K.sums_in_docs(K.mix(values), at), n)
+                m = sketch_size(n, percent)
+                low = (values >> np.uint64(32)).astype("<u4")
+                yield batch(_SKETCHES, sig, n.astype(np.int32), [low[at[d] : at[d] + m[d]].tobytes() for d in range(part.n)])
+
+    return run
+
+
+def near_forest(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that their sketches don't exclude.
+
+    Up to the smaller of two sketches' largest members both sets are known; where
+    they differ there by more members than a linked pair may in all, the pair is out.
+    """
+    sketches = [np.unique(s) for s in sketches]
+    top = np.array([1 << 33 if len(s) == k or not len(s) else int(s[-1]) for s, k in zip(sketches, n, strict=True)])
+    order = np.argsort(top, kind="stable")
+    sketches, n, top = [sketches[o] for o in order], n[order], top[order]
+    size = np.array([len(s) for s in sketches])
+    values, doc = np.concatenate(sketches), np.repeat(np.arange(len(n)), size)
+    _, token = np.unique(values, return_inverse=True)
+    by = np.argsort(token, kind="stable")
+    lists = np.split(doc[by], np.cumsum(np.bincount(token))[:-1]) if len(token) else []
+    own = np.split(token, np.cumsum(size)[:-1])
+    forest, out = _Forest(len(n)), []
+    for i in range(1, len(n)):
+        shared = np.bincount(np.concatenate([lists[t] for t in own[i]]), minlength=len(n))[:i] if len(own[i]) else np.zeros(i, int)
+        differ = np.searchsorted(sketches[i], top[:i], side="right") + size[:i] - 2 * shared
+        o = overlap(n[i], n[:i], percent)
+        for j in np.flatnonzero((o <= np.minimum(n[i], n[:i])) & (differ <= n[i] + n[:i] - 2 * o)):
+            if forest.join(i, int(j)):
+                out.append((int(order[i]), int(order[j])))
+    return out
+
+
+def _group_near(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        sigs = np.asarray(table.column("sig"))
+        n = np.asarray(table.column("n")).astype(np.int64)
+        sketches = [np.frombuffer(x, "<u4") for x in table.column("sketch").to_pylist()]
+        links = np.array(near_forest(sketches, n, percent), dtype=np.int64).reshape(-1, 2)
+        return pa.Table.from_batches([batch(_LINKS, sigs[links[:, 0]], sigs[links[:, 1]])], schema=_LINKS)
+
+    return run
+
+
 def shingle_sets(docs: DataFrame, words: int = 4) -> DataFrame:
     """``(doc_id, n_shingles, sig)`` of every row."""
     return docs.select("doc_id", "text").mapInArrow(_sets(words), "doc_id long, n_shingles long, sig long")
 
 
+def _repeated(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the low bits of all keys that occur twice or more, of at most ``FILTER_BITS`` bits."""
+    twice = stored(keys.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * twice.count()).bit_length()))
+    low = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = twice.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    found = words.toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[np.asarray(found.column("word"))] = np.asarray(found.column("bits"))
+    return bitmap
+
+
+def _groups(edges: DataFrame, name: str) -> DataFrame:
+    """``(sig, root, size, whole)`` of all ends of edges: their component, its size, and whether it can be one group."""
+    roots = components(edges, name)
+    grouped = roots.union(roots.select("root", "root").distinct())
+    sized = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
+    return stored(grouped.join(sized, "root").select(F.col("vertex").alias("sig"), "root", "size", (F.col("size") <= 2 * BLOCK).alias("whole")), "groups")
+
+
+def _wholes(group: DataFrame) -> DataFrame:
+    none = F.lit(-1)
+    return group.where("whole").select(F.lit(0).alias("kind"), F.col("root").alias("key"), none.alias("i"), none.alias("j"), "sig")
+
+
+def _blocks(entries: DataFrame, kind: int) -> DataFrame:
+    """``(key, sig, size)`` -> a row for each pair of blocks of a key that an entry is in."""
+    return (
+        entries.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(F.lit(kind).alias("kind"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig")
+    )
+
+
+def _linked_by_lists(long_entries: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect all sets of compatible sizes in a list.  Compatible sizes lie in one size band or two adjacent ones."""
+    band = F.floor(F.log("n") / float(np.log(100 / percent)))
+    banded = long_entries.select("key", "sig", band.alias("band"))
+    heads = banded.groupBy("key", "band").agg(F.min("sig").alias("head"))
+    inside = banded.join(heads, ["key", "band"]).select(F.col("head").alias("u"), F.col("sig").alias("v"))
+    up = heads.select("key", (F.col("band") + 1).alias("band"), F.col("head").alias("u")).join(heads, ["key", "band"]).select("u", F.col("head").alias("v"))
+    return inside.union(up)
+
+
 def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int) -> DataFrame:
     """A subset of all links ``(u, v)`` between signatures that connects whatever the links connect.
 
@@ -292,46 +386,50 @@ def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int
     texts = semi_by_id(docs.select("doc_id", "text"), vertices, "doc_id")
     counts = texts.select("text").mapInArrow(_common_in_runs(words, COMMON_IN_RUN), "token long, df long")
     common = counts.groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= COMMON_IN_ALL).orderBy(F.desc("df"), "token").limit(COMMON)
-    order = np.array([r.token for r in common.collect()], dtype=np.int64).view(np.uint64)[::-1].copy()
-    postings = texts.select("text").mapInArrow(_postings(words, percent, boundary, spark.sparkContext.broadcast(order)), "key long, sig long, n int, pos int")
-    postings = stored(postings, "postings")
+    order = spark.sparkContext.broadcast(np.array([r.token for r in common.collect()], dtype=np.int64).view(np.uint64)[::-1].copy())
+    keys = texts.select("text").mapInArrow(_postings(words, percent, boundary, order, None), "key long")
+    bitmap = spark.sparkContext.broadcast(_repeated(keys))
+    postings = stored(texts.select("text").mapInArrow(_postings(words, percent, boundary, order, bitmap), "key long, sig long, n int, pos int"), "postings")
 
     lists = postings.groupBy("key").agg(
         F.count("*").alias("size"), F.min("sig").alias("head"), F.max("sig").alias("tail"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("kind"),
         F.sum(F.hash("sig").cast("long")).alias("members"),
     ).where("head <> tail")
+    lists = stored(lists, "lists")
     subsets = lists.where("kind = -1 OR (kind = -2 AND n0 < n1)").select("key", "head")
     by_subset = postings.where("pos < 0").join(subsets, "key").where("sig <> head").select(F.col("head").alias("u"), F.col("sig").alias("v"))
-    lists = lists.where("kind >= 0").groupBy("members", "size", "head", "tail").agg(F.min("key").alias("key"))
-    entries = stored(postings.where("pos >= 0").join(lists.select("key", "size"), "key"), "entries")
+    scanned = lists.where("kind >= 0").groupBy("members", "size", "head", "tail").agg(F.min("key").alias("key"))
+    entries = stored(postings.where("pos >= 0").join(scanned.select("key", "size"), "key"), "entries")
 
-    a, b = (entries.where(F.col("size") <= SHORT_LIST).select("key", *(F.col(c).alias(c + x) for c in ("sig", "n", "pos"))) for x in "ab")
+    short = entries.where(F.col("size") <= SHORT_LIST)
+    a, b = (short.select("key", *(F.col(c).alias(c + x) for c in ("sig", "n", "pos"))) for x in "ab")
     fits = (F.col("na") * 100 >= percent * F.col("nb")) & (F.col("nb") * 100 >= percent * F.col("na"))
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     place = 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= need
-    pairs = stored(a.join(b, "key").where((F.col("siga") < F.col("sigb")) & fits & place).select(F.col("siga").alias("a"), F.col("sigb").alias("b")).distinct(), "pairs")
-
-    named = vertices.select("sig", "doc_id")
-    long_entries = entries.where(F.col("size") > SHORT_LIST).select("key", "sig", "size")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(long_entries.select("sig")).distinct().join(named, "sig")
-    wanted = stored(wanted, "wanted")
-    found = semi_by_id(texts, wanted, "doc_id").join(wanted, "doc_id").select("sig", "text").dropDuplicates(["sig"])
-    found = stored(found, "found")
-    checked = (
-        pairs.join(found.withColumnsRenamed({"sig": "a", "text": "text_a"}), "a")
-        .join(found.withColumnsRenamed({"sig": "b", "text": "text_b"}), "b")
-        .mapInArrow(_check_pairs(words, percent), "u long, v long")
-    )
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = (
-        long_entries.withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig")
-        .join(found, "sig")
-    )
-    from_blocks = dealt.groupBy("key", "i", "j").applyInArrow(_block_links(words, percent), "u long, v long")
-    return by_subset.union(checked).union(from_blocks)
+    pairs = stored(a.join(b, "key").where((F.col("siga") < F.col("sigb")) & fits & place).select(F.col("siga").alias("u"), F.col("sigb").alias("v")).distinct(), "pairs")
+    long_entries = entries.where(F.col("size") > SHORT_LIST)
+
+    # First sketches meet, in groups that bring all candidates together: whatever candidates connect,
+    # or of larger groups each list's blocks and each set with its partners.
+    group = _groups(pairs.union(_linked_by_lists(long_entries, percent)), "candidates")
+    rest = group.where("NOT whole").select("sig")
+    apart = pairs.join(rest.withColumnRenamed("sig", "u"), "u")
+    none = F.lit(-1)
+    partners = apart.select(F.col("u").alias("key"), F.explode(F.array("u", "v")).alias("sig")).distinct().select(F.lit(1).alias("kind"), "key", none.alias("i"), none.alias("j"), "sig")
+    blocks = _blocks(long_entries.join(rest, "sig").select("key", "sig", "size"), 2)
+    members = stored(_wholes(group).union(partners).union(blocks), "members")
+    ids = vertices.select("sig", "doc_id")
+    sketched = members.select("sig").distinct().join(ids, "sig")
+    sketches = semi_by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), stored(sketched, "sketched"), "doc_id").select("text").mapInArrow(_sketches(words, percent), "sig long, n int, sketch binary").dropDuplicates(["sig"])
+    near = sketches.join(members, "sig").groupBy("kind", "key", "i", "j").applyInArrow(_group_near(percent), "u long, v long")
+
+    # Then whole texts, in groups of what the sketches left connected.
+    group = _groups(near, "near")
+    parts = group.where("NOT whole").select(F.col("root").alias("key"), "sig", "size")
+    members = stored(_wholes(group).union(_blocks(parts, 2)).join(ids, "sig"), "members")
+    found = semi_by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), members.select("doc_id").distinct(), "doc_id")
+    checked = found.join(members, "doc_id").groupBy("kind", "key", "i", "j").applyInArrow(_group_links(words, percent), "u long, v long")
+    return by_subset.union(checked)
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -351,3 +449,18 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_sig = labelled.join(least, "root").select("sig", "component_id")
     return sets.join(by_sig, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of their component, with all their columns.
+
+    Rows that share a doc_id count as one document, of which one row stays; rows
+    without a doc_id all stay.
+    """
+    found = stored(jaccard_components(docs, words, percent), "components")
+    known = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("kept"), F.count("*").alias("rows"))
+    kept = stored(known.where("kept = 1").select("doc_id", "rows"), "kept")
+    once = semi_by_id(docs, kept.where("rows = 1"), "doc_id")
+    more = semi_by_id(docs, kept.where("rows > 1"), "doc_id").dropDuplicates(["doc_id"])
+    columns = docs.columns
+    return once.select(columns).union(more.select(columns)).union(docs.where("doc_id IS NULL"))
