@@ -196,24 +196,47 @@ def leaks(texts: K.Texts, ps: Patterns) -> list[tuple[int, int, int, int, int]]:
 
 
 _SPAN = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
-_OUT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
+_OUT = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
 
 
 def _search(shared):
     def run(batches):
         for b in batches:
-            rows, ids = b.column("row"), b.column("doc_id")
+            ids = b.column("doc_id")
             for first, last, part in K.slices(K.texts_of(b.column("text"))):
                 found: list[list[dict]] = [[] for _ in range(part.n)]
                 for ps in shared.value:
                     for d, item, start, end, edits in leaks(part, ps):
                         found[d].append({"item_id": item, "start": start, "end": end, "edits": edits})
                 spans = [sorted(x, key=lambda s: (s["item_id"], s["start"], s["end"], s["edits"])) for x in found]
-                yield batch(_OUT, rows.slice(first, last - first), ids.slice(first, last - first).cast(pa.int64()), spans)
+                yield batch(_OUT, ids.slice(first, last - first), spans)
 
     return run
 
 
+def _shared_patterns(docs: DataFrame, benchmark: DataFrame, edits: float):
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text")
+    return docs.sparkSession.sparkContext.broadcast(patterns_of([(r.item_id, r.text) for r in rows.toLocalIterator()], edits))
+
+
+def _clean(shared):
+    def run(batches):
+        for b in batches:
+            keep = np.ones(len(b), dtype=bool)
+            for first, _, part in K.slices(K.texts_of(b.column("text"))):
+                for ps in shared.value:
+                    keep[[first + d for d, *_ in leaks(part, ps)]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """The rows of ``docs`` without any leaked region, with all their columns."""
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(_clean(_shared_patterns(docs, benchmark, edits)), docs.schema)
+
+
 def leaked_spans(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """``(doc_id, contaminated, item_ids, spans)`` of every row of ``docs(doc_id, text, ...)``.
 
@@ -222,10 +245,8 @@ def leaked_spans(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     bytes are not tested; without items nothing is contaminated.  Repeated and null
     doc_ids keep their rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    items = [(r.item_id, r.text) for r in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator()]
-    shared = spark.sparkContext.broadcast(patterns_of(items, edits))
-    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_search(shared), "row long, doc_id long, spans array<struct<item_id:long,start:long,end:long,edits:int>>")
+    prepare(docs.sparkSession)
+    shared = _shared_patterns(docs, benchmark, edits)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = rows.mapInArrow(_search(shared), "doc_id long, spans array<struct<item_id:long,start:long,end:long,edits:int>>")
     return found.select("doc_id", (F.size("spans") > 0).alias("contaminated"), F.array_sort(F.array_distinct("spans.item_id")).alias("item_ids"), "spans")

@@ -34,6 +34,9 @@ RIDGE = 1e-2
 #: Segments of one matrix product.
 ROWS = 1024
 UNKNOWN = "und"
+#: Of the soft maximum that turns decisions into scores, and the score below which a filter rejects a text.
+SHARPNESS = 4
+MIN_SCORE = 0.3
 _TABLE_BITS = 18
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -149,23 +152,33 @@ def decisions(model: Model, texts: K.Texts) -> np.ndarray:
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    letters = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], dtype=bool)
+    if model is None or not len(letters):
+        return [UNKNOWN] * len(letters), np.zeros(len(letters))
+    f = np.concatenate([decisions(model, part) for _, _, part in K.slices(K.texts_of(texts))]) * SHARPNESS
+    e = np.exp(f - f.max(axis=1, keepdims=True))
+    p = e / e.sum(axis=1, keepdims=True)
+    best = p.argmax(axis=1)
+    names = np.array(model.langs, dtype=object)[best]
+    return np.where(letters, names, UNKNOWN).tolist(), np.where(letters, p[np.arange(len(p)), best], 0.0)
+
+
 def _predict(shared):
     def run(batches):
-        model = shared.value
         for b in batches:
-            letters = np.array([t is not None and _LETTER.search(t) is not None for t in b.column("text").to_pylist()], dtype=bool)
-            for first, last, part in K.slices(K.texts_of(b.column("text"))):
-                known = letters[first:last]
-                if model is None:
-                    known, best, score = np.zeros(part.n, bool), np.zeros(part.n, int), np.zeros(part.n)
-                    names = np.array([UNKNOWN], dtype=object)
-                else:
-                    f = decisions(model, part) * 4
-                    e = np.exp(f - f.max(axis=1, keepdims=True))
-                    p = e / e.sum(axis=1, keepdims=True)
-                    best, names = p.argmax(axis=1), np.array(model.langs, dtype=object)
-                    score = np.where(known, p[np.arange(part.n), best], 0.0)
-                yield batch(_OUT, b.column("doc_id").slice(first, last - first).cast(pa.int64()), b.column("held_out").slice(first, last - first), np.where(known, names[best], UNKNOWN).tolist(), score)
+            names, score = predict(shared.value, b.column("text"))
+            yield batch(_OUT, b.column("doc_id"), b.column("held_out"), names, score)
+
+    return run
+
+
+def _accepted(shared, at_least: float):
+    def run(batches):
+        for b in batches:
+            names, score = predict(shared.value, b.column("text"))
+            yield b.filter(pa.array([n != UNKNOWN for n in names]) if not at_least else pa.array([n != UNKNOWN and s >= at_least for n, s in zip(names, score, strict=True)]))
 
     return run
 
@@ -198,3 +211,10 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(fit_languages(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted_documents(docs: DataFrame, at_least: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` that have a language with a score of ``at_least``, with all their columns."""
+    spark = docs.sparkSession
+    prepare(spark)
+    return docs.mapInArrow(_accepted(spark.sparkContext.broadcast(fit_languages(docs)), at_least), docs.schema)
