@@ -16,19 +16,21 @@ length 0.  A chunk can be read alone through the index.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindle.llm import kernel as K
 from spindle.llm.common import batch, partitions, prepare, table_path
 
 MAGIC = b"TPLN0001"
@@ -38,6 +40,9 @@ _BITS = 1 << 31
 _TAIL = struct.Struct("<6Q8s")
 _ENTRY = np.dtype([("offset", "<u8"), ("n_ids", "<u4"), ("planes", "<u4", (4,))])
 END_ID = 2
+#: Pieces that an encoder remembers, and texts that it hands to the library at once.
+CACHE_PIECES = 3_000_000
+ENCODE_TEXTS = 4096
 
 
 # --- the format ---------------------------------------------------------------
@@ -168,62 +173,127 @@ class TokenFileReader:
 class Encoder:
     """Ids of whole texts.
 
-    A byte-level tokenizer without normaliser splits before every single blank
-    between two other characters, whatever surrounds it, so each distinct piece of
-    a batch is encoded once by the library and its ids are gathered for all of
-    its places.  Texts in which blanks stand otherwise, and all texts of other
-    tokenizers, are encoded whole.
+    A byte-level tokenizer without normaliser always splits before a single blank
+    between two characters that are no white space.  So each distinct piece
+    between such blanks is encoded once by the library; up to ``CACHE_PIECES`` are
+    remembered by a 64-bit hash, checked by length and ends, and their ids are
+    gathered for all places of a slice.  Texts of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.checks, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pool, self.edges, self.n = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), 0
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        return flat, lengths
+        ids, lengths = [], []
+        for i in range(0, len(texts), ENCODE_TEXTS):  # an encoding holds much more than its ids
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + ENCODE_TEXTS], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *lengths])
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``_plain``, for many short pieces: those without inner white space are encoded in lines of one text.
+
+        A line feed between two such pieces is always a token of its own.
+        """
+        simple = [len(w := p.split()) == 1 and len(w[0]) >= len(p) - 1 and p.endswith(w[0]) for p in pieces]
+        lines = [p for p, s in zip(pieces, simple, strict=True) if s]
+        flat, _ = self._plain(["\n".join(lines[i : i + ENCODE_TEXTS]) + "\n" for i in range(0, len(lines), ENCODE_TEXTS)])
+        ends = np.flatnonzero(flat == self.line_feed)
+        if len(ends) != len(lines):
+            return self._plain(pieces)
+        lengths = np.zeros(len(pieces), np.int64)
+        simple = np.array(simple, dtype=bool)
+        lengths[simple] = np.diff(np.concatenate([[-1], ends])) - 1
+        odd_ids, lengths[~simple] = self._plain([p for p, s in zip(pieces, simple, strict=True) if not s])
+        out = np.zeros(int(lengths.sum()), np.uint32)
+        own = np.repeat(simple, lengths)
+        out[own], out[~own] = flat[flat != self.line_feed], odd_ids
+        return out, lengths
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the number of ids of each text (null: none)."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        n = len(texts)
-        if not self.by_piece:
-            return self._plain(texts.to_pylist())
-        odd = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False).astype(bool)
-        lengths = np.zeros(n, np.int64)
-        even_at, odd_at = np.flatnonzero(~odd), np.flatnonzero(odd)
-        odd_ids, lengths[odd_at] = self._plain(texts.take(pa.array(odd_at)).to_pylist())
-        parts = pc.split_pattern(texts.take(pa.array(even_at)), " ")
-        coded = parts.values.dictionary_encode()
-        codes = coded.indices.to_numpy()
-        bounds = np.asarray(parts.offsets)
-        words = coded.dictionary.to_pylist()
-        first = np.zeros(len(codes), dtype=bool)
-        first[bounds[:-1]] = True
-        ids, counts = self._plain([" " + w for w in words])  # inside a text
-        heads, head_code = np.unique(codes[first], return_inverse=True)
-        head_ids, head_counts = self._plain([words[i] for i in heads])  # at its start
-        pool = np.concatenate([ids, head_ids])
-        piece = codes.astype(np.int64)
-        piece[first] = len(words) + head_code
-        all_counts = np.concatenate([counts, head_counts])
-        starts = np.concatenate([[0], np.cumsum(all_counts)])[:-1]
-        per = all_counts[piece]
+    def _numbers(self, part: K.Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each piece in the pool; new ones are encoded."""
+        data = part.data
+        hashes = K.word_hashes(data, K.Words(start, end, start, start))
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        a, b = start[first], end[first]
+        checks = K.mix((b - a).astype(np.uint64) << np.uint64(32) | data[a].astype(np.uint64) << np.uint64(24) | data[b - 1].astype(np.uint64) << np.uint64(16) | data[(a + b) // 2].astype(np.uint64))
+        if self.n + len(distinct) > CACHE_PIECES:
+            self._forget()
+        i = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        found = (self.hashes[i] == distinct) & (self.checks[i] == checks) if len(self.hashes) else np.zeros(len(distinct), bool)
+        number = np.where(found, self.numbers[i], -1) if len(self.hashes) else np.full(len(distinct), -1)
+        new = np.flatnonzero(~found)
+        if len(new):
+            ids, lengths = self._pieces([data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(a[new], b[new], strict=True)])
+            edge = int(self.edges[self.n])
+            self.pool = _grown(self.pool.astype(np.uint32) if len(ids) and ids.max() > 0xFFFF else self.pool, edge + len(ids))
+            self.edges = _grown(self.edges, self.n + len(new) + 1)
+            self.pool[edge : edge + len(ids)] = ids
+            self.edges[self.n + 1 : self.n + 1 + len(new)] = edge + np.cumsum(lengths)
+            number[new] = np.arange(self.n, self.n + len(new))
+            at = np.searchsorted(self.hashes, distinct[new])
+            self.hashes, self.checks, self.numbers = (np.insert(x, at, v) for x, v in ((self.hashes, distinct[new]), (self.checks, checks[new]), (self.numbers, number[new])))
+            self.n += len(new)
+        return number[inverse]
+
+    def _slice(self, part: K.Texts) -> tuple[np.ndarray, np.ndarray]:
+        data, bounds = part.data, part.bounds
+        space = K._SPACE[data]
+        split = data == 0x20
+        split[1:] &= ~space[:-1]
+        split[:-1] &= ~space[1:]
+        edges = bounds[:-1][bounds[:-1] < len(data)]
+        last = bounds[1:][bounds[1:] > 0] - 1
+        split[last] = False
+        split[edges] = True  # a text begins a piece
+        start = np.flatnonzero(split)
+        end = np.append(start[1:], len(data))
+        number = self._numbers(part, start, end)
+        per = self.edges[number + 1] - self.edges[number]
         ends = np.cumsum(per)
         total = int(ends[-1]) if len(ends) else 0
-        gathered = pool[np.repeat(starts[piece] - (ends - per), per) + np.arange(total)] if total else np.zeros(0, np.uint32)
+        ids = self.pool[np.repeat(self.edges[number] - (ends - per), per) + np.arange(total)].astype(np.uint32) if total else np.zeros(0, np.uint32)
         edge = np.concatenate([[0], ends])
-        lengths[even_at] = edge[bounds[1:]] - edge[bounds[:-1]]
-        out = np.zeros(int(lengths.sum()), np.uint32)
-        where_even = np.repeat(~odd, lengths)
-        out[where_even], out[~where_even] = gathered, odd_ids
-        return out, lengths
+        at = np.searchsorted(start, bounds)
+        return ids, edge[at[1:]] - edge[at[:-1]]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the number of ids of each text (null: none)."""
+        if not self.by_piece:
+            return self._plain(texts.fill_null("").to_pylist())
+        parts = [self._slice(part) for _, _, part in K.slices(K.texts_of(texts), K.TABLE_BYTES)]
+        return np.concatenate([np.zeros(0, np.uint32), *(i for i, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each Python worker: what it remembers serves all its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
 
 
 def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +329,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, chunk_ids: int):
                 continue
             if writer is None:
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
-                encoder, sink = Encoder(tokenizer), fs.open_output_stream(path)
+                encoder, sink = encoder_of(tokenizer), fs.open_output_stream(path)
                 writer = TokenFileWriter(sink, chunk_ids)
             ids, lengths = with_end(*encoder.encode(b.column("text")), end_id)
             doc_ids = b.column("doc_id")
