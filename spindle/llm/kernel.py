@@ -14,8 +14,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one kernel call works on; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that one kernel call works on, so that its arrays stay in cache; a longer document is a slice of its own.
+SLICE_BYTES = 1 << 18
+#: Bytes up to which tables of powers are kept.
+TABLE_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -122,7 +124,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = SLICE_BYTES + 1
+    size = TABLE_BYTES + 1
     if n > size:
         return powers(_BASE, n), powers(_INVERSE, n)
     if size not in _POWERS:
@@ -172,13 +174,16 @@ def window_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int, short: bool) -
 
 def distinct_in_docs(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each document, with n+1 offsets."""
-    n = len(at) - 1
-    out, counts = [], np.zeros(n, dtype=np.int64)
-    for d in range(n):
-        u = np.unique(values[at[d] : at[d + 1]])
-        counts[d] = len(u)
-        out.append(u)
-    return (np.concatenate(out) if out else np.zeros(0, values.dtype)), np.concatenate([[0], np.cumsum(counts)])
+    if not len(values):
+        return values, np.zeros(len(at), dtype=np.int64)
+    values = values.copy()
+    edges = at.tolist()
+    for first, last in zip(edges[:-1], edges[1:], strict=True):
+        values[first:last].sort()
+    keep = np.ones(len(values), dtype=bool)
+    keep[1:] = values[1:] != values[:-1]
+    keep[at[:-1][at[:-1] < len(values)]] = True
+    return values[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
 def shingle_sets(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
