@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.ship import ship
+
 #: A set of ids or keys is broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -40,26 +40,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for an application, and bounds an Arrow batch of long texts."""
+    """Sends the package to the Python workers and bounds an Arrow batch of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    package = os.path.basename(top)
-    path = os.path.join(tempfile.mkdtemp(prefix=f"{package}-code-"), f"{package}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(d, name)
-                    z.write(full, os.path.join(package, os.path.relpath(full, top)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
+    ship(spark)
 
 
 def partitions(spark: SparkSession) -> int:
