@@ -27,7 +27,7 @@ TERMS = 400
 MIN_DOCS = 5
 #: A term is a whole word or its first bytes.
 PREFIXES = (5, 6, 7)
-RIDGE = 1.0
+RIDGE = 0.1
 #: English words of two groups by which the single gold label is split into chained categories.
 GROUPS = {
     "insult": ("idiot", "moron", "stupid", "clown", "loser"),
@@ -73,8 +73,11 @@ def features(texts: K.Texts, terms: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column (bias) is not penalised."""
+    """Ridge logistic regression by Newton steps; the last column (bias) is not penalised.  Without a positive row: never."""
     w = np.zeros(x.shape[1])
+    if not y.any():
+        w[-1] = -30.0
+        return w
     penalty = np.full(x.shape[1], RIDGE)
     penalty[-1] = 1e-6
     for _ in range(rounds):
@@ -95,30 +98,22 @@ def _with(x: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([x[:, :-1], *(e[:, None] for e in earlier), x[:, -1:]], axis=1)
 
 
-def fit_chain(presence: list[np.ndarray], y: np.ndarray) -> Chain:
-    """``presence``: distinct term hashes of each row; ``y``: rows x categories of 0 and 1."""
-    n = len(presence)
-    flat = np.concatenate(presence) if n else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(n), [len(p) for p in presence])
-    known, code = np.unique(flat, return_inverse=True)
-    df = np.bincount(code, minlength=len(known))
-    gain = np.zeros(len(known))
-    for c in y.T:  # log-likelihood ratio of term and category
-        a = np.bincount(code, c[row], minlength=len(known))
-        rate = (c.sum() + 0.5) / (n + 1)
-        inside = (a + 0.1 * rate) / (df + 0.1)
-        gain = np.maximum(gain, np.where(inside > rate, a * np.log(np.maximum(inside, 1e-12) / rate) + (df - a) * np.log(np.maximum(1 - inside, 1e-12) / (1 - rate)), 0))
-    keep = np.argsort(-np.where(df >= MIN_DOCS, gain, 0), kind="stable")[:TERMS]
-    keep = np.sort(keep[(df[keep] >= MIN_DOCS) & (gain[keep] > 0)])
-    terms = known[keep]
-    x = np.zeros((n, len(terms) + 1))
-    x[:, -1] = 1
-    column = np.full(len(known), -1)
-    column[keep] = np.arange(len(keep))
-    hit = column[code] >= 0
-    x[row[hit], column[code][hit]] = 1
+def best_limit(p: np.ndarray, y: np.ndarray, low: float = 0.15, high: float = 0.5) -> float:
+    """The limit between ``low`` and ``high`` at which out-of-fold predictions have the best F1, the highest of ties."""
+    best, limit = -1.0, high
+    for t in np.linspace(high, low, 36):
+        hit = p >= t
+        f1 = 2 * (hit & (y > 0)).sum() / max(hit.sum() + y.sum(), 1)
+        if f1 > best + 1e-12:
+            best, limit = f1, float(t)
+    return limit
+
+
+def fit_chain(terms: np.ndarray, x: np.ndarray, y: np.ndarray) -> Chain:
+    """``x``: presence of the terms, and a last column of 1; ``y``: rows x categories of 0 and 1."""
+    n = len(x)
     fold = np.arange(n) % FOLDS
-    earlier, weights, limits = [], [], []
+    earlier, weights = [], []
     for c in y.T:
         z = _with(x, earlier)
         out = np.zeros(n)
@@ -126,9 +121,8 @@ def fit_chain(presence: list[np.ndarray], y: np.ndarray) -> Chain:
             test = fold == f
             out[test] = _probability(z[test], logistic(z[~test], c[~test])) if test.any() and (~test).any() else 0
         weights.append(logistic(z, c))
-        limits.append(0.5)
         earlier.append(out)
-    return Chain(terms, weights, np.array(limits))
+    return Chain(terms, weights, np.array([best_limit(p, c) for p, c in zip(earlier, y.T, strict=True)]))
 
 
 def probabilities(chain: Chain, texts: K.Texts) -> np.ndarray:
@@ -140,17 +134,55 @@ def probabilities(chain: Chain, texts: K.Texts) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-_TRAIN = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int64()))])
+_COUNTS = pa.schema([("term", pa.int64()), ("df", pa.int64()), *((c, pa.int64()) for c in CHAIN)])
+_ROWS = pa.schema([("doc_id", pa.int64()), *((c, pa.int32()) for c in CHAIN), ("bits", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), *((f"p_{c}", pa.float64()) for c in CHAIN), ("is_toxic", pa.bool_())])
 
 
-def _presence(batches):
+def _categories(label: np.ndarray, h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Rows x categories: a group's holds where the gold label and one of its words do."""
+    out = [label * np.bincount(doc[np.isin(h, own)], minlength=n).astype(bool) for own in group_hashes().values()]
+    return np.stack([*out, label], axis=1).astype(np.int64)
+
+
+def _count_terms(batches):
     for b in batches:
-        for first, last, part in K.slices(K.texts_of(b.column("text"))):
+        labels = np.asarray(b.column("label"))
+        for first, last, part in K.slices(K.texts_of(b.column("text")), K.TABLE_BYTES):
             h, doc = terms_of(part)
-            o = np.argsort(doc, kind="stable")
-            parts = np.split(h[o], np.searchsorted(doc[o], np.arange(1, part.n)))
-            yield batch(_TRAIN, *(b.column(c).slice(first, last - first) for c in ("doc_id", "label")), [np.unique(p).view(np.int64) for p in parts])
+            y = _categories(labels[first:last], h, doc, part.n)
+            o = np.lexsort((h, doc))
+            h, doc = h[o], doc[o]
+            once = np.ones(len(h), dtype=bool)
+            once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            h, doc = h[once], doc[once]
+            known, code = np.unique(h, return_inverse=True)
+            yield batch(_COUNTS, known.view(np.int64), np.bincount(code, minlength=len(known)), *(np.bincount(code, c[doc], minlength=len(known)).astype(np.int64) for c in y.T))
+
+
+def _rows(shared):
+    def run(batches):
+        for b in batches:
+            labels = np.asarray(b.column("label"))
+            for first, last, part in K.slices(K.texts_of(b.column("text"))):
+                h, doc = terms_of(part)
+                y = _categories(labels[first:last], h, doc, part.n)
+                x = features(part, shared.value)[:, :-1].astype(np.uint8)
+                yield batch(_ROWS, b.column("doc_id").slice(first, last - first), *(c.astype(np.int32) for c in y.T), [row.tobytes() for row in np.packbits(x, axis=1)])
+
+    return run
+
+
+def telling_terms(counts: DataFrame, n: int, totals: list[int]) -> DataFrame:
+    """The ``TERMS`` terms with the largest log-likelihood ratio for any category that they raise."""
+    gain = F.lit(0.0)
+    for c, total in zip(CHAIN, totals, strict=True):
+        rate = (total + 0.5) / (n + 1)
+        a, df = F.col(c), F.col("df")
+        inside = (a + 0.1 * rate) / (df + 0.1)
+        value = a * F.log(F.greatest(inside, F.lit(1e-12)) / rate) + (df - a) * F.log(F.greatest(1 - inside, F.lit(1e-12)) / (1 - rate))
+        gain = F.greatest(gain, F.when(inside > rate, value).otherwise(0.0))
+    return counts.where(F.col("df") >= MIN_DOCS).withColumn("gain", gain).where("gain > 0").orderBy(F.desc("gain"), "term").limit(TERMS).select("term")
 
 
 def _score(shared):
@@ -173,21 +205,31 @@ def group_hashes() -> dict[str, np.ndarray]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
-    """The chain, from at most ``limit`` labelled rows.  A group's category holds where the gold label and one of its words do."""
-    rows = labelled_texts(docs, labels, "toxic", limit).mapInArrow(_presence, "doc_id long, label int, terms array<long>")
-    known = rows.orderBy(F.xxhash64("doc_id"), "label").limit(limit).toArrow().combine_chunks()
-    presence = [np.asarray(t.values).view(np.uint64) for t in known.column("terms").combine_chunks()] if known.num_rows else []
-    gold = np.asarray(known.column("label")).astype(float)
-    y = [gold * np.array([np.isin(h, p).any() for p in presence], dtype=float).reshape(-1) for h in group_hashes().values()]
-    return fit_chain(presence, np.stack([*y, gold], axis=1))
+    """The chain, from at most ``limit`` labelled rows.
+
+    Terms are counted and chosen in Spark; the driver gets the chosen ones and a bit
+    for each of them of every labelled row.
+    """
+    texts = labelled_texts(docs, labels, "toxic", limit)
+    counted = texts.mapInArrow(_count_terms, "term long, df long, " + ", ".join(f"{c} long" for c in CHAIN))
+    counts = counted.groupBy("term").agg(F.sum("df").alias("df"), *(F.sum(c).alias(c) for c in CHAIN))
+    n, positive = texts.agg(F.count("*"), F.sum("label")).first()
+    chosen = [r.term for r in telling_terms(counts, n, [positive or 0] * len(CHAIN)).collect()]
+    terms = np.sort(np.array(chosen, dtype=np.int64).view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    rows = texts.mapInArrow(_rows(shared), "doc_id long, " + ", ".join(f"{c} int" for c in CHAIN) + ", bits binary")
+    known = rows.orderBy(F.xxhash64("doc_id"), "bits").limit(limit).toArrow()
+    bits = np.frombuffer(b"".join(known.column("bits").to_pylist()), np.uint8).reshape(known.num_rows, -1) if known.num_rows else np.zeros((0, 0), np.uint8)
+    x = np.ones((known.num_rows, len(terms) + 1))
+    x[:, :-1] = np.unpackbits(bits, axis=1)[:, : len(terms)] if bits.size else 0
+    return fit_chain(terms, x, np.stack([np.asarray(known.column(c)).astype(float) for c in CHAIN], axis=1))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """A probability for each category, and whether any reaches its limit, of every row of ``docs(doc_id, text, ...)``.
 
-    A null text has no terms and gets the prior.  Without labelled rows all
-    probabilities are near the prior of an empty sample (one half at most counts as
-    toxic only from 0.5 on).  Repeated and null doc_ids keep their rows; extra
+    A null text has no terms and gets the prior.  Without labelled rows every
+    probability is 0 and nothing is toxic.  Repeated and null doc_ids keep their rows; extra
     columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
