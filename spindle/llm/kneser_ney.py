@@ -128,17 +128,31 @@ def model_table(counts: DataFrame) -> np.ndarray:
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols before the rest
         mask = (1 << (BITS * k)) - 1
         orders.append(orders[-1].select(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
-    p = np.full(1, 1.0 / SYMBOLS)
+    p = np.full(1, 1.0 / SYMBOLS, dtype=np.float32)
     for k in range(1, ORDER + 1):
         found = stored(_discounted(orders[ORDER - k], BITS), f"order{k}").toArrow()
-        gram, ctx = np.asarray(found.column("gram")), np.asarray(found.column("ctx"))
-        gamma = np.ones(1 << (BITS * (k - 1)))
-        gamma[ctx] = np.asarray(found.column("gamma"))
-        # the lower order's gram drops the first symbol
-        lower = np.tile(p, SYMBOLS) if k > 1 else np.full(SYMBOLS, p[0])
-        p = np.repeat(gamma, SYMBOLS) * lower
-        p[gram] += np.asarray(found.column("part"))
-    return np.log2(np.maximum(p, 2.0**-24)).astype(np.float16)
+        p = _interpolated(p, k, *(np.asarray(found.column(c)) for c in ("gram", "ctx", "part", "gamma")))
+    out = np.empty(len(p), np.float16)
+    for i in range(0, len(p), _BLOCK):
+        out[i : i + _BLOCK] = np.log2(np.maximum(p[i : i + _BLOCK], 2.0**-24))
+    return out
+
+
+_BLOCK = 1 << 18
+
+
+def _interpolated(lower: np.ndarray, k: int, gram: np.ndarray, ctx: np.ndarray, part: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+    """Probabilities of order ``k``: each gram's own share plus its context's weight times the lower order's, block by block."""
+    weight = np.ones(SYMBOLS ** (k - 1), dtype=np.float32)
+    weight[ctx] = gamma
+    out = np.empty(SYMBOLS**k, dtype=np.float32)
+    if k == 1:
+        out[:] = weight[0] * lower[0]
+    else:
+        for s, w in enumerate(weight.reshape(SYMBOLS, -1)):  # the lower order's gram lacks the first symbol
+            np.multiply(np.repeat(w, SYMBOLS), lower, out=out[s * len(lower) : (s + 1) * len(lower)])
+    out[gram] += part.astype(np.float32)
+    return out
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("perplexity", pa.float64())])
