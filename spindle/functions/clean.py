@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -49,20 +49,18 @@ def mended(text: str | None) -> str | None:
     return html.unescape(html.unescape(unicodedata.normalize("NFC", text))).strip()
 
 
-@F.pandas_udf("string")
-def _visible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(visible, na_action="ignore")
+def _by_batch(f: Callable[[str | None], str | None]):
+    """A pandas UDF of a text function; made where it is used, since workers import this module too."""
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(f, na_action="ignore")
 
-@F.pandas_udf("string")
-def _mended(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(mended, na_action="ignore")
+    return F.pandas_udf(run, "string")
 
 
 def clean_once(c: Column) -> Column:
-    return clean_end(strip(_mended(clean_symbols(_visible(clean_start(c))))))
+    return clean_end(strip(_by_batch(mended)(clean_symbols(_by_batch(visible)(clean_start(c))))))
 
 
 def clean_caption(c: Column) -> Column:

@@ -93,7 +93,11 @@ def rolled_up(answers: DataFrame, domain: str, category: str, correct: str) -> D
 def by_many_keys(answers: DataFrame, keys: list[str], lists: list[str], correct: str) -> DataFrame:
     """``(key, value, good, n, acc)`` of each value of each key, percent to two places; list keys count a row under each of their values."""
     each = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys)) if keys else F.array().cast("array<struct<key:string,value:string>>")
-    more = [F.transform(k, lambda v, k=k: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))) for k in lists]
+
+    def named(k: str) -> Column:
+        return F.transform(k, lambda v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")))
+
+    more = [named(k) for k in lists]
     long = answers.select(F.explode(F.concat(each, *more)).alias("kv"), F.col(correct).alias("good"))
     out = long.groupBy(F.col("kv.key").alias("key"), F.col("kv.value").alias("value")).agg(_n(F.col("good")).alias("good"), F.count("*").alias("n"))
     return out.withColumn("acc", F.format_string("%.2f", F.col("good") / F.col("n") * 100))
