@@ -27,7 +27,9 @@ ORDER = 4
 BITS = 6
 SYMBOLS = 1 << BITS
 #: Documents of a language are kept up to this quantile of its trusted documents' perplexity.
-QUANTILE = 0.98
+QUANTILE = 0.99
+#: Symbols at a language's median that steady the perplexity of short texts.
+SHORT = 60
 #: A language with fewer trusted documents uses the quantile of all.
 MIN_TRUSTED = 20
 _COUNT_BYTES = 32 << 20
@@ -183,9 +185,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def quality_by_perplexity(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``(doc_id, lang, n_symbols, perplexity, limit, kept)`` of every row of ``docs(doc_id, text, lang, ...)``.
+    """``(doc_id, lang, n_symbols, perplexity, steadied, limit, kept)`` of every row of ``docs(doc_id, text, lang, ...)``.
 
-    Trusted: rows that ``labels`` gives quality 1.  A null or empty text is one
+    Trusted: rows that ``labels`` gives quality 1.  What is compared with the limit
+    is steadied: as if ``SHORT`` symbols at the language's median came with the text,
+    since a few words say little.  A null or empty text is one
     boundary symbol.  A null language, and one with fewer than ``MIN_TRUSTED``
     trusted documents, uses the limit of all languages; without trusted text the
     model is uniform and nothing is kept.  Repeated and null doc_ids keep their
@@ -194,10 +198,24 @@ def quality_by_perplexity(docs: DataFrame, labels: DataFrame, quantile: float =
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     trusted = semi_by_id(docs.select("doc_id", "text"), good, "doc_id")
     scores = stored(perplexities(docs, trusted), "perplexities")
-    known = semi_by_id(scores, good, "doc_id")
-    q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    every = known.agg(q.alias("all_limit"))
-    by_lang = known.where("lang IS NOT NULL").groupBy("lang").agg(q.alias("lang_limit"), F.count("*").alias("trusted")).where(F.col("trusted") >= MIN_TRUSTED).drop("trusted")
-    joined = scores.crossJoin(F.broadcast(every)).join(by_lang, "lang", "left")  # one row beside each
-    limit = F.coalesce("lang_limit", "all_limit")
-    return joined.select("doc_id", "lang", "n_symbols", "perplexity", limit.alias("limit"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("kept"))
+    median = _by_language(semi_by_id(scores, good, "doc_id"), "perplexity", 0.5)
+    drawn = _with_limits(scores, median, "median")
+    few = F.lit(float(SHORT))
+    steadied = (F.log2("perplexity") * F.col("n_symbols") + F.log2("median") * few) / (F.col("n_symbols") + few)
+    steady = stored(drawn.withColumn("steadied", F.coalesce(F.pow(F.lit(2.0), steadied), F.col("perplexity"))).drop("median"), "steadied")
+    limits = _by_language(semi_by_id(steady, good, "doc_id"), "steadied", quantile)
+    out = _with_limits(steady, limits, "limit")
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", "steadied", "limit", F.coalesce(F.col("steadied") <= F.col("limit"), F.lit(False)).alias("kept"))
+
+
+def _by_language(known: DataFrame, value: str, quantile: float) -> tuple[DataFrame, DataFrame]:
+    """The quantile of all rows (one row), and of each language with ``MIN_TRUSTED`` of them."""
+    q = F.percentile_approx(value, F.lit(quantile), F.lit(10_000))
+    by_lang = known.where("lang IS NOT NULL").groupBy("lang").agg(q.alias("__own"), F.count("*").alias("__n")).where(F.col("__n") >= MIN_TRUSTED).drop("__n")
+    return known.agg(q.alias("__all")), by_lang
+
+
+def _with_limits(rows: DataFrame, limits: tuple[DataFrame, DataFrame], name: str) -> DataFrame:
+    every, by_lang = limits
+    joined = rows.crossJoin(F.broadcast(every)).join(by_lang, "lang", "left")  # one row beside each
+    return joined.withColumn(name, F.coalesce("__own", "__all")).drop("__own", "__all")

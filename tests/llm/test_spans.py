@@ -1,0 +1,173 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from spindle.llm import decontaminate as D
+from spindle.llm import kernel as K
+from spindle.llm import secrets as S
+from spindle.llm import surrogates as P
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def edited(rng, text, n):
+    t = list(text)
+    for _ in range(n):
+        i = rng.randrange(len(t))
+        kind = rng.randrange(3)
+        t[i : i + 1] = ["z"] if kind == 0 else ["z", t[i]] if kind == 1 else []
+    return "".join(t)
+
+
+@pytest.fixture(scope="module")
+def leaked(spark, docs_of):
+    rng = random.Random(7)
+    items = [(i, words(rng, n)) for i, n in enumerate([12, 20, 30, 60, 90])] + [(90, "short"), (91, None), (None, "no id at all but long enough to matter")]
+    rows, want = [], {}
+    for i in range(60):
+        body = words(rng, 120)
+        if i % 3 == 0:
+            item, text = items[i // 3 % 5]
+            cut = edited(rng, text, len(text) // 25).upper().replace(" ", "\n  ")
+            body = body[:200] + " " + cut + " " + body[200:]
+            want[i] = item
+        rows.append((i, body, "en", "s"))
+    rows += [(70, None, "en", "s"), (71, "", "en", "s"), (72, words(rng, 30000) + " " + items[2][1], "en", "s"), (None, items[1][1], "en", "s")]
+    want[72] = 2
+    return docs_of(rows), spark.createDataFrame(items, "item_id long, text string"), want, rows
+
+
+def test_leaks_are_found_and_nothing_else(leaked):
+    docs, benchmark, want, rows = leaked
+    got = D.leaked_spans(docs, benchmark).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is not None:
+            assert r.item_ids == ([want[r.doc_id]] if r.doc_id in want else []), r.doc_id
+            assert r.contaminated == (r.doc_id in want)
+    clean = D.clean_documents(docs, benchmark)
+    assert clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows if r[0] is not None} - set(want)
+
+
+def test_no_items(leaked, spark):
+    docs = leaked[0]
+    assert not any(r.contaminated for r in D.leaked_spans(docs, spark.createDataFrame([], "item_id long, text string")).collect())
+
+
+def distance(pattern, text):
+    row = [0] * (len(text) + 1)
+    for c in pattern:
+        new = [row[0] + 1]
+        for j, t in enumerate(text):
+            new.append(min(row[j] + (c != t), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_banded_alignment_is_edit_distance():
+    rng = random.Random(3)
+    for _ in range(60):
+        pattern = words(rng, 10)
+        text = words(rng, 4) + " " + edited(rng, pattern, rng.randrange(8)) + " " + words(rng, 4)
+        ps = D._block([(1, np.frombuffer(pattern.encode(), np.uint8))], 0.5)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        best, _ = D.aligned(raw, np.array([-len(pattern)]), len(text) + 2 * len(pattern), ps, np.array([0]))
+        assert best[0] == distance(pattern.encode(), text.encode())
+
+
+def test_spans_point_into_the_text(leaked):
+    docs, benchmark, want, rows = leaked
+    text = {r[0]: r[1] for r in rows}
+    item = {r.item_id: r.text for r in benchmark.collect()}
+    for r in D.leaked_spans(docs, benchmark).where("contaminated AND doc_id IS NOT NULL").collect():
+        for s in r.spans:
+            piece = " ".join(text[r.doc_id].encode()[s.start : s.end].decode().lower().split())
+            assert distance(piece[5:60].encode(), item[s.item_id].encode()) <= 8
+
+
+def test_permutation_has_no_collisions():
+    for a, b in ((1, 10), (7, 3), (26, 26)):
+        assert sorted(P.permuted(v, a, b, b"k", b"t") for v in range(a * b)) == list(range(a * b))
+    assert len({P.shaped(f"{i:04d}", b"k", b"t") for i in range(10000)}) == 10000
+
+
+@pytest.mark.parametrize("entity", ["jo.doe1@mail4.example.com", "10.20.30.40", "+1 (640) 555-0953", "4193304449628929", "123-45-6789", "Mrs Anna Schröder", "Robert Miller", "DE89 3704 0044 0532 0130 00"])
+def test_surrogates_keep_type_and_format(entity):
+    ((kind, start, end),) = P.entities_of(f"x {entity} y")
+    assert (start, end) == (2, 2 + len(entity))
+    new = P.surrogate(kind, entity)
+    assert new != entity and new == P.surrogate(kind, entity) and new != P.surrogate(kind, entity, 0, b"other")
+    assert [(k) for k, *_ in P.entities_of(f"x {new} y")] == [kind]
+    if kind not in ("name", "ip"):
+        shape = lambda s: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", s))
+        assert shape(new) == shape(entity)
+    if entity.startswith("Mrs"):
+        assert new.split()[1] in P.GIVEN["f"]
+    if entity.startswith("Robert"):
+        assert new.split()[0] in P.GIVEN["m"]
+
+
+def test_replacement_is_the_same_everywhere_and_distinct(docs_of):
+    people = [f"user{i}@mail{i % 3}.example.com" for i in range(60)]
+    rows = [(i, f"write to {p} or {people[0]} at 10.0.{i}.1", "en", "s") for i, p in enumerate(people)]
+    rows += [(90, None, "en", "s"), (91, "", "en", "s"), (92, "nothing here", "en", "s"), (None, f"{people[1]}", "en", "s"), (1, rows[1][1], "en", "s")]
+    got = P.replace_entities(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        assert not any(p in (r.text or "") for p in people)
+        if r.doc_id is not None and r.doc_id < 60:
+            by.setdefault(r.doc_id, r.text)
+            assert by[r.doc_id] == r.text and r.n_entities == 3
+    assert len({t.split()[2] for t in by.values()}) == 60 and len({t.split()[4] for t in by.values()}) == 1
+    assert {r.doc_id: r.text for r in got if r.doc_id in (90, 91, 92)} == {90: None, 91: "", 92: "nothing here"}
+    assert P.replace_entities(docs_of([])).count() == 0
+
+
+def test_colliding_surrogates_are_drawn_again(spark):
+    from spindle.llm.common import prepare
+
+    prepare(spark)
+    first = P.surrogate("ssn", "123-45-6789")
+    found = spark.createDataFrame([("ssn", "123-45-6789", first), ("ssn", first, P.surrogate("ssn", first)), ("ssn", "111-11-1111", "111-11-1111")], "kind string, entity string, surrogate string")
+    again = {r.entity: r.attempt for r in P.redrawn_entities(found, P.KEY).collect()}
+    assert again["123-45-6789"] >= 1 and again["111-11-1111"] >= 1
+
+
+def test_secrets(docs_of):
+    rng = random.Random(9)
+    key = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
+    found = {1: f'token = "{key(40)}"', 2: f"AKIA{key(16, 'ABCDEFGHIJKLMNOP234567')}", 3: f"api_key: {key(32)}"}
+    fine = {11: f"sha256 {key(64)}", 12: "see /usr/lib/python3/config/settings.json now", 13: "call 4193304449628929", 14: "id 123e4567-e89b-12d3-a456-426614174000", 15: "some_long_variable_name_v2"}
+    rows = [(i, f"some words {t} and more words", "en", "s") for i, t in (found | fine).items()]
+    rows += [(20, None, "en", "s"), (21, "", "en", "s"), (22, "word " * 40000 + found[1], "en", "s"), (1, rows[0][1], "en", "s"), (None, found[3], "en", "s")]
+    got = S.scan_secrets(docs_of(rows)).collect()
+    text = {r[0]: r[1] for r in rows}
+    for r in got:
+        if r.doc_id is not None:
+            assert text[r.doc_id][r.start : r.start + len(r.value)] == r.value
+    assert {r.doc_id for r in got if r.is_secret} == {1, 2, 3, 22, None}
+    assert S.scan_secrets(docs_of([])).count() == 0
+
+
+def test_forest_expression_equals_the_forest(spark):
+    from pyspark.sql import functions as F
+
+    from spindle.llm.trees import forest
+
+    x = np.random.default_rng(0).random((200, 3))
+    model = forest(x, (x[:, 0] > x[:, 1]).astype(float), 5, 4)
+    rows = spark.createDataFrame(x.tolist(), "a double, b double, c double")
+    got = [r[0] for r in rows.select(S.as_column(model, [F.col(c) for c in "abc"])).collect()]
+    assert np.allclose(got, model.raw(x))
+
+
+def test_folding_keeps_places():
+    data, bounds, place = D.folded(K.texts_of(pa.array(["A \n b", None, "  C"])))
+    assert data.tobytes() == b"a b c" and bounds.tolist() == [0, 3, 3, 5] and place.tolist() == [0, 1, 4, 5, 7]
