@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spindle.functions.det import uniform
+
 
 def all_frames(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -163,6 +165,20 @@ def is_folder(path: Column) -> Column:
     return path.endswith("/")
 
 
+def integer_parts(total: Column, seed: int, key: Column, decay: float = 1.0) -> Column:
+    """A random partition of ``total`` into ordered parts: their number is uniform, or falls by ``decay`` from one; cuts are distinct places."""
+    u = uniform(seed, "parts", key)
+    if decay == 1.0:
+        n = 1 + F.floor(u * total)
+    else:  # inverse of a truncated geometric distribution
+        n = 1 + F.floor(F.log(1 - u * (1 - F.pow(F.lit(decay), total))) / F.log(F.lit(decay)))
+    n = F.least(n, total).cast("int")
+    places = F.when(total > 1, F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    ordered = F.array_sort(F.transform(places, lambda i: F.struct(uniform(seed, "cut", key, i).alias("u"), i.alias("i"))))
+    cuts = F.concat(F.array_sort(F.transform(F.slice(ordered, F.lit(1), n - 1), lambda x: x["i"])), F.array(total.cast("int")))
+    return F.transform(cuts, lambda c, i: c - F.when(i > 0, F.get(cuts, F.greatest(i - 1, F.lit(0)))).otherwise(0))
+
+
 # --- caption choice ---------------------------------------------------------------------
 
 

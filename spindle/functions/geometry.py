@@ -133,6 +133,40 @@ def flow_time(x: Column, shift: float) -> Column:
     return shift * t / (1 + (shift - 1) * t)
 
 
+# --- patches ------------------------------------------------------------------
+
+
+def patchified(values: Column, channels: Column, height: Column, width: Column, p: int) -> Column:
+    """A (c, h, w) array in row-major order -> an array for each p x p patch, its values by row, column, channel."""
+    rows, cols = F.floor(height / p).cast("int"), F.floor(width / p).cast("int")
+    cells = lambda n: F.sequence(F.lit(0), n - 1)
+
+    def patch(i: Column) -> Column:
+        top, left = F.floor(i / cols).cast("int") * p, (i % cols) * p
+        return F.transform(F.sequence(F.lit(0), channels * p * p - 1), lambda k: F.get(values, (k % channels) * height * width + (top + F.floor(k / channels / p).cast("int")) * width + left + F.floor(k / channels).cast("int") % p))
+
+    return F.transform(cells(rows * cols), patch)
+
+
+def patch_grid(height: Column, width: Column, size: int) -> Column:
+    """struct(top, left, h, w) of each cell of a grid; the last row and column may be smaller."""
+    ys, xs = F.sequence(F.lit(0), height - 1, F.lit(size)), F.sequence(F.lit(0), width - 1, F.lit(size))
+    cell = lambda y, x: F.struct(y.alias("top"), x.alias("left"), F.least(F.lit(size), height - y).alias("h"), F.least(F.lit(size), width - x).alias("w"))
+    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: cell(y, x))))
+
+
+def shuffled_cells(n: Column, seed: int, key: Column) -> Column:
+    """The numbers below ``n`` in hash order: a permutation of patches."""
+    from spindle.functions.det import digest
+
+    return F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(digest(seed, "patch", key, i).alias("d"), i.alias("i")))), lambda x: x["i"])
+
+
+def blank_cells(n: Column, share: float, seed: int, key: Column) -> Column:
+    """The patches that are blanked: the first ``share`` of the hash order, ascending."""
+    return F.array_sort(F.slice(shuffled_cells(n, seed, key), F.lit(1), F.floor(n * share).cast("int")))
+
+
 # --- boxes ------------------------------------------------------------------------
 
 

@@ -84,9 +84,10 @@ def image_size(data: Column) -> Column:
     return F.when(kind == "png", size(number(17, 4), number(21, 4))).when(kind == "gif", size(turned(7, 2), turned(9, 2))).when(kind == "bmp", size(turned(19, 4), turned(23, 4)))
 
 
-def first_image(*slots: Column) -> Column:
-    """The first slot that has data, base64 text decoded."""
-    return F.coalesce(*(F.when(s.isNotNull(), s) for s in slots))
+def first_image(*slots: Column, base64: bool = False) -> Column:
+    """The bytes of the first slot that has any; of base64 text, what it stands for (null if it is none)."""
+    first = F.coalesce(*slots)
+    return F.try_to_binary(first, F.lit("base64")) if base64 else first
 
 
 # --- runs of rejects -----------------------------------------------------------------
@@ -317,6 +318,17 @@ def histogram(rows: DataFrame, *bucket: str, count: str) -> DataFrame:
     return rows.groupBy(*bucket).agg(F.sum(count).alias("count"))
 
 
+def kept_totals(before: DataFrame, after: DataFrame, file: str) -> DataFrame:
+    """``(file, total, kept)`` of a cleaning job, files of which nothing is left included."""
+    kept = after.groupBy(file).agg(F.count("*").alias("kept"))
+    return before.groupBy(file).agg(F.count("*").alias("total")).join(kept, file, "left").withColumn("kept", F.coalesce("kept", F.lit(0).cast("bigint")))
+
+
+def latest_numbered(names: DataFrame, name: str) -> DataFrame:
+    """The name that is the largest number, such as a run's last checkpoint; other names are ignored."""
+    return names.where(F.col(name).rlike(r"^\d+$")).agg(F.max_by(name, F.col(name).cast("bigint")).alias(name))
+
+
 def first_of_each(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first row of each key in order."""
     rest = [c for c in rows.columns if c not in key]
