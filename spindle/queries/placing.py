@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.functions import frames
@@ -17,32 +17,37 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.numbered(Tables(spark, sf_dir).documents.select("doc_id"), "doc_id")
 
 
-_P, _N = F.col("position"), F.col("n")
+def _place() -> Column:
+    return F.col("position")
+
+
+def _rows() -> Column:
+    return F.col("n")
 
 
 @query(_RN + " SELECT doc_id, CAST(CASE WHEN p // (n // 7) < 7 THEN p // (n // 7) END AS BIGINT) AS shard, CAST(CASE WHEN p // (n // 7) < 7 THEN n // 7 - 1 - p % (n // 7) END AS BIGINT) AS place FROM r")
 def q_shard_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", shard.floor_slice(_P, _N, 7).cast("long").alias("shard"), shard.reversed_place(_P, _N, 7).alias("place"))
+    return _docs(spark, sf_dir).select("doc_id", shard.floor_slice(_place(), _rows(), 7).cast("long").alias("shard"), shard.reversed_place(_place(), _rows(), 7).alias("place"))
 
 
 @query(_RN + " SELECT doc_id, CAST(p // CAST(ceil(n / 7.0) AS BIGINT) AS BIGINT) AS shard FROM r")
 def q_shard_ceil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", shard.ceil_chunk(_P, _N, 7).cast("long").alias("shard"))
+    return _docs(spark, sf_dir).select("doc_id", shard.ceil_chunk(_place(), _rows(), 7).cast("long").alias("shard"))
 
 
 @query(_RN + " SELECT doc_id, CAST(CASE WHEN p < (n % 7) * (n // 7 + 1) THEN p // (n // 7 + 1) ELSE n % 7 + (p - (n % 7) * (n // 7 + 1)) // (n // 7) END AS BIGINT) AS shard FROM r")
 def q_shard_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", shard.balanced(_P, _N, 7).cast("long").alias("shard"))
+    return _docs(spark, sf_dir).select("doc_id", shard.balanced(_place(), _rows(), 7).cast("long").alias("shard"))
 
 
 @query(_RN + " SELECT doc_id, CAST(p % 7 AS BIGINT) AS shard, CAST(p // 64 AS BIGINT) AS chunk, CAST(((p - 3) % n + n) % n AS BIGINT) AS rotated FROM r")
 def q_shard_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", shard.round_robin(_P, 7).cast("long").alias("shard"), shard.fixed_size(_P, 64).cast("long").alias("chunk"), shard.rotated(_P, _N, 3).alias("rotated"))
+    return _docs(spark, sf_dir).select("doc_id", shard.round_robin(_place(), 7).cast("long").alias("shard"), shard.fixed_size(_place(), 64).cast("long").alias("chunk"), shard.rotated(_place(), _rows(), 3).alias("rotated"))
 
 
 @query(_RN + " SELECT doc_id, CAST(p % 4 AS BIGINT) AS rank, CAST(p // 4 % 3 AS BIGINT) AS worker, CAST(11 + p % 4 * 3 + p // 4 % 3 AS BIGINT) AS seed FROM r")
 def q_shard_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _docs(spark, sf_dir).select("doc_id", shard.two_level(_P, _N, 4, 3).alias("s"))
+    s = _docs(spark, sf_dir).select("doc_id", shard.two_level(_place(), _rows(), 4, 3).alias("s"))
     return s.select("doc_id", F.col("s.rank").cast("long").alias("rank"), F.col("s.worker").cast("long").alias("worker"), shard.worker_seed(11, F.col("s.rank"), 3, F.col("s.worker")).alias("seed"))
 
 

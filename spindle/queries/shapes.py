@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.functions import frames, geometry
@@ -14,7 +14,16 @@ from spindle.queries.registry import Tables, query
 _W, _H = "(l_partkey % 1900 + 64)", "(l_suppkey * 37 % 1700 + 64)"
 _LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 _IDS = ", ".join(_LINE)
-_w, _h = F.col("l_partkey") % 1900 + 64, F.col("l_suppkey") * 37 % 1700 + 64
+
+
+def _w() -> Column:
+    return F.col("l_partkey") % 1900 + 64
+
+
+def _h() -> Column:
+    return F.col("l_suppkey") * 37 % 1700 + 64
+
+
 _RATIOS = [0.5, 0.75, 1.0, 1.333, 1.777]
 _SIZES = [(512, 1024), (576, 768), (640, 640), (768, 576), (1024, 576)]
 _LIST = "[0.5, 0.75, 1.0, 1.333, 1.777]"
@@ -23,7 +32,7 @@ _NEAREST = f"(list_position(list_transform({_LIST}, lambda x: abs(x - r)), list_
 
 @query(f"WITH t AS (SELECT {_IDS}, CAST({_W} AS DOUBLE) / {_H} AS r FROM lineitem) SELECT CAST({_NEAREST} AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS n, round(min(r), 9) AS low, round(max(r), 9) AS high FROM t GROUP BY 1")
 def q_bucket_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _w.cast("double") / _h
+    r = _w().cast("double") / _h()
     t = Tables(spark, sf_dir).lineitem.select(r.alias("r"), geometry.nearest(r, _RATIOS).cast("long").alias("bucket"))
     return t.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.min("r"), 9).alias("low"), F.round(F.max("r"), 9).alias("high"))
 
@@ -43,7 +52,7 @@ _OVERRIDE = "WITH t AS (SELECT {ids}, CAST({w} AS DOUBLE) / {h} AS r FROM lineit
 
 @query(_OVERRIDE + f"SELECT {_IDS}, CAST(floor([512, 576, 640, 768, 1024][i + 1] * 0.5 / 64) * 64 AS BIGINT) AS w, CAST(floor([1024, 768, 640, 576, 576][i + 1] * 0.5 / 64) * 64 AS BIGINT) AS h FROM b")
 def q_resolution_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = geometry.override_resolution(_w, _h, _SIZES, 256)
+    s = geometry.override_resolution(_w(), _h(), _SIZES, 256)
     return Tables(spark, sf_dir).lineitem.select(*_LINE, s["w"].cast("long").alias("w"), s["h"].cast("long").alias("h"))
 
 
@@ -62,7 +71,7 @@ _W3, _H3 = _scaled("w2", "h2", "(1024.0 / greatest(w2, h2))")
 d AS (SELECT *, CASE WHEN w1 * h1 > 500000 THEN {_W2} ELSE w1 END AS w2, CASE WHEN w1 * h1 > 500000 THEN {_H2} ELSE h1 END AS h2 FROM c)
 SELECT {_IDS}, CAST(CASE WHEN greatest(w2, h2) > 1024 THEN {_W3} ELSE w2 END AS BIGINT) AS w, CAST(CASE WHEN greatest(w2, h2) > 1024 THEN {_H3} ELSE h2 END AS BIGINT) AS h FROM d""")
 def q_resize_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = geometry.resize_dims(_w, _h, 1024, 256, 16, 500000)
+    s = geometry.resize_dims(_w(), _h(), 1024, 256, 16, 500000)
     return Tables(spark, sf_dir).lineitem.select(*_LINE, s["w"].cast("long").alias("w"), s["h"].cast("long").alias("h"))
 
 
@@ -72,7 +81,7 @@ b AS (SELECT *, CASE WHEN h / w > 0.5625 THEN floor(w * 0.5625) ELSE h END AS nh
 SELECT {_IDS}, CAST(round_even((h - nh) / 2.0, 0) AS BIGINT) AS i, CAST(round_even((w - nw) / 2.0, 0) AS BIGINT) AS j, CAST(nh AS BIGINT) AS h, CAST(nw AS BIGINT) AS w,
   CAST(floor((h - ch) / 2) AS BIGINT) AS top, CAST(floor((w - cw) / 2) AS BIGINT) AS left_edge FROM b""")
 def q_center_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = geometry.center_crop(_h, _w, F.lit(720), F.lit(1280)), geometry.crop_box(_h, _w, F.lit(720), F.lit(1280))
+    a, b = geometry.center_crop(_h(), _w(), F.lit(720), F.lit(1280)), geometry.crop_box(_h(), _w(), F.lit(720), F.lit(1280))
     t = Tables(spark, sf_dir).lineitem.select(*_LINE, a.alias("a"), b.alias("b"))
     return t.select(*_LINE, *(F.col(f"a.{c}").cast("long").alias(c) for c in ("i", "j", "h", "w")), F.col("b.top").cast("long").alias("top"), F.col("b.left").cast("long").alias("left_edge"))
 
@@ -84,7 +93,7 @@ _RC = sql_uniform(4, "crop", "l_orderkey", "l_linenumber", "l_partkey", "l_suppk
 b AS (SELECT *, w / h >= 768.0 / 512 AS wide, CASE WHEN w / h >= 768.0 / 512 THEN 512 ELSE round_even(768 * (h / w), 0) END AS rh, CASE WHEN w / h >= 768.0 / 512 THEN round_even(512 * (w / h), 0) ELSE 768 END AS rw FROM a)
 SELECT {_IDS}, CAST(rh AS BIGINT) AS resize_h, CAST(rw AS BIGINT) AS resize_w, CAST(CASE WHEN wide THEN 0 ELSE floor(u * (rh - 512 + 1)) END AS BIGINT) AS top, CAST(CASE WHEN wide THEN floor(u * (rw - 768 + 1)) ELSE 0 END AS BIGINT) AS left_edge FROM b""")
 def q_resize_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = geometry.resize_crop(_h.cast("double"), _w.cast("double"), 512, 768, uniform(4, "crop", *_LINE))
+    s = geometry.resize_crop(_h().cast("double"), _w().cast("double"), 512, 768, uniform(4, "crop", *_LINE))
     return Tables(spark, sf_dir).lineitem.select(*_LINE, s.alias("s")).select(*_LINE, *(F.col(f"s.{c}").cast("long").alias(a) for c, a in (("resize_h", "resize_h"), ("resize_w", "resize_w"), ("top", "top"), ("left", "left_edge"))))
 
 
@@ -92,7 +101,7 @@ def q_resize_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("long")
     return Tables(spark, sf_dir).lineitem.groupBy(F.col("l_linenumber").cast("long").alias("line")).agg(
-        F.sum(geometry.image_tokens(_w, _h, 16)).alias("image"), F.sum(geometry.video_tokens(q, _w, _h)).alias("video4"), F.sum(geometry.video_tokens(q, _w, _h, 8)).alias("video8")
+        F.sum(geometry.image_tokens(_w(), _h(), 16)).alias("image"), F.sum(geometry.video_tokens(q, _w(), _h())).alias("video4"), F.sum(geometry.video_tokens(q, _w(), _h(), 8)).alias("video8")
     )
 
 
@@ -129,14 +138,17 @@ def q_topk_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEN = "(p_size * 7 + 1)"
-_len = F.col("p_size") * 7 + 1
+
+
+def _len() -> Column:
+    return F.col("p_size") * 7 + 1
 
 
 @query(f"""WITH a AS (SELECT p_partkey, {_LEN} AS n, least(16, {_LEN}) AS m FROM part),
 b AS (SELECT p_partkey, n, m, list_transform(range(0, m), lambda i: CAST(floor((CAST(floor(i * (CAST(n AS DOUBLE) / m)) AS BIGINT) + (CASE WHEN i + 1 = m THEN n ELSE CAST(floor((i + 1) * (CAST(n AS DOUBLE) / m)) AS BIGINT) END) - 1) / 2.0) AS BIGINT)) AS f FROM a)
 SELECT p_partkey, CAST(16 AS BIGINT) AS frames, CAST(list_sum(f) + (16 - m) * f[len(f)] AS BIGINT) AS total FROM b""")
 def q_frame_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir).part.select("p_partkey", frames.interval_frames(_len, 16).alias("f"))
+    t = Tables(spark, sf_dir).part.select("p_partkey", frames.interval_frames(_len(), 16).alias("f"))
     return t.select("p_partkey", F.size("f").cast("long").alias("frames"), F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
@@ -144,7 +156,7 @@ def q_frame_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT p_partkey, list_filter(list_transform(range(0, steps), lambda i: CAST(round_even((0.25 + i * 0.5) * 24.0, 0) AS BIGINT)), lambda f: f < n) AS f FROM a)
 SELECT p_partkey, CAST(len(f) AS BIGINT) AS frames, CAST(coalesce(list_sum(f), 0) AS BIGINT) AS total FROM b""")
 def q_frame_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir).part.select("p_partkey", frames.fps_frames(_len, 2.0, 24.0).alias("f"))
+    t = Tables(spark, sf_dir).part.select("p_partkey", frames.fps_frames(_len(), 2.0, 24.0).alias("f"))
     return t.select("p_partkey", F.size("f").cast("long").alias("frames"), F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
@@ -154,7 +166,7 @@ _UC = sql_uniform(6, "clip", "p_partkey")
 @query(f"""WITH a AS (SELECT p_partkey, {_LEN} AS n, 10 + CAST(floor({_UC} * ({_LEN} - least({_LEN}, 61) - 20 + 1)) AS BIGINT) AS s FROM part WHERE 61 <= {_LEN} - 20)
 SELECT p_partkey, s AS start_frame, s + 60 AS end_frame, CAST(list_sum(list_transform(range(0, 16), lambda i: CAST(floor(s + i * (60.0 / 15)) AS BIGINT))) AS BIGINT) AS total FROM a""")
 def q_frame_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir).part.where(frames.long_enough(_len, 16, 4, 10)).select("p_partkey", frames.clip_frames(_len, 16, 4, 10, uniform(6, "clip", "p_partkey")).alias("f"))
+    t = Tables(spark, sf_dir).part.where(frames.long_enough(_len(), 16, 4, 10)).select("p_partkey", frames.clip_frames(_len(), 16, 4, 10, uniform(6, "clip", "p_partkey")).alias("f"))
     return t.select("p_partkey", F.get("f", 0).cast("long").alias("start_frame"), F.element_at("f", -1).cast("long").alias("end_frame"), F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
@@ -166,7 +178,7 @@ b AS (SELECT *, ok[CAST(floor({_US} * len(ok)) AS BIGINT) + 1] AS stride FROM a
 c AS (SELECT *, list_max(list_filter([9, 17, 33], lambda x: n // stride >= x)) AS length FROM b)
 SELECT p_partkey, CAST(stride AS BIGINT) AS stride, CAST(length AS BIGINT) AS length, CAST(round_even((n - 1 - stride * (length - 1)) / 2.0, 0) AS BIGINT) AS start_frame FROM c""")
 def q_frame_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = frames.adaptive(_len, [9, 17, 33], [1, 2, 4], uniform(6, "stride", "p_partkey"), F.lit(0.0), "center")
+    s = frames.adaptive(_len(), [9, 17, 33], [1, 2, 4], uniform(6, "stride", "p_partkey"), F.lit(0.0), "center")
     t = Tables(spark, sf_dir).part.select("p_partkey", s.alias("s")).where("s IS NOT NULL")
     return t.select("p_partkey", *(F.col(f"s.{c}").cast("long").alias(a) for c, a in (("stride", "stride"), ("length", "length"), ("start", "start_frame"))))
 
@@ -176,7 +188,7 @@ b AS (SELECT *, CASE WHEN u < 0.5 OR n // 3 < 4 THEN 1 ELSE 3 END AS stride FROM
 c AS (SELECT *, CASE WHEN v < 1.0/3 OR n // stride < 8 THEN 4 WHEN v < 2.0/3 OR n // stride < 16 THEN 8 ELSE 16 END AS length FROM b)
 SELECT CAST(stride AS BIGINT) AS stride, CAST(length AS BIGINT) AS length, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY 1, 2""")
 def q_frame_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = frames.advanced(_len, [frames.Strategy(1, (4, 8, 16), 0.5), frames.Strategy(3, (4, 8, 16), 0.5)], uniform(6, "stride", "p_partkey"), uniform(6, "length", "p_partkey"), F.lit(0.0))
+    s = frames.advanced(_len(), [frames.Strategy(1, (4, 8, 16), 0.5), frames.Strategy(3, (4, 8, 16), 0.5)], uniform(6, "stride", "p_partkey"), uniform(6, "length", "p_partkey"), F.lit(0.0))
     t = Tables(spark, sf_dir).part.select(s.alias("s")).where("s IS NOT NULL")
     return t.groupBy(F.col("s.stride").cast("long").alias("stride"), F.col("s.length").cast("long").alias("length")).agg(F.count("*").alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.functions import answers, prompts, text, tokens
@@ -11,12 +11,16 @@ from spindle.operators import records
 from spindle.queries.registry import Tables, query
 
 _ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
-_ascii = F.col("text").rlike("^[\\x00-\\x7F]*$")
+
+
+def _ascii() -> Column:
+    return F.col("text").rlike("^[\\x00-\\x7F]*$")
+
 
 
 @query(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), '_', ' '), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g')) AS canonical FROM documents WHERE {_ASCII}""")
 def q_canonicalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).documents.where(_ascii).select("doc_id", text.canonical(F.col("text")).alias("canonical"))
+    return Tables(spark, sf_dir).documents.where(_ascii()).select("doc_id", text.canonical(F.col("text")).alias("canonical"))
 
 
 @query(f"""WITH a AS (SELECT doc_id, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS t FROM documents WHERE {_ASCII}),
@@ -25,7 +29,7 @@ c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\\.]{{2,}}', ' ', 'g'),
 SELECT doc_id, trim(regexp_replace(regexp_replace(t, '\\s+\\.\\s+', ' ', 'g'), '\\s+', ' ', 'g')) AS caption FROM c""")
 def q_clean_caption_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = ((r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", " "), (r"#\d{1,3}\b", ""), (r"\b\d{6,}\b", ""), (r"[\.]{2,}", " "), (r"[#&)(\]\[}{|\\/*~]+", " "), (r"\s+\.\s+", " "), (r"\s+", " "))
-    return Tables(spark, sf_dir).documents.where(_ascii).select("doc_id", F.trim(text.substituted(F.lower(text.strip(F.col("text"))), steps)).alias("caption"))
+    return Tables(spark, sf_dir).documents.where(_ascii()).select("doc_id", F.trim(text.substituted(F.lower(text.strip(F.col("text"))), steps)).alias("caption"))
 
 
 @query()
@@ -103,7 +107,7 @@ def q_rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, regexp_matches(text, '[0-9]') AS digits, regexp_matches(text, '\\b(more|less|total|sum|max|min|mean|rate|cone|most|least)\\b') AS quantity FROM documents WHERE " + _ASCII)
 def q_word_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).documents.where(_ascii).select("doc_id", answers.has_digit(F.col("text")).alias("digits"), answers.has_quantity_word(F.col("text")).alias("quantity"))
+    return Tables(spark, sf_dir).documents.where(_ascii()).select("doc_id", answers.has_digit(F.col("text")).alias("digits"), answers.has_quantity_word(F.col("text")).alias("quantity"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 3 <> 2 AS digits, l_partkey % 3 <> 0 AS floats FROM lineitem")
