@@ -48,6 +48,8 @@ from spindle.llm.components import components
 SHORT_LIST = 16
 #: Sets in a block of a long list; candidates that connect fewer than twice as many sets are checked in one group.
 BLOCK = 1024
+#: Shingles of one block at most, so that long texts make more blocks.
+BLOCK_SHINGLES = 2_000_000
 #: Bits of the filter that keeps postings of repeated keys only (32 MB).
 FILTER_BITS = 1 << 28
 #: The most frequent shingles that the global order knows, all others count as rare.
@@ -229,7 +231,7 @@ def forest_of(values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[in
 
     if not len(token):
         return out
-    if dense <= scan and g * len(wide) <= 64 << 20:
+    if dense <= scan and g * len(wide) <= 16 << 20:
         x = np.zeros((g, len(wide)), dtype=np.float32)
         x[doc, token] = 1
         for first in range(0, g, 256):
@@ -343,12 +345,18 @@ def _repeated(keys: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def _groups(edges: DataFrame, name: str) -> DataFrame:
-    """``(sig, root, size, whole)`` of all ends of edges: their component, its size, and whether it can be one group."""
+def _blocks_for(size, total):
+    """Blocks that so many sets with so many shingles are cut into."""
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(total / BLOCK_SHINGLES)).cast("int")
+
+
+def _groups(edges: DataFrame, vertices: DataFrame, name: str) -> DataFrame:
+    """``(sig, root, size, total, whole)`` of all ends of edges: their component, its sets and shingles, and whether it can be one group."""
     roots = components(edges, name)
     grouped = roots.union(roots.select("root", "root").distinct())
-    sized = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
-    return stored(grouped.join(sized, "root").select(F.col("vertex").alias("sig"), "root", "size", (F.col("size") <= 2 * BLOCK).alias("whole")), "groups")
+    named = stored(grouped.select(F.col("vertex").alias("sig"), "root").join(vertices.select("sig", "n"), "sig"), "grouped")
+    sized = named.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    return stored(named.join(sized, "root").select("sig", "root", "size", "total", (_blocks_for(F.col("size"), F.col("total")) <= 2).alias("whole")), "groups")
 
 
 def _wholes(group: DataFrame) -> DataFrame:
@@ -357,9 +365,9 @@ def _wholes(group: DataFrame) -> DataFrame:
 
 
 def _blocks(entries: DataFrame, kind: int) -> DataFrame:
-    """``(key, sig, size)`` -> a row for each pair of blocks of a key that an entry is in."""
+    """``(key, sig, size, total)`` -> a row for each pair of blocks of a key that an entry is in."""
     return (
-        entries.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        entries.withColumn("blocks", _blocks_for(F.col("size"), F.col("total")))
         .withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(F.lit(kind).alias("kind"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig")
@@ -393,13 +401,13 @@ def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int
 
     lists = postings.groupBy("key").agg(
         F.count("*").alias("size"), F.min("sig").alias("head"), F.max("sig").alias("tail"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("kind"),
-        F.sum(F.hash("sig").cast("long")).alias("members"),
+        F.sum(F.hash("sig").cast("long")).alias("members"), F.sum("n").alias("total"),
     ).where("head <> tail")
     lists = stored(lists, "lists")
     subsets = lists.where("kind = -1 OR (kind = -2 AND n0 < n1)").select("key", "head")
     by_subset = postings.where("pos < 0").join(subsets, "key").where("sig <> head").select(F.col("head").alias("u"), F.col("sig").alias("v"))
-    scanned = lists.where("kind >= 0").groupBy("members", "size", "head", "tail").agg(F.min("key").alias("key"))
-    entries = stored(postings.where("pos >= 0").join(scanned.select("key", "size"), "key"), "entries")
+    scanned = lists.where("kind >= 0").groupBy("members", "size", "head", "tail").agg(F.min("key").alias("key"), F.max("total").alias("total"))
+    entries = stored(postings.where("pos >= 0").join(scanned.select("key", "size", "total"), "key"), "entries")
 
     short = entries.where(F.col("size") <= SHORT_LIST)
     a, b = (short.select("key", *(F.col(c).alias(c + x) for c in ("sig", "n", "pos"))) for x in "ab")
@@ -411,12 +419,15 @@ def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int
 
     # First sketches meet, in groups that bring all candidates together: whatever candidates connect,
     # or of larger groups each list's blocks and each set with its partners.
-    group = _groups(pairs.union(_linked_by_lists(long_entries, percent)), "candidates")
+    group = _groups(pairs.union(_linked_by_lists(long_entries, percent)), vertices, "candidates")
     rest = group.where("NOT whole").select("sig")
     apart = pairs.join(rest.withColumnRenamed("sig", "u"), "u")
     none = F.lit(-1)
-    partners = apart.select(F.col("u").alias("key"), F.explode(F.array("u", "v")).alias("sig")).distinct().select(F.lit(1).alias("kind"), "key", none.alias("i"), none.alias("j"), "sig")
-    blocks = _blocks(long_entries.join(rest, "sig").select("key", "sig", "size"), 2)
+    sized = apart.join(vertices.select(F.col("sig").alias("v"), "n"), "v")
+    counts = sized.groupBy("u").agg(_blocks_for(F.count("*"), F.sum("n")).alias("blocks"))
+    dealt = sized.join(counts, "u").withColumn("i", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    partners = dealt.select("u", "i", F.explode(F.array("u", "v")).alias("sig")).distinct().select(F.lit(1).alias("kind"), F.col("u").alias("key"), "i", none.alias("j"), "sig")
+    blocks = _blocks(long_entries.join(rest, "sig").select("key", "sig", "size", "total"), 2)
     members = stored(_wholes(group).union(partners).union(blocks), "members")
     ids = vertices.select("sig", "doc_id")
     sketched = members.select("sig").distinct().join(ids, "sig")
@@ -424,8 +435,8 @@ def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int
     near = sketches.join(members, "sig").groupBy("kind", "key", "i", "j").applyInArrow(_group_near(percent), "u long, v long")
 
     # Then whole texts, in groups of what the sketches left connected.
-    group = _groups(near, "near")
-    parts = group.where("NOT whole").select(F.col("root").alias("key"), "sig", "size")
+    group = _groups(near, vertices, "near")
+    parts = group.where("NOT whole").select(F.col("root").alias("key"), "sig", "size", "total")
     members = stored(_wholes(group).union(_blocks(parts, 2)).join(ids, "sig"), "members")
     found = semi_by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), members.select("doc_id").distinct(), "doc_id")
     checked = found.join(members, "doc_id").groupBy("kind", "key", "i", "j").applyInArrow(_group_links(words, percent), "u long, v long")
