@@ -15,6 +15,7 @@ patterns, one pass over the corpus for each block.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm import kernel as K
-from spindle.llm.common import batch, prepare
+from spindle.llm.common import batch, prepare, stored
 
 Q = 8
 WINDOW = 128
@@ -32,6 +33,8 @@ EDITS = 0.10
 #: Folded items shorter than this many bytes are not tested: too little text to tell a leak from chance.
 MIN_BYTES = 32
 BLOCK_PATTERNS = 8192
+#: Blocks that a stage passes through; after each such run the rows are written.
+STAGE_BLOCKS = 4
 _TABLE_BITS = 22
 
 
@@ -74,8 +77,8 @@ def _slot(g: np.ndarray) -> np.ndarray:
     return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
 
 
-def patterns_of(items: list[tuple[int, str]], edits: float = EDITS) -> list[Patterns]:
-    """Blocks of patterns of ``(item_id, text)``."""
+def patterns_of(items: Iterable[tuple[int, str]], edits: float = EDITS) -> Iterator[Patterns]:
+    """Blocks of patterns of ``(item_id, text)``, one at a time."""
     cut: list[tuple[int, np.ndarray]] = []
     for item, text in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -85,7 +88,11 @@ def patterns_of(items: list[tuple[int, str]], edits: float = EDITS) -> list[Patt
             continue
         starts = [0] if len(d) <= WINDOW + WINDOW // 2 else [*range(0, len(d) - WINDOW, WINDOW // 2), len(d) - WINDOW]
         cut.extend((item, d[s : s + WINDOW] if len(starts) > 1 else d) for s in starts)
-    return [_block(cut[i : i + BLOCK_PATTERNS], edits) for i in range(0, len(cut), BLOCK_PATTERNS)]
+        while len(cut) >= BLOCK_PATTERNS:
+            yield _block(cut[:BLOCK_PATTERNS], edits)
+            cut = cut[BLOCK_PATTERNS:]
+    if cut:
+        yield _block(cut, edits)
 
 
 def _block(cut: list[tuple[int, np.ndarray]], share: float) -> Patterns:
@@ -196,45 +203,48 @@ def leaks(texts: K.Texts, ps: Patterns) -> list[tuple[int, int, int, int, int]]:
 
 
 _SPAN = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
-_OUT = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
+_OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(_SPAN))])
 
 
 def _search(shared):
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id")
             for first, last, part in K.slices(K.texts_of(b.column("text"))):
-                found: list[list[dict]] = [[] for _ in range(part.n)]
-                for ps in shared.value:
-                    for d, item, start, end, edits in leaks(part, ps):
-                        found[d].append({"item_id": item, "start": start, "end": end, "edits": edits})
+                keep = slice(first, last)
+                found = [list(x) for x in b.column("spans")[keep].to_pylist()]
+                for d, item, start, end, edits in leaks(part, shared.value):
+                    found[d].append({"item_id": item, "start": start, "end": end, "edits": edits})
                 spans = [sorted(x, key=lambda s: (s["item_id"], s["start"], s["end"], s["edits"])) for x in found]
-                yield batch(_OUT, ids.slice(first, last - first), spans)
+                yield batch(_OUT, b.column("doc_id")[keep], b.column("text")[keep], spans)
 
     return run
 
 
-def _shared_patterns(docs: DataFrame, benchmark: DataFrame, edits: float):
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text")
-    return docs.sparkSession.sparkContext.broadcast(patterns_of([(r.item_id, r.text) for r in rows.toLocalIterator()], edits))
-
-
 def _clean(shared):
     def run(batches):
         for b in batches:
             keep = np.ones(len(b), dtype=bool)
             for first, _, part in K.slices(K.texts_of(b.column("text"))):
-                for ps in shared.value:
-                    keep[[first + d for d, *_ in leaks(part, ps)]] = False
+                keep[[first + d for d, *_ in leaks(part, shared.value)]] = False
             yield b.filter(pa.array(keep))
 
     return run
 
 
+def _through_blocks(rows: DataFrame, benchmark: DataFrame, edits: float, step: Callable) -> DataFrame:
+    """Rows after a pass for each block of patterns; only one block is on the driver at a time."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text")
+    for n, block in enumerate(patterns_of(((r.item_id, r.text) for r in items.toLocalIterator()), edits)):
+        if n and n % STAGE_BLOCKS == 0:
+            rows = stored(rows, "decontaminated")
+        rows = rows.mapInArrow(step(rows.sparkSession.sparkContext.broadcast(block)), rows.schema)
+    return rows
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """The rows of ``docs`` without any leaked region, with all their columns."""
     prepare(docs.sparkSession)
-    return docs.mapInArrow(_clean(_shared_patterns(docs, benchmark, edits)), docs.schema)
+    return _through_blocks(docs, benchmark, edits, _clean)
 
 
 def leaked_spans(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
@@ -246,7 +256,7 @@ def leaked_spans(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     doc_ids keep their rows; extra columns are ignored.
     """
     prepare(docs.sparkSession)
-    shared = _shared_patterns(docs, benchmark, edits)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_search(shared), "doc_id long, spans array<struct<item_id:long,start:long,end:long,edits:int>>")
+    none = F.array().cast("array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), none.alias("spans"))
+    found = _through_blocks(rows, benchmark, edits, _search)
     return found.select("doc_id", (F.size("spans") > 0).alias("contaminated"), F.array_sort(F.array_distinct("spans.item_id")).alias("item_ids"), "spans")
