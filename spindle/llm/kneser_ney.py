@@ -108,8 +108,8 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _discounted(counts: DataFrame, shift: int) -> DataFrame:
-    """``(gram, n)`` -> ``(gram, ctx, part, ctx_gamma)`` by modified Kneser-Ney discounts of this order's counts."""
+def _discounted(counts: DataFrame, shift: int) -> tuple[DataFrame, DataFrame]:
+    """``(gram, n)`` -> ``(gram, part)`` and ``(ctx, gamma)`` by modified Kneser-Ney discounts of this order's counts."""
     c = counts.agg(*(F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5))).first()
     n1, n2, n3, n4 = (max(float(x or 0), 0.0) for x in c)
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
@@ -117,7 +117,8 @@ def _discounted(counts: DataFrame, shift: int) -> DataFrame:
     discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     rows = counts.withColumn("ctx", F.shiftright("gram", shift)).withColumn("d", discount)
     contexts = rows.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("given"))
-    return rows.join(contexts, "ctx").select("gram", "ctx", ((F.col("n") - F.col("d")) / F.col("total")).alias("part"), (F.col("given") / F.col("total")).alias("gamma"))
+    parts = rows.join(contexts, "ctx").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).cast("float").alias("part"))
+    return parts, contexts.select("ctx", (F.col("given") / F.col("total")).cast("float").alias("gamma"))
 
 
 def model_table(counts: DataFrame) -> np.ndarray:
@@ -132,8 +133,8 @@ def model_table(counts: DataFrame) -> np.ndarray:
         orders.append(orders[-1].select(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
     p = np.full(1, 1.0 / SYMBOLS, dtype=np.float32)
     for k in range(1, ORDER + 1):
-        found = stored(_discounted(orders[ORDER - k], BITS), f"order{k}").toArrow()
-        p = _interpolated(p, k, *(np.asarray(found.column(c)) for c in ("gram", "ctx", "part", "gamma")))
+        parts, contexts = (d.toArrow() for d in _discounted(orders[ORDER - k], BITS))
+        p = _interpolated(p, k, *(np.asarray(t.column(c)) for t, c in ((parts, "gram"), (contexts, "ctx"), (parts, "part"), (contexts, "gamma"))))
     out = np.empty(len(p), np.float16)
     for i in range(0, len(p), _BLOCK):
         out[i : i + _BLOCK] = np.log2(np.maximum(p[i : i + _BLOCK], 2.0**-24))
