@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import WORD, stored
+from spindle.llm.common import BROADCAST_ROWS, WORD, stored
 
-#: Rows of one sorted bucket.
-BUCKET_ROWS = 50_000
+#: Rows of one sorted bucket: few, so that a hot source is dealt over many tasks; a source's totals are a row for each.
+BUCKET_ROWS = 2_000
 #: A source is repeated this often at most.
 MAX_EPOCHS = 3
 SEED = "mix"
@@ -85,7 +85,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = mix_sources(docs, **options)
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
     wanted = taken.where("size > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(copies).alias("__copies")).where("__copies > 0")
-    return docs.join(wanted, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    wanted = stored(wanted, "wanted")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 ORACLE_SQL = f"""
