@@ -50,6 +50,19 @@ def groups_of(config: Mapping[str, Mapping[str, object]]) -> list[Group]:
     return out
 
 
+def load_config(path: str) -> dict[str, dict[str, object]]:
+    """A configuration file: JSON, or YAML where a YAML library is installed."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("reading YAML needs a YAML library; JSON needs none") from e
+        return yaml.safe_load(text)
+    return json.loads(text)
+
+
 def catalog(spark: SparkSession, config: Mapping[str, Mapping[str, object]]) -> DataFrame:
     """A row for each dataset of each group."""
     rows = [

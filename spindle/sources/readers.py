@@ -12,6 +12,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from spindle.functions.det import digest
 from spindle.ship import ship
@@ -218,6 +219,71 @@ def decoded_value(value: Column, schema: str) -> Column:
     return F.from_json(value.cast("string"), schema)
 
 
+def bson_to_plain(data: bytes) -> dict:
+    """A BSON document as plain values: numbers, texts, truth values, nulls, lists, documents; bytes as base64 text."""
+    import base64
+    import struct
+
+    def text(at: int) -> tuple[str, int]:
+        end = data.index(b"\0", at)
+        return data[at:end].decode(), end + 1
+
+    def document(at: int, listed: bool):
+        end = at + struct.unpack_from("<i", data, at)[0] - 1
+        at += 4
+        out: dict = {}
+        while at < end:
+            kind = data[at]
+            name, at = text(at + 1)
+            if kind in (0x03, 0x04):
+                out[name], at = document(at, kind == 0x04)
+            elif kind in (0x02, 0x05):
+                size = struct.unpack_from("<i", data, at)[0]
+                start = at + 4 + (kind == 0x05)
+                raw = data[start : start + size]
+                out[name], at = (raw[:-1].decode() if kind == 0x02 else base64.b64encode(raw).decode()), start + size
+            elif kind in (0x01, 0x10, 0x12):
+                form = {0x01: "<d", 0x10: "<i", 0x12: "<q"}[kind]
+                out[name], at = struct.unpack_from(form, data, at)[0], at + struct.calcsize(form)
+            elif kind == 0x08:
+                out[name], at = data[at] == 1, at + 1
+            elif kind == 0x0A:
+                out[name] = None
+            else:
+                raise ValueError(f"BSON type {kind:#x} is not plain")
+        return (list(out.values()) if listed else out), end + 1
+
+    return document(0, False)[0]
+
+
+def decoded_records(df: DataFrame, value: str, out: str = "record") -> DataFrame:
+    """``df`` with each key-value record as JSON text, from JSON or BSON bytes; null if it is neither."""
+    ship(df.sparkSession)
+    return df.mapInArrow(_decoder(value, out), StructType([*df.schema.fields, StructField(out, StringType())]))
+
+
+def _decoder(value: str, out: str):
+    def plain(data: bytes | None) -> str | None:
+        import json
+        import struct
+
+        if data is None:
+            return None
+        for read in (lambda d: json.loads(d), bson_to_plain):
+            try:
+                return json.dumps(read(data), sort_keys=True)
+            except (ValueError, struct.error, IndexError):
+                continue
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            records = pa.array([plain(v) for v in b.column(value).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, records], names=[*b.schema.names, out])
+
+    return run
+
+
 def float_tensor(data: Column, shape: Column) -> Column:
     """struct(size, ok) of raw 32-bit floats against a shape."""
     n = F.aggregate(shape, F.lit(1), lambda s, x: s * x)

@@ -280,3 +280,29 @@ def test_suite(spark):
     assert all(x["class"] != "person" for r in s if r.tag in ("colors", "color_attr") for x in r.include)
     assert all(r.include[0]["class"] != r.include[1]["class"] for r in s if r.tag in ("two_object", "position", "color_attr"))
     assert len({r.prompt + str(r.include) for r in s}) == len(s)
+
+
+def test_key_value_records(spark):
+    import struct
+
+    text = lambda s: struct.pack("<i", len(s.encode()) + 1) + s.encode() + b"\0"
+    inner = b"\x100\0" + struct.pack("<i", 7) + b"\x081\0\x01"
+    inner = struct.pack("<i", len(inner) + 5) + inner + b"\0"
+    body = b"\x02a\0" + text("é") + b"\x01b\0" + struct.pack("<d", 0.5) + b"\x04c\0" + inner + b"\x0ad\0" + b"\x05e\0" + struct.pack("<i", 2) + b"\0xy"
+    bson = struct.pack("<i", len(body) + 5) + body + b"\0"
+    assert readers.bson_to_plain(bson) == {"a": "é", "b": 0.5, "c": [7, True], "d": None, "e": "eHk="}
+    rows = spark.createDataFrame([(1, bson), (2, b'{"k": 1}'), (3, b"neither"), (4, None)], "id int, v binary")
+    got = {r.id: r.record for r in readers.decoded_records(rows, "v").collect()}
+    assert json.loads(got[1])["c"] == [7, True] and json.loads(got[2]) == {"k": 1} and got[3] is None and got[4] is None
+
+
+def test_config_file(spark, tmp_path):
+    path = tmp_path / "mix.json"
+    path.write_text(json.dumps({"a": {"dataset_names": ["x"]}}))
+    assert catalog.catalog(spark, catalog.load_config(str(path))).count() == 1
+
+
+def test_parts_sum_up(spark):
+    for total in (1, 2, 30):
+        parts = one(spark, frames.integer_parts(F.lit(total), 1, F.lit(5), 0.9))
+        assert sum(parts) == total and all(p > 0 for p in parts)
