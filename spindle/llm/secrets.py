@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from spindle.llm.trees import Trees, forest
 
-#: A candidate: an unbroken token of at least 16 characters; what it holds is up to the forest.
-TOKEN = r"[A-Za-z0-9+/=_.~-]{16,512}"
+#: A candidate: an unbroken token of at least 16 characters, padded or not; what it holds is up to the forest.
+TOKEN = r"[A-Za-z0-9+/_.~-]{16,}+={0,2}"
 #: With what stands around it on its line, 48 characters before and 16 after at most.
-FINDING = rf"(?<![A-Za-z0-9+/=_.~-])({TOKEN})(?![A-Za-z0-9+/=_.~-])"
-#: A text without a token that has a digit is not cut.
-HINT = r"(?=[A-Za-z0-9+/=_.~-]{16})[A-Za-z+/=_.~-]{0,511}[0-9]"
+FINDING = rf"(?<![A-Za-z0-9+/_.~-])({TOKEN})"
+#: A text without 16 such characters in a row, a digit among them, is not cut.
+HINT = r"(?=[A-Za-z0-9+/_.~-]{16})[A-Za-z+/_.~-]{0,15}[0-9]"
 BEFORE, AFTER = 48, 16
 TREES, DEPTH = 25, 6
 

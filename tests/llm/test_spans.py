@@ -146,13 +146,13 @@ def test_secrets(docs_of):
     found = {1: f'token = "{key(40)}"', 2: f"AKIA{key(16, 'ABCDEFGHIJKLMNOP234567')}", 3: f"api_key: {key(32)}"}
     fine = {11: f"sha256 {key(64)}", 12: "see /usr/lib/python3/config/settings.json now", 13: "call 4193304449628929", 14: "id 123e4567-e89b-12d3-a456-426614174000", 15: "some_long_variable_name_v2"}
     rows = [(i, f"some words {t} and more words", "en", "s") for i, t in (found | fine).items()]
-    rows += [(20, None, "en", "s"), (21, "", "en", "s"), (22, "word " * 40000 + found[1], "en", "s"), (1, rows[0][1], "en", "s"), (None, found[3], "en", "s")]
+    rows += [(20, None, "en", "s"), (21, "", "en", "s"), (22, "word " * 40000 + found[1], "en", "s"), (1, rows[0][1], "en", "s"), (None, found[3], "en", "s"), (23, f"password={key(900)} x", "en", "s")]
     got = S.scan_secrets(docs_of(rows)).collect()
     text = {r[0]: r[1] for r in rows}
     for r in got:
         if r.doc_id is not None:
             assert text[r.doc_id][r.start : r.start + len(r.value)] == r.value
-    assert {r.doc_id for r in got if r.is_secret} == {1, 2, 3, 22, None}
+    assert {r.doc_id for r in got if r.is_secret} == {1, 2, 3, 22, 23, None}
     assert S.scan_secrets(docs_of([])).count() == 0
 
 
