@@ -406,7 +406,7 @@ def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int
     lists = stored(lists, "lists")
     subsets = lists.where("kind = -1 OR (kind = -2 AND n0 < n1)").select("key", "head")
     by_subset = postings.where("pos < 0").join(subsets, "key").where("sig <> head").select(F.col("head").alias("u"), F.col("sig").alias("v"))
-    scanned = lists.where("kind >= 0").groupBy("members", "size", "head", "tail").agg(F.min("key").alias("key"), F.max("total").alias("total"))
+    scanned = lists.where("kind >= 0").groupBy("members", "size", "head", "tail").agg(F.min_by("key", "kind").alias("key"), F.max("total").alias("total"))  # the first in the global order: places bound what pairs share from there on
     entries = stored(postings.where("pos >= 0").join(scanned.select("key", "size", "total"), "key"), "entries")
 
     short = entries.where(F.col("size") <= SHORT_LIST)

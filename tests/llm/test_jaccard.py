@@ -117,3 +117,21 @@ def test_components_of_a_path_and_a_hub(spark):
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert sorted((r.vertex, r.root) for r in got) == [(i, 0) for i in range(1, 51)] + [(1000 + i, 1000) for i in range(1, 80)]
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_near_copies_of_mostly_common_shingles(docs_of, monkeypatch, k, percent):
+    """Lists of a pair's rare shingles have the same members; the one that is kept must be the pair's first."""
+    monkeypatch.setattr(J, "COMMON_IN_ALL", 5)
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for share in (60, 65, 70, 75, 80, 85):
+        boilerplate = words(share)
+        texts += [" ".join(boilerplate + words(300)) for _ in range(20)]
+        for _ in range(30):
+            own = words(100 - share)
+            texts += [" ".join(boilerplate + own + words(n)) for n in (0, 100 * (97 - percent) // percent)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = J.jaccard_components(docs_of(rows).repartition(3), k, percent).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, k, percent)
