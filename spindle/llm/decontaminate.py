@@ -1,8 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Text and items are folded the same way (A-Z to lower case, runs of white space
-to one blank).  An item is tested as a whole, or if long in windows of
-``WINDOW`` bytes that overlap by half, so that leaks of a part are found too.  A
+to one blank).  An item is tested in windows of ``WINDOW`` bytes, one every
+``STRIDE``, so that leaks of a part are found too, and as a whole if of up to
+``WHOLE`` bytes.  Short items are tested without edits and between word ends.  A
 region within ``k`` edits of a pattern of ``m`` bytes shares at least
 ``m + 1 - q - k q`` of its q-grams (the q-gram lemma), all on diagonals that differ by
 at most 2k.  Shared q-grams are counted for each document and pattern, then in
@@ -27,15 +28,21 @@ from spindle.llm import kernel as K
 from spindle.llm.common import batch, prepare, stored
 
 Q = 8
-WINDOW = 128
+#: A verbatim part of WINDOW + STRIDE - 1 bytes holds a whole window.
+WINDOW = 64
+STRIDE = 16
+#: Items up to this many bytes are tested as a whole too.
+WHOLE = 192
 #: Edits allowed, as a share of a pattern.
 EDITS = 0.10
-#: Folded items shorter than this many bytes are not tested: too little text to tell a leak from chance.
+#: Folded items shorter than this many bytes are tested without edits, as whole words.
 MIN_BYTES = 32
 BLOCK_PATTERNS = 8192
 #: Blocks that a stage passes through; after each such run the rows are written.
 STAGE_BLOCKS = 4
 _TABLE_BITS = 22
+#: Bytes of words; a short item may not begin or end within one.
+_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def folded(texts: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,17 +84,21 @@ def _slot(g: np.ndarray) -> np.ndarray:
     return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
 
 
-def patterns_of(items: Iterable[tuple[int, str]], edits: float = EDITS) -> Iterator[Patterns]:
+def patterns_of(items: Iterable[tuple[int | None, str]], edits: float = EDITS) -> Iterator[Patterns]:
     """Blocks of patterns of ``(item_id, text)``, one at a time."""
-    cut: list[tuple[int, np.ndarray]] = []
+    cut: list[tuple[int | None, np.ndarray]] = []
     for item, text in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         d, _, _ = folded(K.Texts(raw, np.array([0, len(raw)]), np.ones(1, bool)))
         d = np.frombuffer(d.tobytes().strip(b" "), np.uint8)
-        if len(d) < MIN_BYTES:
+        if not len(d):
             continue
-        starts = [0] if len(d) <= WINDOW + WINDOW // 2 else [*range(0, len(d) - WINDOW, WINDOW // 2), len(d) - WINDOW]
-        cut.extend((item, d[s : s + WINDOW] if len(starts) > 1 else d) for s in starts)
+        if len(d) <= WHOLE:
+            cut.append((item, d))
+        if len(d) > WINDOW:
+            # the last two whole windows too, so that edits spread over twice a window leave few enough in one of them
+            starts = {*range(0, len(d) - WINDOW, STRIDE), max(0, len(d) - 2 * WINDOW), len(d) - WINDOW}
+            cut.extend((item, d[s : s + WINDOW]) for s in sorted(starts))
         while len(cut) >= BLOCK_PATTERNS:
             yield _block(cut[:BLOCK_PATTERNS], edits)
             cut = cut[BLOCK_PATTERNS:]
@@ -95,10 +106,10 @@ def patterns_of(items: Iterable[tuple[int, str]], edits: float = EDITS) -> Itera
         yield _block(cut, edits)
 
 
-def _block(cut: list[tuple[int, np.ndarray]], share: float) -> Patterns:
+def _block(cut: list[tuple[int | None, np.ndarray]], share: float) -> Patterns:
     size = np.array([len(d) for _, d in cut])
     # as many edits as leave a bound of at least two q-grams
-    edits = np.minimum((size * share).astype(int), (size - 1 - Q) // Q)
+    edits = np.where(size < MIN_BYTES, 0, np.minimum((size * share).astype(int), (size - 1 - Q) // Q))
     data = np.zeros((len(cut), int(size.max())), np.uint8)
     g, p, at = [], [], []
     for i, (_, d) in enumerate(cut):
@@ -112,30 +123,34 @@ def _block(cut: list[tuple[int, np.ndarray]], share: float) -> Patterns:
     gram, first = np.unique(g[o], return_index=True)
     seen = np.zeros(1 << _TABLE_BITS, dtype=bool)
     seen[_slot(gram)] = True
-    return Patterns(data, size, edits, size + 1 - Q - edits * Q, np.array([i for i, _ in cut]), gram, np.append(first, len(g)), p[o], at[o], seen)
+    return Patterns(data, size, edits, size + 1 - Q - edits * Q, np.array([i for i, _ in cut], dtype=object), gram, np.append(first, len(g)), p[o], at[o], seen)
 
 
-def aligned(text: np.ndarray, low: np.ndarray, width: int, ps: Patterns, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def aligned(text: np.ndarray, low: np.ndarray, width: int | np.ndarray, ps: Patterns, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each candidate's pattern against a region, within the diagonals ``low`` to ``low + width - 1``.
 
     Column c of row i stands for text place ``low + i + c``.  Returns the edits and the
     end place; the whole pattern is aligned, the text's ends are free.
     """
-    n, cols = len(low), np.arange(width)
-    big = 1 << 20
+    width = np.broadcast_to(width, len(low))
+    n, cols = len(low), np.arange(int(width.max(initial=1)), dtype=np.int32)
+    outside = cols[None, :] >= width[:, None]
+    padded_rows, big = bool(outside.any()), np.int32(1 << 20)
     size = ps.size[pattern]
-    row = np.zeros((n, width), dtype=np.int32)
+    rows = int(size.max()) if n else 0
+    row = np.where(outside, big, np.int32(0))
     best, end = np.full(n, big), np.zeros(n, dtype=np.int64)
-    padded = np.concatenate([text, np.zeros(1, np.uint8)])
-    for i in range(1, int(size.max()) + 1 if n else 0):
-        place = low[:, None] + i + cols[None, :] - 1  # the text byte that column c matches in row i
-        inside = (place >= 0) & (place < len(text))
-        byte = padded[np.where(inside, place, len(text))]
-        match = row + ((byte != ps.data[pattern, i - 1][:, None]) | ~inside)
-        skip = np.concatenate([row[:, 1:], np.full((n, 1), big, np.int32)], axis=1) + 1  # a pattern byte without a text byte
-        now = np.minimum(match, skip)
-        now = np.minimum.accumulate(now - cols, axis=1) + cols  # text bytes without a pattern byte
-        row = now.astype(np.int32)
+    place = low[:, None] + np.arange(rows + len(cols))[None, :]
+    region = np.where((place >= 0) & (place < len(text)), text[np.clip(place, 0, max(len(text) - 1, 0))], np.int16(-1)) if n else place
+    own = ps.data[pattern].astype(np.int16)
+    skip = np.full(row.shape, big + 1, np.int32)
+    for i in range(1, rows + 1):
+        match = row + (region[:, i - 1 : i - 1 + len(cols)] != own[:, i - 1, None])  # column c matches the text byte low + i + c - 1
+        skip[:, :-1] = row[:, 1:] + 1  # a pattern byte without a text byte
+        row = np.minimum(match, skip) - cols
+        row = np.minimum.accumulate(row, axis=1) + cols  # text bytes without a pattern byte
+        if padded_rows:
+            row[outside] = big
         done = size == i
         if done.any():
             c = row[done].argmin(axis=1)
@@ -144,19 +159,44 @@ def aligned(text: np.ndarray, low: np.ndarray, width: int, ps: Patterns, pattern
     return best, end
 
 
-def leaks(texts: K.Texts, ps: Patterns) -> list[tuple[int, int, int, int, int]]:
+def _whole_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether places lie within their documents and neither end is inside a word."""
+    inside = (start >= first) & (end <= last) & (end > start)
+    s, e = np.where(inside, start, 0), np.where(inside, end, 1)
+    begins = (s == first) | ~_WORD[data[s - 1]] | ~_WORD[data[s]]
+    return inside & begins & ((e == last) | ~_WORD[data[np.minimum(e, len(data) - 1)]] | ~_WORD[data[e - 1]])
+
+
+def _tiny_leaks(data: np.ndarray, bounds: np.ndarray, place: np.ndarray, origin: np.ndarray, ps: Patterns) -> list[tuple[int, int | None, int, int, int]]:
+    """Leaks of items that are shorter than a q-gram."""
+    out: list[tuple[int, int | None, int, int, int]] = []
+    tiny = np.flatnonzero(ps.size < Q)
+    whole = data.tobytes() if len(tiny) else b""
+    for p in tiny:
+        size, at, found = int(ps.size[p]), -1, []
+        word = ps.data[p, :size].tobytes()
+        while (at := whole.find(word, at + 1)) >= 0:
+            found.append(at)
+        start = np.array(found, dtype=np.int64)
+        doc = np.searchsorted(bounds, start, side="right") - 1
+        ok = _whole_words(data, start, start + size, bounds[doc], bounds[doc + 1]) if len(start) else np.zeros(0, dtype=bool)
+        out.extend((int(d), ps.item[p], int(place[s] - origin[d]), int(place[s + size - 1] + 1 - origin[d]), 0) for d, s in zip(doc[ok], start[ok], strict=True))
+    return out
+
+
+def leaks(texts: K.Texts, ps: Patterns) -> list[tuple[int, int | None, int, int, int]]:
     """(document, item, start byte, end byte, edits) of regions that match a pattern."""
     data, bounds, place = folded(texts)
+    out = _tiny_leaks(data, bounds, place, texts.bounds, ps)
     g = grams(data)
     if not len(g):
-        return []
+        return out
     hit = np.flatnonzero(ps.seen[_slot(g)])
     i = np.minimum(np.searchsorted(ps.gram, g[hit]), len(ps.gram) - 1)
     ok = ps.gram[i] == g[hit]
     doc = np.searchsorted(bounds, hit, side="right") - 1
     ok &= hit + Q <= bounds[doc + 1]
     hit, i, doc = hit[ok], i[ok], doc[ok]
-    out: list[tuple[int, int, int, int, int]] = []
     if not len(hit):
         return out
     many = ps.first[i + 1] - ps.first[i]
@@ -170,7 +210,7 @@ def leaks(texts: K.Texts, ps: Patterns) -> list[tuple[int, int, int, int, int]]:
     if not len(pair):
         return out
     cell = 2 * ps.edits[pattern] + 1
-    offset = len(data) + 4 * WINDOW  # diagonals may be negative
+    offset = len(data) + 4 * WHOLE  # diagonals may be negative
     number = (diagonal + offset) // cell
     key = pair * (2 * offset) + number
     cells, count = np.unique(key, return_counts=True)
@@ -187,18 +227,19 @@ def leaks(texts: K.Texts, ps: Patterns) -> list[tuple[int, int, int, int, int]]:
     step = 2 * ps.edits[p] + 1
     low = (cells % (2 * offset)) * step - offset - ps.edits[p]
     width = 2 * step + 2 * ps.edits[p]
-    for w in np.unique(width):
-        for first in range(0, len(p), 512):
-            m = np.flatnonzero(width[first : first + 512] == w) + first
-            if not len(m):
-                continue
-            edits, end = aligned(data, low[m], int(w), ps, p[m])
+    longer = ps.size[p] > WINDOW
+    for some in (np.flatnonzero(~longer), np.flatnonzero(longer)):  # few calls, bands of different widths together
+        for first in range(0, len(some), 512):
+            m = some[first : first + 512]
+            edits, end = aligned(data, low[m], width[m], ps, p[m])
             start = np.maximum(end - ps.size[p[m]], bounds[d[m]])
             fine = (edits <= ps.edits[p[m]]) & (end <= bounds[d[m] + 1] + ps.edits[p[m]])
+            short = np.flatnonzero(fine & (ps.size[p[m]] < MIN_BYTES))
+            fine[short] = _whole_words(data, end[short] - ps.size[p[m[short]]], end[short], bounds[d[m[short]]], bounds[d[m[short]] + 1])
             for j in np.flatnonzero(fine):
                 own = int(d[m[j]])
                 last = min(int(end[j]), int(bounds[own + 1]))
-                out.append((own, int(ps.item[p[m[j]]]), int(place[start[j]] - texts.bounds[own]), int(place[last - 1] + 1 - texts.bounds[own]), int(edits[j])))
+                out.append((own, ps.item[p[m[j]]], int(place[start[j]] - texts.bounds[own]), int(place[last - 1] + 1 - texts.bounds[own]), int(edits[j])))
     return out
 
 
@@ -214,7 +255,7 @@ def _search(shared):
                 found = [list(x) for x in b.column("spans")[keep].to_pylist()]
                 for d, item, start, end, edits in leaks(part, shared.value):
                     found[d].append({"item_id": item, "start": start, "end": end, "edits": edits})
-                spans = [sorted(x, key=lambda s: (s["item_id"], s["start"], s["end"], s["edits"])) for x in found]
+                spans = [sorted(x, key=lambda s: (s["item_id"] is None, s["item_id"] or 0, s["start"], s["end"], s["edits"])) for x in found]
                 yield batch(_OUT, b.column("doc_id")[keep], b.column("text")[keep], spans)
 
     return run
@@ -233,7 +274,7 @@ def _clean(shared):
 
 def _through_blocks(rows: DataFrame, benchmark: DataFrame, edits: float, step: Callable) -> DataFrame:
     """Rows after a pass for each block of patterns; only one block is on the driver at a time."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text")
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text")
     for n, block in enumerate(patterns_of(((r.item_id, r.text) for r in items.toLocalIterator()), edits)):
         if n and n % STAGE_BLOCKS == 0:
             rows = stored(rows, "decontaminated")
@@ -251,8 +292,8 @@ def leaked_spans(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     """``(doc_id, contaminated, item_ids, spans)`` of every row of ``docs(doc_id, text, ...)``.
 
     spans: byte ranges of the text that match a pattern of ``benchmark(item_id, text)``.
-    Null texts match nothing; items that are null or shorter than ``MIN_BYTES`` folded
-    bytes are not tested; without items nothing is contaminated.  Repeated and null
+    Null texts match nothing and null or blank items are found nowhere; items without
+    an item_id are tested like others; without items nothing is contaminated.  Repeated and null
     doc_ids keep their rows; extra columns are ignored.
     """
     prepare(docs.sparkSession)

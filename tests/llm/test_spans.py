@@ -171,3 +171,26 @@ def test_forest_expression_equals_the_forest(spark):
 def test_folding_keeps_places():
     data, bounds, place = D.folded(K.texts_of(pa.array(["A \n b", None, "  C"])))
     assert data.tobytes() == b"a b c" and bounds.tolist() == [0, 3, 3, 5] and place.tolist() == [0, 1, 4, 5, 7]
+
+
+def test_parts_of_items_short_items_and_items_without_id(spark, docs_of):
+    rng = random.Random(21)
+    items = [(i, words(rng, n)) for i, n in enumerate((36, 90))] + [(2, "Is Qatar big?"), (3, "Yes sir"), (4, "42"), (None, words(rng, 20))]
+    around = lambda part: f"{words(rng, 40)} {part} {words(rng, 40)}"
+    rows, want = [], {}
+    for i in (0, 1):
+        text = items[i][1]
+        for size in (80, 100, 150):
+            for at in range(0, len(text) - size + 1, 23):
+                want[len(rows)] = [i]
+                rows.append((len(rows), around(text[at : at + size]), "en", "s"))
+    for part, ids in (("he: IS  qatar big?", [2]), ("is qatar biggest", []), ("yes sir", [3]), ("yes sirs", []), ("the 42.", [4]), ("1425", []), (items[5][1], [None])):
+        want[len(rows)] = ids
+        rows.append((len(rows), around(part), "en", "s"))
+    rows += [(len(rows), "42", "en", "s"), (len(rows) + 1, "Is Qatar big?", "en", "s")]
+    want |= {len(rows) - 2: [4], len(rows) - 1: [2]}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = D.leaked_spans(docs_of(rows), benchmark).collect()
+    assert {r.doc_id: r.item_ids for r in got} == want
+    assert {r.doc_id for r in got if r.contaminated} == {d for d, ids in want.items() if ids}
+    assert {r.doc_id for r in D.clean_documents(docs_of(rows), benchmark).collect()} == {d for d, ids in want.items() if not ids}
