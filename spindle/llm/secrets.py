@@ -19,17 +19,23 @@ from pyspark.sql import functions as F
 
 from spindle.llm.trees import Trees, forest
 
-#: A candidate: an unbroken token of at least 16 characters, padded or not; what it holds is up to the forest.
-TOKEN = r"[A-Za-z0-9+/_.~-]{16,}+={0,2}"
-#: With what stands around it on its line, 48 characters before and 16 after at most.
-FINDING = rf"(?<![A-Za-z0-9+/_.~-])({TOKEN})"
-#: A text without 16 such characters in a row, a digit among them, is not cut.
-HINT = r"(?=[A-Za-z0-9+/_.~-]{16})[A-Za-z+/_.~-]{0,15}[0-9]"
 BEFORE, AFTER = 48, 16
 TREES, DEPTH = 25, 6
 
 # Words around secrets, words around other long tokens, and common word parts.
 SECRET_WORDS = ("token", "secret", "passwd", "password", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "client_secret")
+_START = r"(?<![A-Za-z0-9+/_.~-])"
+#: A candidate: an unbroken token of at least 16 characters, padded or not; what it holds is up to the forest.
+TOKEN = r"[A-Za-z0-9+/_.~-]{16,}={0,2}"
+#: A secret word and an assignment.
+ASSIGNMENT = rf"(?i:{'|'.join(sorted(SECRET_WORDS, key=len, reverse=True))})[\"']?\s{{0,2}}(?::=|=>|[:=])\s{{0,2}}[\"']?"
+_PLAIN = r"[^\s\"'`<>(){}\[\],;]"
+#: Or what follows these, shorter or with other characters, up to the next such token.
+ASSIGNED = rf"(?![:=>])(?:(?!{_START}[A-Za-z0-9+/_.~-]{{16}}){_PLAIN}){{4,256}}+"
+#: Places of candidates; their surroundings are 48 characters before and 16 after at most.
+FINDING = rf"({_START}{TOKEN}|(?<=[:=>\s\"'])(?<={ASSIGNMENT}){ASSIGNED})"
+#: A text without either is not cut.
+HINT = rf"[A-Za-z0-9+/_.~-]{{16}}|{ASSIGNMENT}{_PLAIN}{{4}}"
 OTHER_WORDS = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "revision", "uuid", "guid", "etag", "integrity", "version", "http", "href", "src")
 DICTIONARY = (
     "account", "action", "address", "admin", "application", "array", "block", "build", "button", "cache", "check", "class", "client", "code", "color", "column", "config", "content", "control", "count", "create",
@@ -106,6 +112,15 @@ def labelled_findings(n: int = 240) -> list[tuple[str, str, str, int]]:
         out.append(((("x", "0", "your", "-", "=")[i % 5] * 24)[: 18 + i % 9], f"{word} = {quote}", quote, 0))
         out.append((".".join(("192", "168", str(i % 256), str(i * 7 % 256))) + "." * 6, "", "", 0))
         out.append(("".join(w[:4])[:40].ljust(16, "e"), ("", "the ")[i % 2], "", 0))
+        assigned = (f"{word} = {quote}", f"{word}: {quote}", f"my_{word}={quote}")[i % 3]
+        out.append((noise(i, lower + upper, 16 + i % 24), assigned, quote, 1))
+        out.append(("".join(x.capitalize() for x in w[: 3 + i % 2]), assigned, quote, 1))
+        out.append((noise(i, base[:62] + "@!$#:%&*", 7 + i % 9), assigned, quote, 1))
+        out.append((w[0].capitalize() + ("@", "!", "$", "#", "")[i % 5] + noise(i, digits, 2 + i % 4), assigned, quote, 1))
+        out.append(((w[0], w[0].capitalize(), f"{w[0]}.", "None", "true", "null", "string", "required")[i % 8], assigned, quote, 0))
+        out.append((f"{w[0]}.{w[1]}", assigned, "(", 0))
+        out.append((("https://" + "/".join(w[:2]), f"${{{w[0]}", f"${w[0].upper()}", f"%{w[0]}%")[i % 4], assigned, quote, 0))
+        out.append(("".join(w[:3]).ljust(16, "e"), ("of ", f"{w[3]}: ", f"{other} ")[i % 3], "", 0))
     return out
 
 
@@ -156,7 +171,7 @@ def scan_secrets(docs: DataFrame, at_least: float = 0.5, findings: int = 240) ->
         "doc_id", "n", start.alias("start"), value.alias("value"),
         F.substring("text", F.greatest(F.lit(1), start + 1 - BEFORE), F.least(F.lit(BEFORE), start)).alias("before"),
         F.substring("text", start + 1 + F.length(value), F.lit(AFTER)).alias("after"),
-    ).where(F.col("value").rlike("[0-9]"))
+    )
     cols = feature_columns(F.col("value"), F.col("before"), F.col("after"))
     scored = named.select("doc_id", "n", "start", "value", *(c.alias(k) for k, c in cols.items()))
     score = as_column(model, [F.col(k) for k in FEATURES])
