@@ -9,7 +9,8 @@ gender that the title or name tells, with a surname from the bijection.
 The collision check is over the whole corpus: surrogates that equal an entity
 that is really there, or another entity's surrogate, are drawn again under the
 next tweak, until none is left; the few entities that needed it go to the final
-pass by document.
+pass by document.  Short names and emails may have fewer strings of their shape
+than the corpus has entities: after a few draws theirs get longer by a letter each.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,10 @@ from spindle.llm.common import batch, prepare, semi_by_id, stored
 
 KEY = b"spindle surrogate key: replace for production"
 ROUNDS = 8
-#: Draws for an entity whose surrogates keep colliding.
+#: Draws in an entity's own shape; each later one of a name or email is a letter longer.
 TRIES = 5
+#: Draws after which what still collides is an error.
+MOST = 60
 
 # Titles, given names and their gender.
 TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "dr": "n", "prof": "n"}
@@ -95,10 +99,11 @@ def shaped(text: str, key: bytes, tweak: bytes) -> str:
 def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The replacement of an entity.  Email hosts keep their last label, phones their country code, names their title."""
     tweak = f"{kind}:{attempt}".encode()
+    more = ("en" * attempt)[: max(0, attempt - TRIES)]
     if kind == "email":
         local, _, host = entity.rpartition("@")
         head, _, top = host.rpartition(".")
-        mixed = shaped(f"{local}@{head}", key, tweak)
+        mixed = shaped(f"{local}{more[: max(0, 64 - len(local))]}@{head}", key, tweak)
         return f"{mixed}.{top}"
     if kind == "ip":
         value = int.from_bytes(bytes(int(x) for x in entity.split(".")), "big")
@@ -119,7 +124,7 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
             names = GIVEN[gender]
             words[0] = names[_noise(key, tweak, 99, int.from_bytes(words[0].encode(), "big")) % len(names)]
             tweak += b":" + entity.encode().split(b" ")[-2]  # with the given name, so that namesakes differ
-        words[-1] = shaped(words[-1], key, tweak)
+        words[-1] = shaped(words[-1] + more, key, tweak)
         return " ".join(lead + words)
     return shaped(entity, key, tweak)
 
@@ -180,11 +185,12 @@ def _replace(key: bytes):
 def redrawn_entities(found: DataFrame, key: bytes) -> DataFrame:
     """``(kind, entity, attempt)`` of entities whose first surrogate collides, with the first attempt that doesn't.
 
+    Fails if collisions are left after ``MOST`` draws.
     ``found(kind, entity, surrogate)``: the distinct entities of the corpus.
     """
     real = found.select("kind", F.col("entity").alias("surrogate")).distinct()
     state = found.select("kind", "entity", F.lit(0).alias("attempt"), "surrogate")
-    for attempt in range(1, TRIES + 1):
+    for attempt in count(1):
         shared = state.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("keeper")).where("n > 1")
         doubled = state.join(shared, ["kind", "surrogate"]).where("entity <> keeper").select("kind", "entity")
         taken = state.where("entity <> surrogate").join(real, ["kind", "surrogate"], "left_semi").select("kind", "entity")
@@ -192,6 +198,8 @@ def redrawn_entities(found: DataFrame, key: bytes) -> DataFrame:
         bad = stored(doubled.union(taken).union(same).distinct(), "collisions")
         if bad.isEmpty():
             break
+        if attempt > MOST:
+            raise RuntimeError(f"surrogates of {bad.count()} entities still collide after {MOST} draws")
         again = bad.select("kind", "entity", F.lit(attempt).alias("attempt")).mapInArrow(_draw(key), "kind string, entity string, attempt int, surrogate string")
         state = stored(state.join(bad, ["kind", "entity"], "left_anti").unionByName(again), "surrogates")
     return state.where("attempt > 0").select("kind", "entity", "attempt")
