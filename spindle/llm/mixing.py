@@ -56,10 +56,18 @@ def mix_sources(docs: DataFrame, seed: str = SEED, bucket_rows: int = BUCKET_ROW
     interchangeable; rows without doc_id are placed by their text; a source of
     size 0 has target 0; an empty table gives an empty result.
     """
+    return _taken(docs, seed, bucket_rows, max_epochs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _key(seed: str):
     place = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), place)), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), place)), 1, 15), 16, 10).cast("long")
+
+
+def _taken(docs: DataFrame, seed: str = SEED, bucket_rows: int = BUCKET_ROWS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``mix_sources`` with the key and source of each row."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select("doc_id", size.alias("size"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s_null"), key.alias("key")), "sizes")
+    rows = stored(docs.select("doc_id", size.alias("size"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s_null"), _key(seed).alias("key")), "sizes")
     targets = stored(source_targets(rows.groupBy("s", "s_null").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")), max_epochs), "targets")
     on = ["s", "s_null"]
     buckets = F.ceil(F.col("rows") / bucket_rows)
@@ -73,21 +81,28 @@ def mix_sources(docs: DataFrame, seed: str = SEED, bucket_rows: int = BUCKET_ROW
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target") - epochs * F.col("source_size"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - start))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "key", *on, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows the mix takes, each as often as its words are taken (to the nearest whole copy), with the columns of ``docs``.
 
     The row at a source's cut counts if at least half of it is taken.  Rows
-    that share a doc_id are taken as one of their rows says.
+    that share a doc_id are taken as one of their rows says, and so are rows without
+    one that share source and text.
     """
-    taken = mix_sources(docs, **options)
+    taken = _taken(docs, **options)
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    wanted = taken.where("size > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(copies).alias("__copies")).where("__copies > 0")
+    # of rows without doc_id, key and source tell them apart
+    own = [F.when(F.col("doc_id").isNull(), F.col(c)).alias(f"__{c}") for c in ("key", "s", "s_null")]
+    wanted = taken.where("size > 0").groupBy("doc_id", *own).agg(F.max(copies).alias("__copies")).where("__copies > 0")
     wanted = stored(wanted, "wanted")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    wanted = F.broadcast(wanted) if few else wanted
+    named = docs.join(wanted.where("doc_id IS NOT NULL").select("doc_id", "__copies"), "doc_id").select(*docs.columns, "__copies")
+    on = {"__key": _key(options.get("seed", SEED)), "__s": F.coalesce("source", F.lit("")), "__s_null": F.col("source").isNull()}
+    others = docs.where("doc_id IS NULL").withColumns(on).join(wanted.where("doc_id IS NULL").select(*on, "__copies"), [*on]).select(*docs.columns, "__copies")
+    return named.union(others).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 ORACLE_SQL = f"""

@@ -128,3 +128,14 @@ def test_digest(docs_of):
     got = sorted((tuple(r) for r in T.token_id_files(docs_of(rows).repartition(3), PATH).collect()), key=lambda r: r[1])
     assert got == want
     assert T.token_id_files(docs_of([]), PATH).count() == 0
+
+
+def test_rows_without_id_stay_in_the_mix(docs_of):
+    frame = docs_of([(None, f"no id {i}", "en", s) for i in range(20) for s in ("a", None)] + [(7, "with id too", "en", "a")])
+    taken = {(r.doc_id, r.size): 0 for r in mixing.mix_sources(frame).collect()}
+    got = mixing.mixed_documents(frame)
+    assert got.columns == frame.columns and len(taken) == 2
+    sources = [(r.doc_id, r.source) for r in got.collect()]
+    for source in ("a", None):
+        want = sum(r.taken for r in mixing.mix_sources(frame).where(f"source_size = {63 if source else 60}").collect())
+        assert abs(3 * sum(s == source for _, s in sources) - want) <= 3
