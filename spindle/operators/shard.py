@@ -9,22 +9,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from spindle.durable import stored
 from spindle.functions.det import digest
 
 
 def numbered(df: DataFrame, *order: Column | str, position: str = "position", n: str = "n") -> DataFrame:
     """``df`` with each row's number in the order and the number of rows.
 
-    Rows are ranged and sorted by the order; only a row for each range is numbered
-    in one task.  Ties keep no order of their own, so the order should be total.
+    Rows are ranged and sorted once and written to the shared folder with their
+    range and their place in it; only a row for each range is numbered in one task.
+    Numbers thus come from the very rows that were sorted, whatever a second look
+    at them would sample.  Ties are broken by a hash of the whole row, then by its
+    place in the input, so that ties and equal rows of any number spread over ranges too.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id())
-    local = ranged.withColumn("__in", F.col("__in").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = local.groupBy("__part").count()
+    if {position, n} & set(df.columns):
+        raise ValueError(f"the rows already have a column {position} or {n}")
+    own = [F.col(f"`{c}`") for c in df.columns]
+    rest = [F.col(f"`{f.name}`") for f in df.schema if _hashable(f.dataType)]
+    order = (*order, "__tie", "__row")
+    keyed = df.select(*own, (F.xxhash64(*rest) if rest else F.lit(0)).alias("__tie"), F.monotonically_increasing_id().alias("__row"))
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(ranged.select(*own, F.spark_partition_id().alias("__part"), in_range.alias("__in")), "numbered")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"), F.sum("count").over(Window.partitionBy()).alias(n))
-    return local.join(F.broadcast(starts), "__part").withColumn(position, F.col("__start") + F.col("__in")).drop("__part", "__in", "__start")
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
+    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"), F.sum("__size").over(Window.partitionBy()).alias("__n"))
+    found = placed.join(F.broadcast(starts), "__part")  # a row for each range
+    return found.select(*own, (F.col("__start") + F.col("__in")).alias(position), F.col("__n").alias(n))
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def floor_slice(position: Column, n: Column, shards: int) -> Column:

@@ -33,11 +33,11 @@ def q_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.repeated_keys(Tables(spark, sf_dir).lineitem, "l_partkey")
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events WHERE user_id % 2 = 0")
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY user_id, event_id) - 1 AS position FROM events")
 def q_restore_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Tables(spark, sf_dir).events.select("event_id", "user_id", "event_type")
-    order = numbered(e.where("user_id % 2 = 0").select("event_id"), "event_id").drop("n")
-    return records.restored(e, order, "event_id", "position", 4).select("event_id", "position")
+    order = numbered(e, "user_id", "event_id").select("event_id", "position")
+    return records.restored(e, order, "event_id", "position", 4).select("event_id", "event_type", "position")
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 32) = substr(sha256(CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE text END), 1, 32) AS ok FROM documents")
@@ -105,7 +105,7 @@ def q_ratio_sane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) WHERE p >= n // 2")
 def q_from_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(Tables(spark, sf_dir).documents.select("doc_id"), "doc_id").where(F.col("position") >= F.floor(F.col("n") * 0.5)).select("doc_id")
+    return numbered(Tables(spark, sf_dir).documents, "doc_id").where(F.col("position") >= F.floor(F.col("n") * 0.5)).select("doc_id")
 
 
 @query("SELECT event_type AS dataset, CAST(s.shard AS BIGINT) AS shard, CAST(count(e.event_id) AS BIGINT) AS seen FROM (SELECT DISTINCT event_type FROM events) d CROSS JOIN (SELECT unnest(range(0, 160)) AS shard) s LEFT JOIN events e USING (event_type) WHERE e.user_id = s.shard GROUP BY 1, 2 "

@@ -14,7 +14,8 @@ _RN = "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, c
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard.numbered(Tables(spark, sf_dir).documents.select("doc_id"), "doc_id")
+    """Documents with all their columns, numbered."""
+    return shard.numbered(Tables(spark, sf_dir).documents, "doc_id")
 
 
 def _place() -> Column:
@@ -25,6 +26,12 @@ def _rows() -> Column:
     return F.col("n")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS position, count(*) OVER () AS n FROM lineitem")
+def q_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard.numbered(Tables(spark, sf_dir).lineitem, F.col("l_shipdate").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return placed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "position", "n")
+
+
 @query(_RN + " SELECT doc_id, CAST(CASE WHEN p // (n // 7) < 7 THEN p // (n // 7) END AS BIGINT) AS shard, CAST(CASE WHEN p // (n // 7) < 7 THEN n // 7 - 1 - p % (n // 7) END AS BIGINT) AS place FROM r")
 def q_shard_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", shard.floor_slice(_place(), _rows(), 7).cast("long").alias("shard"), shard.reversed_place(_place(), _rows(), 7).alias("place"))

@@ -38,6 +38,30 @@ def test_fixed_sizes_and_rotation(spark):
     assert [r.id for r in rows.orderBy(shard.rotated(F.col("position"), F.col("n"), 3)).collect()] == [4, 5, 1, 2, 3]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_of_many_rows_with_payload(spark, adaptive):
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 1_000_000
+        rows = spark.range(n).select((F.col("id") % 1000).alias("k"), F.lit("the same").alias("c"), F.md5(F.col("id").cast("string")).alias("payload"))
+        placed = shard.numbered(rows, F.col("k").desc())
+        assert placed.columns == ["k", "c", "payload", "position", "n"]
+        assert tuple(placed.agg(F.count("*"), F.count_distinct("position"), F.min("position"), F.max("position"), F.min("n"), F.max("n"), F.count_distinct("payload")).first()) == (n, n, 0, n - 1, n, n, n)
+        assert placed.where("position < 1000 * (999 - k) OR position >= 1000 * (1000 - k)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_numbers_of_odd_rows(spark):
+    rows = spark.sql("SELECT * FROM VALUES (NULL, map('a', 1)), (NULL, NULL), (1, map('b', 2)), (1, map('b', 2)), (1, map('b', 2)) AS t(x, m)")
+    got = shard.numbered(rows, "x").orderBy("position").collect()
+    assert [r.position for r in got] == [0, 1, 2, 3, 4] and [r.x for r in got] == [None, None, 1, 1, 1]
+    assert shard.numbered(rows.limit(0), "x").count() == 0
+    with pytest.raises(ValueError):
+        shard.numbered(spark.range(3).withColumnRenamed("id", "n"), "n")
+
+
 def test_few_rows_for_many_workers(spark):
     rows = shard.numbered(spark.range(2), "id")
     s = lambda **k: sorted(tuple(r.s) for r in rows.select(shard.two_level(F.col("position"), F.col("n"), 2, 2, **k).alias("s")).collect())
