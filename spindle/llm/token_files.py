@@ -17,6 +17,7 @@ length 0.  A chunk can be read alone through the index.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -40,9 +41,12 @@ _BITS = 1 << 31
 _TAIL = struct.Struct("<6Q8s")
 _ENTRY = np.dtype([("offset", "<u8"), ("n_ids", "<u4"), ("planes", "<u4", (4,))])
 END_ID = 2
-#: Pieces that an encoder remembers, and texts that it hands to the library at once.
-CACHE_PIECES = 3_000_000
+#: Pieces that an encoder remembers, texts that it hands to the library at once, bytes of text that it cuts at once.
+CACHE_PIECES = 1_000_000
 ENCODE_TEXTS = 4096
+ENCODE_BYTES = 1 << 20
+#: Characters by which rows of one doc_id are ordered before a hash decides.
+TIE_CHARS = 64
 
 
 # --- the format ---------------------------------------------------------------
@@ -177,7 +181,9 @@ class Encoder:
     between two characters that are no white space.  So each distinct piece
     between such blanks is encoded once by the library; up to ``CACHE_PIECES`` are
     remembered by a 64-bit hash, checked by length and ends, and their ids are
-    gathered for all places of a slice.  Texts of other tokenizers are encoded whole.
+    gathered for all places of a slice.  Strings of added tokens in a text are these
+    tokens, as in the library: texts are cut there first, and each part is a text
+    of its own.  Texts of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -185,9 +191,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # the longest of those that begin at one place
+        self.added = sorted((t.content.encode() for t in added if t.content), key=len, reverse=True)
+        self.at_added = re.compile(b"|".join(map(re.escape, self.added)) or b"(?!)")
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.by_piece &= not any(t.single_word or t.lstrip or t.rstrip for t in added)
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._forget()
 
@@ -208,7 +218,7 @@ class Encoder:
 
         A line feed between two such pieces is always a token of its own.
         """
-        simple = [len(w := p.split()) == 1 and len(w[0]) >= len(p) - 1 and p.endswith(w[0]) for p in pieces]
+        simple = [len(w := p.split()) == 1 and len(w[0]) >= len(p) - 1 and p.endswith(w[0]) and not self.at_added.search(p.encode()) for p in pieces]
         lines = [p for p, s in zip(pieces, simple, strict=True) if s]
         flat, _ = self._plain(["\n".join(lines[i : i + ENCODE_TEXTS]) + "\n" for i in range(0, len(lines), ENCODE_TEXTS)])
         ends = np.flatnonzero(flat == self.line_feed)
@@ -255,10 +265,12 @@ class Encoder:
         split = data == 0x20
         split[1:] &= ~space[:-1]
         split[:-1] &= ~space[1:]
-        edges = bounds[:-1][bounds[:-1] < len(data)]
-        last = bounds[1:][bounds[1:] > 0] - 1
-        split[last] = False
-        split[edges] = True  # a text begins a piece
+        tokens = self._added_in(part)
+        for a, b in tokens:
+            split[a:b] = False
+        cuts = np.concatenate([bounds, np.array(tokens, dtype=np.int64).reshape(-1)])
+        split[cuts[cuts > 0] - 1] = False  # not before a blank that ends a text
+        split[cuts[cuts < len(data)]] = True  # a text begins a piece, and so does what follows an added token
         start = np.flatnonzero(split)
         end = np.append(start[1:], len(data))
         number = self._numbers(part, start, end)
@@ -270,11 +282,18 @@ class Encoder:
         at = np.searchsorted(start, bounds)
         return ids, edge[at[1:]] - edge[at[:-1]]
 
+    def _added_in(self, part: K.Texts) -> list[tuple[int, int]]:
+        """Places of added tokens within the texts."""
+        raw = part.data.tobytes()
+        if not any(t in raw for t in self.added):
+            return []
+        return [m.span() for a, b in zip(part.bounds[:-1].tolist(), part.bounds[1:].tolist(), strict=True) for m in self.at_added.finditer(raw, a, b)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text (null: none)."""
         if not self.by_piece:
             return self._plain(texts.fill_null("").to_pylist())
-        parts = [self._slice(part) for _, _, part in K.slices(K.texts_of(texts), K.TABLE_BYTES)]
+        parts = [self._slice(part) for _, _, part in K.slices(K.texts_of(texts), ENCODE_BYTES)]
         return np.concatenate([np.zeros(0, np.uint32), *(i for i, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
 
 
@@ -360,7 +379,10 @@ def _reader(folder: str):
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS, files: int | None = None) -> DataFrame:
-    """Writes ``docs(doc_id, text, ...)`` in ascending doc_id order (null first, ties by text) and returns the manifest.
+    """Writes ``docs(doc_id, text, ...)`` in ascending doc_id order (null first) and returns the manifest.
+
+    Rows of one doc_id, or without one, are ordered by the first ``TIE_CHARS`` characters of
+    their text, then by a hash of it, and any number of them spreads over files.
 
     The manifest ``(part, file, n_docs, n_ids, start)`` has a row for each file,
     in order; ``start``: ids in all files before.  ``folder`` is a URI that every
@@ -368,7 +390,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """
     prepare(docs.sparkSession)
     n = files or partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, TIE_CHARS).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "head", "hash", "row").sortWithinPartitions("doc_id", "head", "hash").select("doc_id", "text")
     manifest = ordered.mapInArrow(_writer(folder, tokenizer, end_id, chunk_ids), "part int, file string, n_docs long, n_ids long")
     path = table_path(docs.sparkSession, "manifest")
     manifest.write.parquet(path)

@@ -95,11 +95,12 @@ def test_broken_files_are_refused():
 
 
 TRICKY = [None, "", " ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n  b", "x\t y", "x  b", "  b", "don't stop 's", "a\n\n b\r\n", "é文 <|endoftext|> z", "tab\tx  y", "end.\nThe cat's  12 3", "\x1c a\x85 b"]
+END = "<|endoftext|>"
+TRICKY += [END, f"{END}a b", f"a b{END}", f"a {END} b", f"a  {END}  b", f"x{END}y", f"{END}{END}", f" {END}\n{END} ", "<|endof", "text|> b", f"<|endof{END}text|>", f"é{END}\n\n  文 {END}"]
 
 
 def test_encoder_is_the_library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     encoder = T.Encoder(PATH)
     for _ in range(2):  # cold, then from memory
         ids, n = encoder.encode(pa.array(TRICKY, pa.string()))
@@ -117,7 +118,7 @@ def test_encoder_on_any_text(texts):
 
 
 def test_digest(docs_of):
-    rows = [(5, "b b", "en", "s"), (None, "no id", "en", "s"), (2, None, "en", "s"), (5, "a a", "en", "s"), (9, "word " * 5000, "en", "s")]
+    rows = [(5, "b b", "en", "s"), (None, "no id", "en", "s"), (2, None, "en", "s"), (5, "a a", "en", "s"), (9, "word " * 5000, "en", "s"), (3, f"one{END} two", "en", "s")]
     tokenizer = Tokenizer.from_file(PATH)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want, start = [], 0
@@ -130,6 +131,14 @@ def test_digest(docs_of):
     assert T.token_id_files(docs_of([]), PATH).count() == 0
 
 
+def test_rows_of_one_id_spread_over_files(docs_of, spark, tmp_path):
+    rows = [(None, f"text {i % 7}", "en", "s") for i in range(400)] + [(1, "a", "en", "s")] * 200
+    manifest = T.write_token_files(docs_of(rows), f"file://{tmp_path}", PATH, files=6).collect()
+    assert max(r.n_docs for r in manifest) < 200 and sum(r.n_docs for r in manifest) == 600
+    got = T.read_token_files(spark.createDataFrame(manifest), f"file://{tmp_path}").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 400 + [1] * 200
+
+
 def test_rows_without_id_stay_in_the_mix(docs_of):
     frame = docs_of([(None, f"no id {i}", "en", s) for i in range(20) for s in ("a", None)] + [(7, "with id too", "en", "a")])
     taken = {(r.doc_id, r.size): 0 for r in mixing.mix_sources(frame).collect()}
