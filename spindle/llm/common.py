@@ -1,52 +1,29 @@
-"""Shared helpers: durable intermediate tables, bounded broadcasts, reading of the corpus tables."""
+"""Shared helpers: bounded broadcasts, batches, reading of the corpus tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.durable import released, shared_dir, stored, table_path  # noqa: F401
 from spindle.ship import ship
 
 #: A set of ids or keys is broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
-#: Rows of one Arrow batch handed to Python; with texts of a few KB a batch is a few MB.
+#: Rows and bytes of one Arrow batch handed to Python, unless a single row is larger.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 #: The words of every contract: runs of characters other than these.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = tempfile.mkdtemp(prefix="spindle-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends here and survives lost executors."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def prepare(spark: SparkSession) -> None:
     """Sends the package to the Python workers and bounds an Arrow batch of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship(spark)
 
 
