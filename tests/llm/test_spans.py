@@ -70,6 +70,65 @@ def distance(pattern, text):
     return min(row)
 
 
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        new = [i + 1]
+        for j, t in enumerate(b):
+            new.append(min(row[j] + (c != t), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_verdicts_do_not_depend_on_neighbours():
+    """Every document of a slice, in any order, gets what brute force over its own bytes finds."""
+    rng = random.Random(5)
+    items = [words(rng, n) for n in (1, 2, 3, 3, 4, 4, 5, 6, 8, 11, 14, 25, 30)]
+    blocks = list(D.patterns_of(enumerate(items)))
+    patterns = [(b, p) for b in blocks for p in range(len(b.size))]
+    docs = []
+    for t in items:
+        for at in (8, len(t) // 2, len(t) - 9):
+            docs += [words(rng, 2) + " " + t[:at], t[at:] + " " + words(rng, 2)]  # an item that ends in the next document
+        docs += [f"{words(rng, 3)} {edited(rng, t, n)} {words(rng, 3)}" for n in range(5)] + [t, t[1:], t + "z"]
+
+    def brute(text, block, p):
+        pattern, budget = block.data[p, : block.size[p]].tobytes(), int(block.edits[p])
+        if distance(pattern, text) > budget:
+            return False
+        if block.q == D.Q:
+            return True
+        ends = lambda at: at in (0, len(text)) or not (D._WORD[text[at - 1]] and D._WORD[text[at]])
+        places = [at for at in range(len(text) + 1) if ends(at)]
+        return any(whole_distance(pattern, text[a:b]) <= budget for a in places for b in places if abs(b - a - len(pattern)) <= budget)
+
+    want = {t: {int(b.item[p]) for b, p in patterns if brute(t.lower().encode(), b, p)} for t in docs}
+    for turn in range(4):
+        found = {}
+        for block in blocks:
+            for d, item, *_ in D.leaks(K.texts_of(pa.array(docs)), block):
+                found.setdefault(docs[d], set()).add(int(item))
+        assert found == {t: ids for t, ids in want.items() if ids}, turn
+        rng.shuffle(docs)
+
+
+def test_edit_budgets():
+    size = np.arange(1, 193)
+    for q, low, high in ((D.SHORT_Q, 1, D.MIN_BYTES), (D.Q, D.MIN_BYTES, 193)):
+        own = size[(size >= low) & (size < high)]
+        assert (D.budget(own, D.EDITS, q) == np.where(own < D.EXACT, 0, own // 10)).all()
+
+
+def test_many_blocks_take_one_pass(spark, docs_of, monkeypatch):
+    rng = random.Random(13)
+    monkeypatch.setattr(D, "BLOCK_PATTERNS", 4)
+    items = [(i, words(rng, 12)) for i in range(30)]
+    docs = docs_of([(i, f"{words(rng, 9)} {items[i][1] if i % 2 else ''} {words(rng, 9)}", "en", "s") for i in range(30)])
+    found = D.leaked_spans(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert found._jdf.queryExecution().toString().count("MapInArrow") <= 4  # one node in each of the four plans
+    assert {r.doc_id: r.item_ids for r in found.collect()} == {i: [i] if i % 2 else [] for i in range(30)}
+
+
 def test_banded_alignment_is_edit_distance():
     rng = random.Random(3)
     for _ in range(60):
@@ -77,8 +136,9 @@ def test_banded_alignment_is_edit_distance():
         text = words(rng, 4) + " " + edited(rng, pattern, rng.randrange(8)) + " " + words(rng, 4)
         ps = D._block([(1, np.frombuffer(pattern.encode(), np.uint8))], 0.5)
         raw = np.frombuffer(text.encode(), np.uint8)
-        best, _ = D.aligned(raw, np.array([-len(pattern)]), len(text) + 2 * len(pattern), ps, np.array([0]))
+        best, start, end = D.aligned(raw, np.array([0]), np.array([len(raw)]), np.array([-len(pattern)]), len(text) + 2 * len(pattern), ps, np.array([0]))
         assert best[0] == distance(pattern.encode(), text.encode())
+        assert whole_distance(pattern.encode(), raw[start[0] : end[0]].tobytes()) == best[0]
 
 
 def test_spans_point_into_the_text(leaked):
