@@ -48,15 +48,15 @@ from spindle.llm.components import components
 SHORT_LIST = 16
 #: Sets in a block of a long list; candidates that connect fewer than twice as many sets are checked in one group.
 BLOCK = 1024
-#: Shingles of one block at most, so that long texts make more blocks.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles of one block at most, so that long texts make more blocks: a group of two blocks takes some 60 MB.
+BLOCK_SHINGLES = 400_000
 #: Bits of the filter that keeps postings of repeated keys only (32 MB).
 FILTER_BITS = 1 << 28
 #: The most frequent shingles that the global order knows, all others count as rare.
 COMMON = 200_000
 #: A shingle is a candidate for these if it is in this many documents of a run of COUNT_BYTES of text ...
 COMMON_IN_RUN = 3
-COUNT_BYTES = 32 << 20
+COUNT_BYTES = 8 << 20
 #: ... and in this many documents by the sum of such runs.
 COMMON_IN_ALL = 32
 
@@ -196,19 +196,41 @@ def _postings(k: int, percent: int, boundary: int, common, bitmap):
 
 
 class _Forest:
+    """Labels of sets that are connected so far, and the links that connected them."""
+
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Links ``i`` with one set of each label among the others that isn't its own."""
+        labels, first = np.unique(self.label[others], return_index=True)
+        for x, j in zip(labels.tolist(), others[first].tolist(), strict=True):
+            if x != self.label[i]:
+                self.links.append((i, j))
+                self.label[self.label == x] = self.label[i]
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+class _Lists:
+    """Inverted lists of sets given one after another (``doc`` ascending); ``shared(i)``: members that set i has in common with each earlier one."""
+
+    def __init__(self, doc: np.ndarray, token: np.ndarray, n: int):
+        by = np.argsort(token, kind="stable")
+        self.doc = doc[by]
+        first = np.concatenate([[0], np.cumsum(np.bincount(token))])
+        self.first = first[token]  # of each member: where its list begins ...
+        self.before = np.empty(len(token), np.int64)  # ... and how many earlier sets are in it
+        self.before[by] = np.arange(len(token)) - first[token[by]]
+        self.at = np.searchsorted(doc, np.arange(n + 1))
+
+    def shared(self, i: int) -> np.ndarray:
+        own = slice(self.at[i], self.at[i + 1])
+        many = self.before[own]
+        total = int(many.sum())
+        if not total:
+            return np.zeros(i, np.int64)
+        place = np.repeat(self.first[own] - (np.cumsum(many) - many), many) + np.arange(total)
+        return np.bincount(self.doc[place], minlength=i)
 
 
 def forest_of(values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -220,18 +242,19 @@ def forest_of(values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[in
     keep = df[token] > 1
     doc, token = doc[keep], token[keep]
     wide, token = np.unique(token, return_inverse=True)
-    forest, out = _Forest(g), []
-    scan = float((np.bincount(token).astype(float) ** 2).sum()) if len(token) else 0.0
+    forest = _Forest(g)
+    scan = float((np.bincount(token).astype(float) ** 2).sum()) / 2 if len(token) else 0.0
     dense = float(g) * g * len(wide) / 16
 
     def rows(i: int, shared: np.ndarray) -> None:
-        for j in np.flatnonzero((shared > 0) & (100 * shared >= percent * (n[i] + n[: len(shared)] - shared))):
-            if forest.join(i, int(j)):
-                out.append((i, int(j)))
+        j = np.flatnonzero(shared)
+        j = j[100 * shared[j] >= percent * (n[i] + n[j] - shared[j])]
+        if len(j):
+            forest.join(i, j)
 
     if not len(token):
-        return out
-    if dense <= scan and g * len(wide) <= 16 << 20:
+        return forest.links
+    if dense <= scan and g * len(wide) <= 8 << 20:
         x = np.zeros((g, len(wide)), dtype=np.float32)
         x[doc, token] = 1
         for first in range(0, g, 256):
@@ -239,13 +262,10 @@ def forest_of(values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[in
             for i in range(first, min(first + 256, g)):
                 rows(i, counts[i - first, :i])
     else:
-        by = np.argsort(token, kind="stable")
-        lists = np.split(doc[by], np.cumsum(np.bincount(token))[:-1])
-        own = np.split(token, np.searchsorted(doc, np.arange(1, g)))
-        for i in range(g):
-            if len(own[i]):
-                rows(i, np.bincount(np.concatenate([lists[t] for t in own[i]]), minlength=g)[:i])
-    return out
+        lists = _Lists(doc, token, g)
+        for i in range(1, g):
+            rows(i, lists.shared(i))
+    return forest.links
 
 
 def _group_links(k: int, percent: int):
@@ -301,20 +321,16 @@ def near_forest(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> list
     order = np.argsort(top, kind="stable")
     sketches, n, top = [sketches[o] for o in order], n[order], top[order]
     size = np.array([len(s) for s in sketches])
-    values, doc = np.concatenate(sketches), np.repeat(np.arange(len(n)), size)
-    _, token = np.unique(values, return_inverse=True)
-    by = np.argsort(token, kind="stable")
-    lists = np.split(doc[by], np.cumsum(np.bincount(token))[:-1]) if len(token) else []
-    own = np.split(token, np.cumsum(size)[:-1])
-    forest, out = _Forest(len(n)), []
+    _, token = np.unique(np.concatenate(sketches), return_inverse=True)
+    lists, forest = _Lists(np.repeat(np.arange(len(n)), size), token, len(n)), _Forest(len(n))
     for i in range(1, len(n)):
-        shared = np.bincount(np.concatenate([lists[t] for t in own[i]]), minlength=len(n))[:i] if len(own[i]) else np.zeros(i, int)
+        shared = lists.shared(i)
         differ = np.searchsorted(sketches[i], top[:i], side="right") + size[:i] - 2 * shared
         o = overlap(n[i], n[:i], percent)
-        for j in np.flatnonzero((o <= np.minimum(n[i], n[:i])) & (differ <= n[i] + n[:i] - 2 * o)):
-            if forest.join(i, int(j)):
-                out.append((int(order[i]), int(order[j])))
-    return out
+        near = np.flatnonzero((o <= np.minimum(n[i], n[:i])) & (differ <= n[i] + n[:i] - 2 * o))
+        if len(near):
+            forest.join(i, near)
+    return [(int(order[i]), int(order[j])) for i, j in forest.links]
 
 
 def _group_near(percent: int):
@@ -375,13 +391,20 @@ def _blocks(entries: DataFrame, kind: int) -> DataFrame:
 
 
 def _linked_by_lists(long_entries: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect all sets of compatible sizes in a list.  Compatible sizes lie in one size band or two adjacent ones."""
+    """Edges that connect all sets of compatible sizes in a list.  Compatible sizes lie in one size band or two adjacent ones.
+
+    A list's sets are dealt to parts of about ``BLOCK``; each set is linked with the
+    head of its part, heads of parts with the head of the band, so that no list of any length meets in one task.
+    """
     band = F.floor(F.log("n") / float(np.log(100 / percent)))
-    banded = long_entries.select("key", "sig", band.alias("band"))
-    heads = banded.groupBy("key", "band").agg(F.min("sig").alias("head"))
-    inside = banded.join(heads, ["key", "band"]).select(F.col("head").alias("u"), F.col("sig").alias("v"))
+    part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    banded = long_entries.select("key", "sig", band.alias("band"), part.alias("part"))
+    parts = banded.groupBy("key", "band", "part").agg(F.min("sig").alias("own"))
+    heads = parts.groupBy("key", "band").agg(F.min("own").alias("head"))
+    inside = banded.join(parts, ["key", "band", "part"]).select(F.col("own").alias("u"), F.col("sig").alias("v"))
+    across = parts.join(heads, ["key", "band"]).select(F.col("head").alias("u"), F.col("own").alias("v"))
     up = heads.select("key", (F.col("band") + 1).alias("band"), F.col("head").alias("u")).join(heads, ["key", "band"]).select("u", F.col("head").alias("v"))
-    return inside.union(up)
+    return inside.union(across).union(up)
 
 
 def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int) -> DataFrame:

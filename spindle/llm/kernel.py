@@ -16,8 +16,8 @@ import pyarrow as pa
 
 #: Bytes of text that one kernel call works on, so that its arrays stay in cache; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 18
-#: Bytes up to which tables of powers are kept.
-TABLE_BYTES = 4 << 20
+#: Bytes up to which tables of powers are kept (16 bytes each in every worker).
+TABLE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
