@@ -9,23 +9,26 @@ matrix products for a batch of segments; a text's decision is the mean of its
 segments', weighted by length.
 
 Learned from at most ``TRAIN_PER_LANG`` rows of each language (one for each value of a
-hash), ``TRAIN_SEGMENTS`` segments of each.
+hash), ``TRAIN_SEGMENTS`` segments of each; with many languages from fewer rows of each, so
+that about ``TRAIN_ROWS`` in all go to the driver, and of the ``MAX_LANGS`` most frequent at most.
 """
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.llm import kernel as K
-from spindle.llm.common import batch, prepare
+from spindle.llm.common import batch, prepare, semi_by_id, stored
 
 TRAIN_PER_LANG = 600
+TRAIN_ROWS = 12_000
+MAX_LANGS = 500
 TRAIN_SEGMENTS = 4
 SEGMENT = 1024
 VOCABULARY = 4096
@@ -38,7 +41,8 @@ UNKNOWN = "und"
 SHARPNESS = 4
 MIN_SCORE = 0.3
 _TABLE_BITS = 18
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters of the Unicode categories of letters.
+_LETTER = r"\p{L}"
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -154,7 +158,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred"
 
 def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    letters = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], dtype=bool)
+    letters = np.asarray(pc.match_substring_regex(texts, _LETTER).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
     if model is None or not len(letters):
         return [UNKNOWN] * len(letters), np.zeros(len(letters))
     f = np.concatenate([decisions(model, part) for _, _, part in K.slices(K.texts_of(texts))]) * SHARPNESS
@@ -192,8 +196,12 @@ def fit_languages(docs: DataFrame) -> Model | None:
     """A model from ``docs(doc_id, text, lang)``: never from rows that ``held_out`` names, or without lang or text."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(TRAIN_PER_LANG))
-    chosen = known.groupBy("lang", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang")
-    picked = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").where(F.col("lang").isNotNull())
+    drawn = stored(known.groupBy("lang", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "drawn")
+    langs = [r.lang for r in drawn.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
+    per = max(TRAIN_ROWS // MAX_LANGS, min(TRAIN_PER_LANG, TRAIN_ROWS // max(len(langs), 1)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("slot"))  # of at most TRAIN_PER_LANG
+    chosen = drawn.where(F.col("lang").isin(langs)).withColumn("place", place).where(F.col("place") <= per).select("lang", "slot", "doc_id")
+    picked = semi_by_id(docs.select("doc_id", "text", "lang"), chosen.select("doc_id").distinct(), "doc_id").where(F.col("lang").isin(langs))
     one = picked.groupBy("lang", slot.alias("slot")).agg(F.min_by("text", F.struct("doc_id", F.length("text"))).alias("text"))
     rows = one.mapInArrow(_sampled, "lang string, slot long, segment binary").orderBy("lang", "slot", "segment").toArrow()
     return fit_model(rows.column("segment").to_pylist(), rows.column("lang").to_pylist())
@@ -202,9 +210,10 @@ def fit_languages(docs: DataFrame) -> Model | None:
 def identify_languages(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` of every row of ``docs(doc_id, text, lang, ...)``.
 
-    ``und`` with score 0 for a text that is null or has no letter, and for all
-    where no language could be learned.  Ties go to the first language by code
-    point; repeated and null doc_ids keep their rows; extra columns are ignored.
+    ``und`` with score 0 for a text that is null or has no letter (Unicode category L),
+    and for all where no language could be learned.  Ties go to the first language by code
+    point; texts of any length are scored whole; repeated and null doc_ids keep their rows
+    and get what others with their text get; extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -214,7 +223,12 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, at_least: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` that have a language with a score of ``at_least``, with all their columns."""
+    """The rows of ``docs`` that have a language with a score of ``at_least``, with all their columns.
+
+    Null and empty texts and those without a letter go, as do all where no language
+    could be learned; rows that repeat stay or go alike; doc_id and columns of any
+    other name have no say; an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     prepare(spark)
     return docs.mapInArrow(_accepted(spark.sparkContext.broadcast(fit_languages(docs)), at_least), docs.schema)
