@@ -1,8 +1,11 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spindle.llm import kernel as K
 from spindle.llm import kneser_ney as N
@@ -56,6 +59,55 @@ def test_nothing_to_learn(docs_of):
     assert identify_languages(docs_of([])).count() == 0
 
 
+def test_only_letters_make_a_language(docs_of):
+    rows = [(i, "kato miru tomi", "xx", "s") for i in range(40)]
+    odd = {100: "\u00bd \u00b2", 101: "\u2167 12", 102: "_ 3", 103: "\u00e9", 104: "\u6587", 105: "\u00aa"}
+    got = {r.doc_id: r for r in identify_languages(docs_of(rows + [(i, t, None, "s") for i, t in odd.items()])).collect()}
+    assert [i for i in odd if got[i].lang_pred == "und"] == [100, 101, 102] and got[100].score == 0
+
+
+def test_language_scores_are_those_of_plain_sets(docs_of):
+    """Kernel values by sets of grams, one segment at a time."""
+    from spindle.llm import language as L
+
+    rng = random.Random(6)
+    texts = [prose(rng, LANGS[lang], n) for lang in LANGS for n in (1, 9, 400)]
+    model = L.fit_model([t.encode()[:1024] for t in texts], [lang for lang in LANGS for _ in range(3)])
+    mask = (1 << L._TABLE_BITS) - 1
+
+    def columns(data):
+        d = [int(L._FOLD[x]) for x in data]
+        slots = set(d)
+        slots |= {((a * 0x9E3779B1 & 0xFFFFFFFF ^ (b * 0x85EBCA77 + 977 & 0xFFFFFFFF)) >> 9) & mask for a, b in zip(d, d[1:], strict=False)}
+        slots |= {((a * 0x27D4EB2F & 0xFFFFFFFF ^ b * 0x165667B1 & 0xFFFFFFFF ^ (c * 0xC2B2AE3D + 31 & 0xFFFFFFFF)) >> 11) & mask for a, b, c in zip(d, d[1:], d[2:], strict=False)}
+        return {int(model.column[s]) for s in slots} - {model.landmarks.shape[0]}
+
+    marks = [set(np.flatnonzero(c).tolist()) for c in model.landmarks.T]
+    for t in texts + ["kato éle 12"]:
+        data = t.encode()
+        n = max(1, len(data) // L.SEGMENT)
+        total = np.zeros(len(LANGS))
+        for i in range(n):
+            a, b = len(data) * i // n, len(data) * (i + 1) // n
+            own = columns(data[a:b])
+            kernel = np.array([len(own & m) / math.sqrt(max(len(own), 1) * max(len(m), 1)) for m in marks])
+            total += kernel @ model.weights * (b - a)
+        e = np.exp(L.SHARPNESS * total / len(data))
+        names, score = L.predict(model, pa.array([t]))
+        assert names == [model.langs[int(e.argmax())]] and score[0] == pytest.approx(e.max() / e.sum(), rel=1e-3)
+
+
+def test_many_languages_are_learned_from_fewer_rows_of_each(docs_of, monkeypatch):
+    from spindle.llm import language as L
+
+    monkeypatch.setattr(L, "MAX_LANGS", 2)
+    monkeypatch.setattr(L, "TRAIN_ROWS", 30)
+    rng = random.Random(2)
+    rows = [(i, prose(rng, LANGS[lang], 20), lang, "s") for i, lang in enumerate(["xx"] * 60 + ["yy"] * 50 + ["zz"] * 9)]
+    model = L.fit_languages(docs_of(rows))
+    assert model.langs == ["xx", "yy"]
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
@@ -109,26 +161,83 @@ def test_toxicity(spark, docs_of):
     assert X.toxicity(docs_of([]), labels_of(spark, [])).count() == 0
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    texts = spark.createDataFrame([("kato miru kato",), ("miru tomi",), (None,), ("",)], "text string")
-    from spindle.llm.common import prepare
-
-    prepare(spark)
-    table = N.model_table(N.gram_counts(texts)).astype(np.float64)
-    p = (2.0**table).reshape(-1, N.SYMBOLS)
-    seen = N.grams_of(K.texts_of(pa.array(["kato miru", "zz"])))[0] >> N.BITS
-    assert np.allclose(p[seen].sum(axis=1), 1, atol=0.02)
+def plain_kneser_ney(trusted):
+    """Probability functions of models over texts, by definition: counts of the highest order, distinct left neighbours below."""
+    order, edge = N.ORDER, b"\xff"
+    pad = lambda t: edge * (order - 1) + (t or "").encode() + edge
+    counts = [Counter() for _ in range(order + 1)]
+    for t in trusted:
+        s = pad(t)
+        counts[order].update(s[i : i + order] for i in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    rules = []
+    for k in range(1, order + 1):
+        of = Counter(min(n, 5) for n in counts[k].values())
+        d = N.discounts(of[1], of[2], of[3], sum(n == 4 for n in counts[k].values()))
+        total, left = Counter(), Counter()
+        for g, n in counts[k].items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3) - 1]
+        rules.append((counts[k], d, total, left))
+
+    def p(g):
+        out = 1 / 256
+        for k, (n, d, total, left) in enumerate(rules, 1):
+            own, ctx = g[order - k :], g[order - k : -1]
+            if total[ctx]:
+                out = (max(n[own] - d[min(n[own], 3) - 1], 0) if n[own] else 0) / total[ctx] + left[ctx] / total[ctx] * out
+        return out
+
+    def perplexity(t):
+        s = pad(t)
+        logs = [math.log2(p(s[i : i + order])) for i in range(len(s) - order + 1)]
+        return 2 ** -(sum(logs) / len(logs))
+
+    return perplexity
+
+
+def test_perplexity_is_that_of_plain_kneser_ney(spark, docs_of):
+    rng = random.Random(17)
+    texts = [prose(rng, LANGS[rng.choice(list(LANGS))], rng.choice([1, 8, 30])) for _ in range(180)] + [None, "", "é文", "\n", "a" * 300]
+    texts += texts[:15]
+    docs = docs_of([(i, t, "xx", "s") for i, t in enumerate(texts)]).repartition(5)
+    folds = {r.doc_id: r.fold for r in docs.select("doc_id", N.fold_of()).collect()}
+    trusted = {i for i in range(len(texts)) if i % 3}
+    models = [plain_kneser_ney([texts[i] for i in trusted if folds[i] != f]) for f in range(N.FOLDS)]
+    got = N.perplexities(docs, docs.where(F.col("doc_id") % 3 > 0)).collect()
+    assert len(got) == len(texts) and set(folds.values()) == set(range(N.FOLDS))
+    for r in got:
+        t = texts[r.doc_id]
+        assert r.n_symbols == len((t or "").encode()) + 1
+        assert r.perplexity == pytest.approx(models[folds[r.doc_id]](t), rel=1e-6), t
 
 
-def test_counts_are_those_of_all_texts(spark):
+def test_probabilities_of_a_context_sum_to_one(spark):
     from spindle.llm.common import prepare
 
     prepare(spark)
-    rows = [("ab ab",), ("AB!",), (None,)]
-    got = {r.gram: r.n for r in N.gram_counts(spark.createDataFrame(rows, "text string").repartition(3)).collect()}
-    grams = np.concatenate([N.grams_of(K.texts_of(pa.array([t], pa.string())))[0] for (t,) in rows])
-    want = dict(zip(*(x.tolist() for x in np.unique(grams, return_counts=True)), strict=True))
-    assert got == want
+    texts = spark.createDataFrame([("kato miru kato",), ("miru tomi",), (None,), ("",), ("kat",)], "text string")
+    rows = N.model_of(N.gram_counts(texts)).toArrow()
+    model = dict(zip(rows.column("key").to_pylist(), np.ascontiguousarray(rows.column("value")).view("<f4").reshape(-1, 2).tolist(), strict=True))
+    for ctx in (b"\xff\xff\xffk", b"kato", b" mir", b"zzzz"):
+        grams = np.array([int.from_bytes(ctx + bytes([x]), "big") for x in range(256)], np.uint64)
+        for m in range(N.FOLDS):
+            keys = N.lower_keys(grams | np.uint64(N._code(m, N.ORDER, 0)))
+            share, weight = np.array([model.get(int(k), (0, 0)) for k in keys]).T
+            _, logs = N.log_probabilities(keys, share, np.where(weight > 0, weight, 1))
+            assert (2.0**logs).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_limits_are_quantiles_of_trusted_documents(spark, docs_of):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, LANGS[lang or "xx"], rng.choice([3, 40])), lang, "s") for i, lang in enumerate(["xx", "yy"] * 60 + ["zz"] * 9 + [None] * 4)]
+    got = N.quality_by_perplexity(docs_of(rows), labels_of(spark, [(i, 1, 0) for i in range(0, len(rows), 3)]), 0.8).collect()
+    exact = lambda values: sorted(values)[math.ceil(0.8 * len(values)) - 1]
+    good = [r for r in got if r.doc_id % 3 == 0]
+    for r in got:
+        own = [x.steadied for x in good if x.lang == r.lang] if r.lang in ("xx", "yy") else [x.steadied for x in good]
+        assert r.limit == exact(own) and r.kept == (r.steadied <= r.limit)
 
 
 def test_perplexity_tells_junk(spark, docs_of):
