@@ -25,8 +25,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret of the session's ``spindle.surrogate.key``; made-up tables, which hold nobody's data, do with a public one."""
+    return spark.conf.get("spindle.surrogate.key", "no secret: for the synthetic tables of the registered query").encode()
+
+
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(table(spark, sf_dir, "documents"))
+    return replace_entities(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,12 +157,22 @@ def test_permutation_has_no_collisions():
     assert len({P.shaped(f"{i:04d}", b"k", b"t") for i in range(10000)}) == 10000
 
 
-@pytest.mark.parametrize("entity", ["jo.doe1@mail4.example.com", "10.20.30.40", "+1 (640) 555-0953", "4193304449628929", "123-45-6789", "Mrs Anna Schröder", "Robert Miller", "DE89 3704 0044 0532 0130 00"])
+KEY = b"a key for tests"
+
+
+def alone(kind, entity, key=KEY):
+    return P.replaced(kind, entity, lambda k, u: P.surrogate(k, u, 0, key))
+
+
+ENTITIES = ["jo.doe1@mail4.example.com", "10.20.30.40", "81.2.69.142", "+1 (640) 555-0953", "4193304449628929", "123-45-6789", "Mrs Anna Schröder", "Robert Miller", "DE89 3704 0044 0532 0130 00", "господин Иван Петров", "Κυρία Ελένη Παππά", "Herr Øster", "иванов@mail.ru", "Mr Smith-Jones"]
+
+
+@pytest.mark.parametrize("entity", ENTITIES)
 def test_surrogates_keep_type_and_format(entity):
     ((kind, start, end),) = P.entities_of(f"x {entity} y")
     assert (start, end) == (2, 2 + len(entity))
-    new = P.surrogate(kind, entity)
-    assert new != entity and new == P.surrogate(kind, entity) and new != P.surrogate(kind, entity, 0, b"other")
+    new = alone(kind, entity)
+    assert new != entity and new == alone(kind, entity) and new != alone(kind, entity, b"other")
     assert [(k) for k, *_ in P.entities_of(f"x {new} y")] == [kind]
     if kind not in ("name", "ip"):
         shape = lambda s: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", s))
@@ -171,13 +181,86 @@ def test_surrogates_keep_type_and_format(entity):
         assert new.split()[1] in P.GIVEN["f"]
     if entity.startswith("Robert"):
         assert new.split()[0] in P.GIVEN["m"]
+    if entity.startswith("господин"):
+        assert new.split()[1] in P.GIVEN_CYRILLIC["m"] and re.fullmatch("[А-ЯЁЇІЄ][а-яёїіє]+", new.split()[2])
+
+
+def test_one_entity_in_many_forms():
+    of = lambda k, e: alone(k, e).lower().replace(" ", "").replace("-", "")
+    assert of("phone", "+1 555 123 4567") == of("phone", "+1-555-123-4567") == of("phone", "+15551234567")
+    assert of("email", "Bob.Lee@Example.com") == of("email", "bob.lee@example.com") and alone("email", "Bob.Lee@Example.com")[0].isupper()
+    assert of("card", "4111 1111 1111 1111") == of("card", "4111111111111111")
+    assert alone("name", "John Smith").split()[-1] == alone("name", "Mr. Smith").split()[-1] == alone("name", "Dr John Smith").split()[-1]
+    assert alone("name", "John Smith") == alone("name", "Mr John Smith").removeprefix("Mr ")
+    assert alone("email", "a.b@one.example.com").split("@")[1] == alone("email", "c.d@one.example.com").split("@")[1]
+
+
+def test_types_stay_true():
+    import ipaddress
+
+    rng = random.Random(4)
+    for _ in range(200):
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        new = alone("card", body + str(P.luhn(body)))
+        assert new[0] == "4" and int(new[-1]) == P.luhn(new[:-1])
+        wrong = body + str((P.luhn(body) + 3) % 10)
+        assert int(alone("card", wrong)[-1]) != P.luhn(alone("card", wrong)[:-1])
+        account = "".join(rng.choice("0123456789") for _ in range(18))
+        iban = alone("iban", f"DE{P.iban_check('DE', account):02d}{account}")
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    for ip in ("10.0.0.1", "192.168.1.7", "172.20.3.4", "127.0.0.1", "169.254.9.9", "8.8.8.8", "224.0.0.5", "100.64.1.1"):
+        a, b = ipaddress.ip_address(ip), ipaddress.ip_address(alone("ip", ip))
+        assert (a.is_private, a.is_loopback, a.is_link_local, a.is_multicast, a.is_global) == (b.is_private, b.is_loopback, b.is_link_local, b.is_multicast, b.is_global)
+    assert alone("phone", "+44 20 7946 0958").startswith("+44 ") and alone("phone", "+49 (030) 123-4567").startswith("+49 (0")
+    assert alone("phone", "000 000 0000") != "000 000 0000"
+
+
+def test_no_letter_of_any_script_is_left_out():
+    for c in "aßØøłőżąЖжёΩωάאب中文한の":
+        a = P.alphabet_of(c)
+        assert c in a and len(a) > 1 and len({P.shaped(c, KEY, str(i).encode()) for i in range(40)}) > 1, c
+        assert all(P.alphabet_of(x) == a for x in a), c
+
+
+def plain_surrogates(texts):
+    """The whole operator in plain Python: units, draws until nothing collides, replacement."""
+    units = {u for t in texts for k, a, b in P.entities_of(t) for u in P.units_of(k, t[a:b])}
+    attempt = dict.fromkeys(units, 0)
+    for n in range(1, P.MOST):
+        drawn = {u: P._checked(*u, attempt[u], KEY) for u in units}
+        by = {}
+        for u in sorted(units):
+            by.setdefault((u[0], drawn[u]), []).append(u)
+        bad = {u for own in by.values() for u in own[1:]}
+        bad |= {u for u in units if u[0] not in ("person", "network") and drawn[u] != u[1] and (u[0], drawn[u]) in units}
+        bad |= {u for u in units if drawn[u] == u[1] and u[0] != "network"}
+        if not bad:
+            break
+        attempt |= dict.fromkeys(bad, n)
+    out = []
+    for t in texts:
+        new, at = "", 0
+        for k, a, b in P.entities_of(t):
+            new += t[at:a] + P.replaced(k, t[a:b], lambda k, u: P.surrogate(k, u, attempt[k, u], KEY))
+            at = b
+        out.append(new + t[at:] if t else t)
+    return out
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_replacement_is_that_of_plain_python(docs_of, monkeypatch, limit):
+    monkeypatch.setattr(P, "BROADCAST_UNITS", limit)
+    texts = [f"ask {e} and {ENTITIES[i * 5 % len(ENTITIES)]}, or Mr {a}{b}" for i, e in enumerate(ENTITIES) for a in "BCDFG" for b in "aeiouy"]
+    texts += [f"{g} Lee met Mr Lee" for names in P.GIVEN.values() for g in names] + [f"Mr {x}an Lee" for x in "BDFGJKLMNPRSTVWXZ"] + [None, "", "nothing", "王小明先生 и г-н Иванов"]
+    got = {r.doc_id: r.text for r in P.replace_entities(docs_of([(i, t, "en", "s") for i, t in enumerate(texts)]), KEY).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_surrogates(texts)
 
 
 def test_replacement_is_the_same_everywhere_and_distinct(docs_of):
     people = [f"user{i}@mail{i % 3}.example.com" for i in range(60)]
     rows = [(i, f"write to {p} or {people[0]} at 10.0.{i}.1", "en", "s") for i, p in enumerate(people)]
     rows += [(90, None, "en", "s"), (91, "", "en", "s"), (92, "nothing here", "en", "s"), (None, f"{people[1]}", "en", "s"), (1, rows[1][1], "en", "s")]
-    got = P.replace_entities(docs_of(rows)).collect()
+    got = P.replace_entities(docs_of(rows), KEY).collect()
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -187,17 +270,17 @@ def test_replacement_is_the_same_everywhere_and_distinct(docs_of):
             assert by[r.doc_id] == r.text and r.n_entities == 3
     assert len({t.split()[2] for t in by.values()}) == 60 and len({t.split()[4] for t in by.values()}) == 1
     assert {r.doc_id: r.text for r in got if r.doc_id in (90, 91, 92)} == {90: None, 91: "", 92: "nothing here"}
-    assert P.replace_entities(docs_of([])).count() == 0
+    assert P.replace_entities(docs_of([]), KEY).count() == 0
 
 
 def test_colliding_surrogates_are_drawn_again(spark):
     from spindle.llm.common import prepare
 
     prepare(spark)
-    first = P.surrogate("ssn", "123-45-6789")
-    found = spark.createDataFrame([("ssn", "123-45-6789", first), ("ssn", first, P.surrogate("ssn", first)), ("ssn", "111-11-1111", "111-11-1111")], "kind string, entity string, surrogate string")
-    again = {r.entity: r.attempt for r in P.redrawn_entities(found, P.KEY).collect()}
-    assert again["123-45-6789"] >= 1 and again["111-11-1111"] >= 1
+    first = P.surrogate("ssn", "123456789", 0, KEY)
+    found = spark.createDataFrame([("ssn", "123456789"), ("ssn", first), ("ssn", "111111111"), ("network", "10.0.0.1")], "kind string, unit string")
+    again = {r.unit: r.attempt for r in P.redrawn_units(found, KEY).collect()}
+    assert again["123456789"] >= 1 and "111111111" not in again and "10.0.0.1" not in again
 
 
 def test_secrets(docs_of):
@@ -270,7 +353,7 @@ def test_secrets_without_digits_and_assigned_passwords(docs_of):
 
 def test_surrogates_of_a_full_shape(docs_of):
     people = [f"Mr {a}{b}" for a in "BCDFGHJKLMNPQRSTVWXZ" for b in "aeiouy"] + ["Mr Øø"] + [f"{a}@{b}.de" for a in "aeiouy" for b in "bcdfghjklmnpqrstvwxz"]
-    got = P.replace_entities(docs_of([(i, f"to {p} now", "en", "s") for i, p in enumerate(people)])).collect()
+    got = P.replace_entities(docs_of([(i, f"to {p} now", "en", "s") for i, p in enumerate(people)]), KEY).collect()
     new = [r.text.removeprefix("to ").removesuffix(" now") for r in got]
     assert len(set(new)) == len(people) and not set(new) & set(people)
     assert all([k for k, *_ in P.entities_of(r.text)] == ["name" if people[r.doc_id].startswith("Mr") else "email"] for r in got)
