@@ -143,24 +143,106 @@ def test_trees_keep_their_constraints():
     assert ((forest(x, y).raw(x) > 0.5) == (y > 0)).mean() > 0.9
 
 
+BAD = {"rude": ["zagglo", "zagglip", "morvek", "morvix"], "vile": ["quorpt", "quorpel", "skethun", "skethil"]}
+
+
 def test_toxicity(spark, docs_of):
     rng = random.Random(3)
-    bad = [w for group in X.GROUPS.values() for w in group]
-    rows = []
+    rows, kind = [], {}
     for i in range(1200):
         ws = prose(rng, LANGS["xx"], 50).split()
         if i % 4 == 0:
-            ws[rng.randrange(50)] = rng.choice(bad).upper() + "!"
+            kind[i] = rng.choice(list(BAD))
+            for at in rng.sample(range(50), 3):
+                ws[at] = rng.choice(BAD[kind[i]]).upper() + "!"
         rows.append((i, " ".join(ws), "xx", "s"))
-    rows.append((2000, "kato " * 30000 + "idiot", "xx", "s"))
-    docs = docs_of(rows + ODD)
-    got = {r.doc_id: r for r in X.toxicity(docs, labels_of(spark, [(i, 1, int(i % 4 == 0)) for i in range(1000)])).collect()}
+    rows.append((2000, "kato " * 30000 + "zagglo morvek zagglip", "xx", "s"))
+    docs = docs_of(rows + ODD + [(2000, rows[-1][1], None, None)])
+    got = {r.doc_id: r for r in X.toxicity(docs, labels_of(spark, [(i, 1, int(i % 4 == 0)) for i in range(1000)] + [(None, 1, 1), (3, 1, None)])).collect()}
     assert all(got[i].is_toxic == (i % 4 == 0) for i in range(1000, 1200))
     assert got[2000].is_toxic and not got[9000].is_toxic
+    first = [max(X.CHAIN[:-1], key=lambda c: got[i][f"p_{c}"]) for i in range(1000, 1200) if i % 4 == 0]
+    named = {(k, kind[i]) for k, i in zip(first, range(1000, 1200, 4), strict=True)}
+    assert len(named) == 2 and len({k for k, _ in named}) == 2  # a cluster is a kind of words
     assert not any(r.is_toxic for r in X.toxicity(docs, labels_of(spark, [])).collect())
     assert X.toxicity(docs_of([]), labels_of(spark, [])).count() == 0
 
 
+def plain_terms(text):
+    out = set()
+    for w in (text or "").split():
+        low = w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w)
+        data = low.encode()
+        inner = [i for i, b in enumerate(data) if 97 <= b <= 122 or b >= 128]
+        if inner:
+            data = data[inner[0] : inner[-1] + 1]
+            out |= {(0, data)} | {(n, data[:n]) for n in X.PREFIXES if len(data) > n}
+    return out
+
+
+def plain_logistic(x, y):
+    w = np.zeros(x.shape[1])
+    if not y.any():
+        w[-1] = -30
+        return w
+    penalty = np.array([X.RIDGE] * (len(w) - 1) + [1e-6])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve(x.T @ np.diag(np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+    return w
+
+
+def test_chain_is_that_of_plain_python(spark, docs_of):
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        ws = prose(rng, ["ka", "to", "mi"], 6).split()
+        if i % 3 == 0 or i % 17 == 0:
+            ws[rng.randrange(len(ws))] = rng.choice(rng.choice(list(BAD.values())))
+        rows.append((i, " ".join(ws), "xx", "s"))
+    labels = {i: int(i % 3 == 0) for i in range(240)}
+    docs = docs_of(rows)
+    got = {r.doc_id: r for r in X.toxicity(docs, labels_of(spark, [(i, 1, y) for i, y in labels.items()])).collect()}
+    order = [r.doc_id for r in docs.where("doc_id < 240").orderBy(F.xxhash64("doc_id")).collect()]
+    terms = {i: plain_terms(t) for i, t, *_ in rows}
+    y = np.array([labels[i] for i in order], float)
+    rate = (y.sum() + 0.5) / (len(order) + 1)
+    chosen = []
+    for t in sorted(set().union(*(terms[i] for i in order))):
+        df, a = sum(t in terms[i] for i in order), sum(t in terms[i] and labels[i] for i in order)
+        inside = (a + 0.1 * rate) / (df + 0.1)
+        gain = a * math.log(max(inside, 1e-12) / rate) + (df - a) * math.log(max(1 - inside, 1e-12) / (1 - rate))
+        if df >= X.MIN_DOCS and inside > rate and gain > 0:
+            chosen.append(t)
+    assert 5 < len(chosen) < X.TERMS
+    bits = np.array([[t in terms[i] for t in chosen] for i, *_ in rows], float)
+    x = np.concatenate([bits, np.ones((len(rows), 1))], axis=1)
+    train = x[order]
+    bad = train[y > 0][:, :-1]
+    centres = [bad[bad.sum(axis=1).argmax()]]
+    centres.append(bad[((bad - centres[0]) ** 2).sum(axis=1).argmax()])
+    for _ in range(20):
+        own = np.array([int(((r - centres[1]) ** 2).sum() < ((r - centres[0]) ** 2).sum()) for r in bad])
+        centres = [bad[own == c].mean(axis=0) for c in (0, 1)]
+    own = own if (own == 0).sum() >= (own == 1).sum() else 1 - own
+    columns = np.zeros((len(order), 3))
+    columns[y > 0, own] = 1
+    columns[:, 2] = y
+    earlier, later = [], []
+    fold = np.arange(len(order)) % X.FOLDS
+    for c in columns.T:
+        z, all_z = X._with(train, earlier), X._with(x, later)
+        out = np.zeros(len(order))
+        for f in range(X.FOLDS):
+            out[fold == f] = 1 / (1 + np.exp(-z[fold == f] @ plain_logistic(z[fold != f], c[fold != f])))
+        later.append(1 / (1 + np.exp(-all_z @ plain_logistic(z, c))))
+        earlier.append(out)
+    for c, p in zip(X.CHAIN, later, strict=True):
+        assert [got[i][f"p_{c}"] for i in range(300)] == pytest.approx(p.tolist(), abs=1e-6)
+    limit = max(np.linspace(0.5, 0.15, 36), key=lambda t: (round(2 * y[earlier[-1] >= t].sum() / ((earlier[-1] >= t).sum() + y.sum()), 12), t))
+    assert [got[i].is_toxic for i in range(300)] == (later[-1] >= limit).tolist()
+
+
 def plain_kneser_ney(trusted):
     """Probability functions of models over texts, by definition: counts of the highest order, distinct left neighbours below."""
     order, edge = N.ORDER, b"\xff"
