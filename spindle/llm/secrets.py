@@ -32,7 +32,7 @@ ASSIGNMENT = rf"(?i:{'|'.join(sorted(SECRET_WORDS, key=len, reverse=True))})[\"'
 _PLAIN = r"[^\s\"'`<>(){}\[\],;]"
 #: Or what follows these, shorter or with other characters, up to the next such token.
 ASSIGNED = rf"(?![:=>])(?:(?!{_START}[A-Za-z0-9+/_.~-]{{16}}){_PLAIN}){{4,256}}+"
-#: Places of candidates; their surroundings are 48 characters before and 16 after at most.
+#: Places of candidates; their surroundings are 48 characters before and 16 after at most, over line ends too.
 FINDING = rf"({_START}{TOKEN}|(?<=[:=>\s\"'])(?<={ASSIGNMENT}){ASSIGNED})"
 #: A text without either is not cut.
 HINT = rf"[A-Za-z0-9+/_.~-]{{16}}|{ASSIGNMENT}{_PLAIN}{{4}}"
@@ -145,39 +145,66 @@ def as_column(trees: Trees, features: list[Column]) -> Column:
     return reduce(add, [node(r) for r in trees.roots], F.lit(trees.base))
 
 
+#: Elements of an array whose running sums are made together.
+BLOCK = 64
+#: Findings, with what stands before each, that BEFORE characters can reach back over: a short value and its assignment have eight at least; AFTER likewise.
+BACK, AHEAD = 6, 3
+
+
+def running_sums(sizes: Column) -> Column:
+    """For each element of an array of sizes, the sum of those before it.
+
+    Blocks are summed, then each block runs on from the sum of the blocks before: appending
+    to an array copies it, so that one run over all would take time with the square of its length.
+    """
+
+    def run(values: Column, start: Column) -> Column:
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums"))
+        return F.aggregate(values, F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("sums")), step, lambda s: s["sums"])
+
+    n = F.ceil(F.size(sizes) / BLOCK).cast("int")
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array().cast("array<array<bigint>>"))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x))
+    return F.flatten(F.zip_with(blocks, run(sums, F.lit(0)), run))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n, start, value, before, after)`` of every candidate: its number, place and surroundings.
+
+    Texts are cut once; places are running sums of the cut parts' lengths, and surroundings are put together from
+    parts nearby, so that the work grows with a text's length and a candidate's row holds no text.
+    """
+    texts = docs.select("doc_id", "text").where(F.col("text").rlike(HINT))
+    cut = texts.select("doc_id", F.regexp_extract_all("text", F.lit(FINDING), F.lit(1)).alias("values"), F.split("text", FINDING, -1).alias("pieces"))
+    last, first = lambda c, n: F.transform(c, lambda x: F.right(x, F.lit(n))), lambda c, n: F.transform(c, lambda x: F.left(x, F.lit(n)))
+    sizes = F.zip_with(F.transform("pieces", F.length), F.transform("values", F.length), lambda p, v: (p + F.coalesce(v, F.lit(0))).cast("long"))
+    parts = cut.select(
+        "doc_id", "values", F.transform("pieces", F.length).alias("lengths"), running_sums(sizes).alias("sums"),
+        last("pieces", BEFORE).alias("tails"), last("values", BEFORE).alias("value_tails"), first("pieces", AFTER).alias("heads"), first("values", AFTER).alias("value_heads"),
+    )
+    empty = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+
+    def finding(value: Column, i: Column) -> Column:
+        back = [x for j in range(BACK, 0, -1) for x in (empty("tails", i - j), empty("value_tails", i - j))]
+        ahead = [x for j in range(1, AHEAD + 1) for x in (empty("heads", i + j), empty("value_heads", i + j))]
+        return F.struct(
+            (F.get("sums", i) + F.get("lengths", i)).alias("start"), value.alias("value"),
+            F.right(F.concat(*back, empty("tails", i)), F.lit(BEFORE)).alias("before"), F.left(F.concat(*ahead), F.lit(AFTER)).alias("after"),
+        )
+
+    return parts.select("doc_id", F.posexplode(F.transform("values", finding)).alias("n", "c")).select("doc_id", F.col("n").cast("long").alias("n"), "c.*")
+
+
 def scan_secrets(docs: DataFrame, at_least: float = 0.5, findings: int = 240) -> DataFrame:
     """``(doc_id, n, start, value, score, is_secret)`` for every candidate of ``docs(doc_id, text, ...)``.
 
-    n: number of the candidate in its text, from 0; start: its place in characters.
-    Null texts and texts without candidates give no row.  Candidates of repeated and
-    null doc_ids keep their rows; extra columns are ignored.
+    n: number of the candidate in its text, from 0; start: its place in characters; a candidate whose
+    score is ``at_least`` is a secret.  Null texts and texts without candidates give no row; texts of any length
+    are cut whole.  Candidates of repeated and null doc_ids keep their rows, and equal
+    surroundings get equal scores; extra columns are ignored; an empty table gives an empty result.
     """
     model = _trained(docs.sparkSession.sparkContext.applicationId, findings)
-    texts = docs.select("doc_id", "text").where(F.col("text").rlike(HINT))
-    # lengths of the pieces between candidates give their places, without searching for each value again
-    values = F.regexp_extract_all("text", F.lit(FINDING), F.lit(1))
-    pieces = F.split("text", FINDING, -1)
-    cut = texts.select("doc_id", "text", values.alias("values"), pieces.alias("pieces"))
-    sizes = F.zip_with(F.transform("pieces", F.length), F.transform("values", F.length), lambda p, v: F.struct(p.alias("p"), F.coalesce(v, F.lit(0)).alias("v")))
-    places = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, x: F.struct((s["at"] + x["p"] + x["v"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["p"])).alias("starts")),
-        lambda s: s["starts"],
-    )
-    each = cut.select("doc_id", "text", F.posexplode(F.arrays_zip("values", F.slice(places, 1, F.size("values")).alias("starts"))).alias("n", "c")).where("c.values IS NOT NULL")
-    start, value = F.col("c.starts"), F.col("c.values")
-    named = each.select(
-        "doc_id", "n", start.alias("start"), value.alias("value"),
-        F.substring("text", F.greatest(F.lit(1), start + 1 - BEFORE), F.least(F.lit(BEFORE), start)).alias("before"),
-        F.substring("text", start + 1 + F.length(value), F.lit(AFTER)).alias("after"),
-    )
     cols = feature_columns(F.col("value"), F.col("before"), F.col("after"))
-    scored = named.select("doc_id", "n", "start", "value", *(c.alias(k) for k, c in cols.items()))
+    scored = candidates(docs).select("doc_id", "n", "start", "value", *(c.alias(k) for k, c in cols.items()))
     score = as_column(model, [F.col(k) for k in FEATURES])
-    return scored.select("doc_id", F.col("n").cast("long").alias("n"), F.col("start").cast("long").alias("start"), "value", score.alias("score")).withColumn("is_secret", F.col("score") >= at_least)
-
-
-def secret_documents(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """``(doc_id, n, start, score)`` of the candidates that the forest keeps."""
-    return scan_secrets(docs, at_least).where("is_secret").select("doc_id", "n", "start", "score")
+    return scored.select("doc_id", "n", "start", "value", score.alias("score")).withColumn("is_secret", F.col("score") >= at_least)
