@@ -17,6 +17,8 @@ from spindle.llm.common import BROADCAST_ROWS, WORD, stored
 
 #: Rows of one sorted bucket: few, so that a hot source is dealt over many tasks; a source's totals are a row for each.
 BUCKET_ROWS = 2_000
+#: Buckets of one span of a source's prefix sum.
+SPAN_BUCKETS = 4096
 #: A source is repeated this often at most.
 MAX_EPOCHS = 3
 SEED = "mix"
@@ -54,9 +56,10 @@ def mix_sources(docs: DataFrame, seed: str = SEED, bucket_rows: int = BUCKET_ROW
     repeats counted, at most ``max_epochs`` times its size.  The words taken of a
     source are its target rounded down.  A row of size 0 takes 0; equal rows are
     interchangeable; rows without doc_id are placed by their text; a source of
-    size 0 has target 0; an empty table gives an empty result.
+    size 0 has target 0; texts of any length count whole; extra columns are ignored; an
+    empty table gives an empty result.
     """
-    return _taken(docs, seed, bucket_rows, max_epochs).select("doc_id", "size", "source_size", "target", "taken")
+    return _taken(docs, [], seed, bucket_rows, max_epochs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _key(seed: str):
@@ -64,45 +67,49 @@ def _key(seed: str):
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), place)), 1, 15), 16, 10).cast("long")
 
 
-def _taken(docs: DataFrame, seed: str = SEED, bucket_rows: int = BUCKET_ROWS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``mix_sources`` with the key and source of each row."""
+def _taken(docs: DataFrame, also: list[str], seed: str = SEED, bucket_rows: int = BUCKET_ROWS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``mix_sources`` with further columns of the rows."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select("doc_id", size.alias("size"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s_null"), _key(seed).alias("key")), "sizes")
+    rows = stored(docs.select(*also, "doc_id", size.alias("size"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s_null"), _key(seed).alias("key")), "sizes")
     targets = stored(source_targets(rows.groupBy("s", "s_null").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")), max_epochs), "targets")
     on = ["s", "s_null"]
     buckets = F.ceil(F.col("rows") / bucket_rows)
     ranged = rows.join(targets, on).withColumn("bucket", F.shiftright(F.shiftright("key", 30) * buckets, 30))
-    totals = ranged.groupBy(*on, "bucket").agg(F.sum("size").alias("bucket_size"))
-    up_to = Window.partitionBy(*on).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = totals.select(*on, "bucket", (F.sum("bucket_size").over(up_to) - F.col("bucket_size")).alias("offset"))
     inside = Window.partitionBy(*on, "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.withColumn("start", F.sum("size").over(inside) - F.col("size")).join(offsets, [*on, "bucket"])
+    placed = ranged.withColumn("start", F.sum("size").over(inside) - F.col("size")).join(_offsets(ranged, on), [*on, "bucket"])
     start = F.col("offset") + F.col("start")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target") - epochs * F.col("source_size"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - start))
-    return placed.select("doc_id", "key", *on, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(*also, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def _offsets(ranged: DataFrame, on: list[str]) -> DataFrame:
+    """``(..., bucket, offset)``: the words of a source before each bucket, by a prefix sum over spans of buckets and one inside each span."""
+    totals = ranged.groupBy(*on, "bucket").agg(F.sum("size").alias("words")).withColumn("span", F.floor(F.col("bucket") / SPAN_BUCKETS))
+    up_to = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    spans = totals.groupBy(*on, "span").agg(F.sum("words").alias("of_span"))
+    before = spans.select(*on, "span", (F.sum("of_span").over(up_to(on, "span")) - F.col("of_span")).alias("before"))
+    within = totals.withColumn("within", F.sum("words").over(up_to([*on, "span"], "bucket")) - F.col("words"))
+    return within.join(before, [*on, "span"]).select(*on, "bucket", (F.col("before") + F.col("within")).alias("offset"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows the mix takes, each as often as its words are taken (to the nearest whole copy), with the columns of ``docs``.
 
-    The row at a source's cut counts if at least half of it is taken.  Rows
-    that share a doc_id are taken as one of their rows says, and so are rows without
-    one that share source and text.
+    The row at a source's cut counts if at least half of it is taken.  Each row is
+    taken for itself, whether or not it has a doc_id or shares it with others, so that a source's copies add up
+    to its target to within one row.  Rows without words are in no mix; columns of ``docs`` may have any
+    names besides doc_id, text and source; an empty table gives an empty result.
+    The rows are written once with a number, by which what is taken of them finds them again.
     """
-    taken = _taken(docs, **options)
+    rows = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), F.monotonically_increasing_id().alias("row")), "rows")
+    taken = _taken(rows.select("row", "document.doc_id", "document.text", "document.source"), ["row"], **options)
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    # of rows without doc_id, key and source tell them apart
-    own = [F.when(F.col("doc_id").isNull(), F.col(c)).alias(f"__{c}") for c in ("key", "s", "s_null")]
-    wanted = taken.where("size > 0").groupBy("doc_id", *own).agg(F.max(copies).alias("__copies")).where("__copies > 0")
-    wanted = stored(wanted, "wanted")
+    wanted = stored(taken.where("size > 0").select("row", copies.alias("copies")).where("copies > 0"), "wanted")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = F.broadcast(wanted) if few else wanted
-    named = docs.join(wanted.where("doc_id IS NOT NULL").select("doc_id", "__copies"), "doc_id").select(*docs.columns, "__copies")
-    on = {"__key": _key(options.get("seed", SEED)), "__s": F.coalesce("source", F.lit("")), "__s_null": F.col("source").isNull()}
-    others = docs.where("doc_id IS NULL").withColumns(on).join(wanted.where("doc_id IS NULL").select(*on, "__copies"), [*on]).select(*docs.columns, "__copies")
-    return named.union(others).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    found = rows.join(F.broadcast(wanted) if few else wanted, "row")
+    return found.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")
 
 
 ORACLE_SQL = f"""

@@ -131,6 +131,28 @@ def test_digest(docs_of):
     assert T.token_id_files(docs_of([]), PATH).count() == 0
 
 
+def test_copies_add_up_to_the_budget(docs_of, monkeypatch):
+    """With repeated and missing ids, equal rows, and columns named like those an operator makes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "SPAN_BUCKETS", 2)
+    rows = [((None, 1, 2, i)[i % 4], "word " * (1 + i % 5) + ("x" if i % 3 else str(i)), "en", ("a", "b", "b", "b", None)[i % 5]) for i in range(400)]
+    frame = docs_of(rows).withColumns({"copies": F.lit(7), "row": F.col("doc_id"), "document": F.lit("d"), "__copies": F.lit(1)})
+    got = mixing.mixed_documents(frame, bucket_rows=10)
+    assert got.columns == frame.columns
+    size = {}
+    for _, t, _, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    want, words = waterfill(size), {}
+    found = got.collect()
+    for r in found:
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+        assert r.copies == 7 and r.row == r.doc_id
+    for s in size:
+        assert abs(words[s] - want[s]) <= 6, s
+    assert len({(r.doc_id, r.text, r.source) for r in found}) > 100
+
+
 def test_rows_of_one_id_spread_over_files(docs_of, spark, tmp_path):
     rows = [(None, f"text {i % 7}", "en", "s") for i in range(400)] + [(1, "a", "en", "s")] * 200
     manifest = T.write_token_files(docs_of(rows), f"file://{tmp_path}", PATH, files=6).collect()
