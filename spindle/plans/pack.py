@@ -44,10 +44,14 @@ def shard_of(rows: DataFrame, source: str, seed: int, *key: str, size: int = SHA
     return cut.withColumn("shard", number.cast("int")).drop("__shards")
 
 
-def greedy(rows: DataFrame, group: Column | str, order: str, tokens: str, capacity: int) -> DataFrame:
-    """``(group, bin, n, tokens)``: next-fit in order, samples above the capacity left out."""
+def greedy(rows: DataFrame, group: str | list[str], order: str, tokens: str, capacity: int) -> DataFrame:
+    """``(group, bin, n, tokens)``: next-fit in order, samples above the capacity left out.
+
+    A group is folded in one task: name a source with its shard (``shard_of``), whose size is bounded.
+    """
+    group = [group] if isinstance(group, str) else group
     state = "struct<bin:int,fill:bigint,n:bigint,done:array<struct<bin:int,n:bigint,tokens:bigint>>>"
-    listed = rows.where(F.col(tokens) <= capacity).groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, tokens))), lambda x: x[tokens].cast("bigint")).alias("__t"))
+    listed = rows.where(F.col(tokens) <= capacity).groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, tokens))), lambda x: x[tokens].cast("bigint")).alias("__t"))
 
     def step(s: Column, t: Column) -> Column:
         full = s["fill"] + t > capacity
@@ -59,7 +63,7 @@ def greedy(rows: DataFrame, group: Column | str, order: str, tokens: str, capaci
     start = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("fill"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<bin:int,n:bigint,tokens:bigint>>").alias("done")).cast(state)
     end = lambda s: F.concat(s["done"], F.array(F.struct(s["bin"].alias("bin"), s["n"].alias("n"), s["fill"].alias("tokens"))))
     packed = listed.withColumn("__b", F.explode(F.aggregate("__t", start, step, end)))
-    return packed.select(group, F.col("__b.bin").alias("bin"), F.col("__b.n").alias("n"), F.col("__b.tokens").alias("tokens"))
+    return packed.select(*group, F.col("__b.bin").alias("bin"), F.col("__b.n").alias("n"), F.col("__b.tokens").alias("tokens"))
 
 
 def pack_samples(samples: dict[str, list[tuple[object, int, int]]], weights: dict[str, float], mandatory: set[str], draws: Iterator[float], limits: Limits) -> Iterator[list[tuple[str, object, int]]]:

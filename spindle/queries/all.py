@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from spindle.queries import keeping, more, packing, placing, scoring, shapes, wording  # noqa: F401
+from spindle.queries import keeping, more, packing, placing, scoring, shapes, tables, wording  # noqa: F401
 from spindle.queries.registry import ORACLE_SQL, QUERIES  # noqa: F401

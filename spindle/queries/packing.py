@@ -10,25 +10,31 @@ from spindle.plans import pack, plan, spans
 from spindle.queries.registry import Tables, query
 
 _TOKENS = "(n_chars // 4 + 1)"
+#: Rows of one shard here; each source is cut into as many as its size asks for.
+_SHARD = 64
 _GREEDY = f"""
-WITH RECURSIVE t AS (
-  SELECT source, doc_id, CAST(least({_TOKENS}, 4096) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents
+WITH RECURSIVE s AS (SELECT source, doc_id, CAST({_TOKENS} AS BIGINT) AS tokens, md5(concat_ws(':', '7', 'pack', CAST(doc_id AS VARCHAR))) AS order_key, ceil(count(*) OVER (PARTITION BY source) / {_SHARD}.0) AS shards FROM documents),
+c AS (SELECT *, CAST(floor(CAST('0x' || substr(order_key, 9, 8) AS BIGINT) * shards / 4294967296) AS BIGINT) AS shard FROM s),
+t AS (
+  SELECT source, shard, tokens, row_number() OVER (PARTITION BY source, shard ORDER BY order_key, doc_id) AS rn FROM c WHERE tokens <= 8192
 ), p AS (
-  SELECT source, rn, tokens, tokens AS fill, CAST(0 AS BIGINT) AS bin FROM t WHERE rn = 1
+  SELECT source, shard, rn, tokens, tokens AS fill, CAST(0 AS BIGINT) AS bin FROM t WHERE rn = 1
   UNION ALL
-  SELECT t.source, t.rn, t.tokens, CASE WHEN p.fill + t.tokens > 8192 THEN t.tokens ELSE p.fill + t.tokens END, CASE WHEN p.fill + t.tokens > 8192 THEN p.bin + 1 ELSE p.bin END
-  FROM p JOIN t ON t.source = p.source AND t.rn = p.rn + 1
-), b AS (SELECT source, bin, count(*) AS n, sum(tokens) AS tokens FROM p GROUP BY source, bin)
+  SELECT t.source, t.shard, t.rn, t.tokens, CASE WHEN p.fill + t.tokens > 8192 THEN t.tokens ELSE p.fill + t.tokens END, CASE WHEN p.fill + t.tokens > 8192 THEN p.bin + 1 ELSE p.bin END
+  FROM p JOIN t ON t.source = p.source AND t.shard = p.shard AND t.rn = p.rn + 1
+), b AS (SELECT source, shard, bin, count(*) AS n, sum(tokens) AS tokens FROM p GROUP BY source, shard, bin)
 """
 
 
 def _captions(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "source", "n_chars", F.least(F.floor(F.col("n_chars") / 4) + 1, F.lit(4096)).cast("long").alias("tokens"))
+    return t.documents.select("doc_id", "source", "n_chars", (F.floor(F.col("n_chars") / 4) + 1).cast("long").alias("tokens"))
 
 
 @query(_GREEDY + "SELECT source, CAST(count(*) AS BIGINT) AS bins, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens) / (count(*) * 8192.0), 6) AS fill FROM b GROUP BY source")
 def q_pack_greedy_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = pack.greedy(_captions(Tables(spark, sf_dir)), "source", "doc_id", "tokens", 8192)
+    cut = pack.shard_of(_captions(Tables(spark, sf_dir)), "source", 7, "doc_id", size=_SHARD)
+    place = F.struct("order_key", "doc_id").alias("place")
+    bins = pack.greedy(cut.select("source", "shard", "tokens", place), ["source", "shard"], "place", "tokens", 8192)
     return bins.groupBy("source").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / (F.count("*") * 8192.0), 6).alias("fill"))
 
 
@@ -52,7 +58,7 @@ def _items(t: Tables) -> DataFrame:
 
 
 _ITEMS = f"""
-WITH c AS (SELECT doc_id, CAST(least({_TOKENS}, 4096) AS BIGINT) AS tokens FROM documents),
+WITH c AS (SELECT doc_id, CAST({_TOKENS} AS BIGINT) AS tokens FROM documents),
 items AS (
   SELECT doc_id, 0 AS place, 'text' AS type, tokens AS n, 0 AS frames, 0 AS loss FROM c
   UNION ALL

@@ -10,26 +10,18 @@ from spindle.functions.clean import clean_caption
 from spindle.operators import records
 from spindle.queries.registry import Tables, query
 
-_ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
-
-
-def _ascii() -> Column:
-    return F.col("text").rlike("^[\\x00-\\x7F]*$")
-
-
-
-@query(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), '_', ' '), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g')) AS canonical FROM documents WHERE {_ASCII}""")
+@query(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), '_', ' '), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g')) AS canonical FROM documents""")
 def q_canonicalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).documents.where(_ascii()).select("doc_id", text.canonical(F.col("text")).alias("canonical"))
+    return Tables(spark, sf_dir).documents.select("doc_id", text.canonical(F.col("text")).alias("canonical"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS t FROM documents WHERE {_ASCII}),
+@query(f"""WITH a AS (SELECT doc_id, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}', ' ', 'g'), '#\\d{{1,3}}\\b', '', 'g'), '\\b\\d{{6,}}\\b', '', 'g') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\\.]{{2,}}', ' ', 'g'), '[#&)(\\]\\[}}{{|\\\\/*~]+', ' ', 'g') AS t FROM b)
 SELECT doc_id, trim(regexp_replace(regexp_replace(t, '\\s+\\.\\s+', ' ', 'g'), '\\s+', ' ', 'g')) AS caption FROM c""")
 def q_clean_caption_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = ((r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", " "), (r"#\d{1,3}\b", ""), (r"\b\d{6,}\b", ""), (r"[\.]{2,}", " "), (r"[#&)(\]\[}{|\\/*~]+", " "), (r"\s+\.\s+", " "), (r"\s+", " "))
-    return Tables(spark, sf_dir).documents.where(_ascii()).select("doc_id", F.trim(text.substituted(F.lower(text.strip(F.col("text"))), steps)).alias("caption"))
+    return Tables(spark, sf_dir).documents.select("doc_id", F.trim(text.substituted(F.lower(text.strip(F.col("text"))), steps)).alias("caption"))
 
 
 @query()
@@ -105,9 +97,9 @@ def q_rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).part.select("p_partkey", answers.rule_extraction(said, F.array("p_brand", "p_type"), F.when(n == 1, "multi_choice").otherwise("free_form"), F.when(n == 0, "integer").otherwise("float")).alias("answer"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '[0-9]') AS digits, regexp_matches(text, '\\b(more|less|total|sum|max|min|mean|rate|cone|most|least)\\b') AS quantity FROM documents WHERE " + _ASCII)
+@query("SELECT doc_id, regexp_matches(text, '[0-9]') AS digits, regexp_matches(text, '\\b(more|less|total|sum|max|min|mean|rate|cone|most|least)\\b') AS quantity FROM documents")
 def q_word_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).documents.where(_ascii()).select("doc_id", answers.has_digit(F.col("text")).alias("digits"), answers.has_quantity_word(F.col("text")).alias("quantity"))
+    return Tables(spark, sf_dir).documents.select("doc_id", answers.has_digit(F.col("text")).alias("digits"), answers.has_quantity_word(F.col("text")).alias("quantity"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 3 <> 2 AS digits, l_partkey % 3 <> 0 AS floats FROM lineitem")
@@ -145,11 +137,11 @@ def q_option_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT text FROM benchmark ORDER BY CAST('0x' || substr(md5(concat_ws(':', '8', 'few-shot', text)), 1, 8) AS BIGINT), text LIMIT 3)
-SELECT n_nationkey, (SELECT CAST(sum(length(text)) AS BIGINT) FROM k) AS shots FROM nation""")
+SELECT n_nationkey, (SELECT string_agg(text, chr(10) ORDER BY text) FROM k) AS shots FROM nation""")
 def q_few_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     r = records.few_shot(t.nation, t.benchmark, "n_nationkey", "text", 3, 8)
-    return r.select("n_nationkey", F.aggregate("examples", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("shots"))
+    return r.select("n_nationkey", F.array_join("examples", "\n").alias("shots"))
 
 
 @query()

@@ -34,7 +34,8 @@ def good_records(df: DataFrame) -> DataFrame:
 
 
 def bad_records(df: DataFrame) -> DataFrame:
-    return df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    other = next(c for c in df.columns if c != CORRUPT)  # Spark refuses to read the corrupt column alone
+    return df.where(F.col(CORRUPT).isNotNull() & F.coalesce(F.col(f"`{other}`").cast("string"), CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def with_folders(spark: SparkSession, pairs: Iterable[tuple[str, str]], schema: str) -> DataFrame:
@@ -66,7 +67,7 @@ def cached_listing(spark: SparkSession, folder: str, pattern: str, cache: str) -
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no, value)`` of a text file, read as one split so that numbers follow the file."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "value"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "value"))
 
 
 def first_lines(rows: DataFrame, file: str, order: list[Column | str], n: int, seed: int | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def first_lines(rows: DataFrame, file: str, order: list[Column | str], n: int, s
 
 def keyed_object(spark: SparkSession, path: str, value: str) -> DataFrame:
     """``(key, ...)`` of a JSON file that is one object of records."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,struct<{value}>>")).alias("key", "r")).select("key", "r.*")
 
 
@@ -107,21 +108,30 @@ _GROUPS = pa.schema([("path", pa.string()), ("row_group", pa.int32()), ("rows",
 
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import io
+    import struct
 
     import pyarrow.parquet as pq
 
     for b in batches:
         out = []
-        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-            meta = pq.ParquetFile(io.BytesIO(content)).metadata
+        for path, tail in zip(b.column("path").to_pylist(), b.column("tail").to_pylist(), strict=True):
+            size = struct.unpack("<I", tail[-8:-4])[0]
+            # a footer alone, behind the magic that opens a file, is a file without data
+            meta = pq.ParquetFile(io.BytesIO(b"PAR1" + tail[-8 - size :])).metadata
             out.extend((path, i, meta.row_group(i).num_rows, meta.row_group(i).total_byte_size) for i in range(meta.num_row_groups))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _GROUPS.types, strict=True)] if out else [pa.array([], t) for t in _GROUPS.types], schema=_GROUPS)
 
 
 def row_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, row_group, rows, bytes)`` of Parquet files, from their footers: the unit of work for row-group plans."""
+    """``(path, row_group, rows, bytes)`` of Parquet files, from their footers: the unit of work for row-group plans.
+
+    Python gets the footers alone, cut from the files by Spark; a file that is none is an error.
+    """
     ship(spark)
-    return whole_files(spark, folder, "*.parquet").mapInArrow(_footers, "path string, row_group int, rows long, bytes long")
+    files = whole_files(spark, folder, "*.parquet")
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 1)), 16, 10).cast("int")
+    length = number(-8) + number(-7) * 256 + number(-6) * 65536 + number(-5) * 16777216
+    return files.select("path", F.substring("content", -(length + 8), length + 8).alias("tail")).mapInArrow(_footers, "path string, row_group int, rows long, bytes long")
 
 
 def exact_count(spark: SparkSession, path: str) -> DataFrame:
