@@ -11,6 +11,10 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one file of a table whose size is known, and files that such a table may always have.
+FILE_ROWS = 20_000
+FILES = 16
+
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
 _LEFT: dict[str, SparkSession] = {}
 
@@ -37,10 +41,15 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; removed by ``released``, else when the application ends."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again; removed by ``released``, else when the application ends.
+
+    ``rows``: about how many there are at most; few are then written by few tasks, whatever the number of partitions.
+    """
     spark = df.sparkSession
     path = table_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(FILES, rows // FILE_ROWS))
     _LEFT[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
