@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +32,43 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
+def trim() -> None:
+    """Gives back to the system what this worker's allocators hold unused: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function of batches that trims its worker every 16 of them and at the end."""
+
+    def counted(batches: Iterator) -> Iterator:
+        for i, b in enumerate(batches, 1):
+            yield b
+            if i % 16 == 0:
+                trim()
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(counted(batches))
+        trim()
+
+    return wrapped
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of a group's table that trims its worker after large ones."""
+
+    @wraps(run)
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes > 1 << 20:
+            trim()
+        return out
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

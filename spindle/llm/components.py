@@ -1,7 +1,8 @@
 """Connected components of an undirected edge table, by alternating large-star and small-star steps.
 
-No step gathers the neighbours of a vertex: each is a grouped minimum and a
-join, so a hub of any degree is split like any other skewed key.
+No step gathers the neighbours of a vertex: each is a grouped minimum and a join.
+A hub's edges would meet in one task of a shuffled join, so that the minima of hubs, which are few,
+are broadcast to the edges where these are.
 """
 
 from __future__ import annotations
@@ -9,32 +10,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import stored
+from spindle.llm.common import released, stored
 
+#: A vertex of so many edges is a hub; with many edges it takes more, so that there are ``HUBS`` at most.
+HUB_EDGES = 1000
+HUBS = 500_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, hub: int) -> DataFrame:
+    """``(u, v, m)``: each edge with the least neighbour of ``u``."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    hubs = least.where(F.col("degree") >= hub).select("u", "m")
+    others = least.where(F.col("degree") < hub).select("u", "m")
+    light = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti")
+    return edges.join(F.broadcast(hubs), "u").select("u", "v", "m").union(light.join(others, "u").select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))  # repeats go in the small star
+    moved = _with_least(both, hub).select("u", "v", F.least("u", "m").alias("m"))
+    return moved.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))  # repeats go in the small star
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    found = _with_least(down, hub)
+    moved = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(down.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, name: str = "edges", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "edges", rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``edges(u, v)`` of any orderable type -> ``(vertex, root)`` for every vertex but the roots.
 
     The root is the least vertex of its component.  Nulls, loops and repeated
-    edges are ignored; an empty table gives an empty result.
+    edges are ignored; an empty table gives an empty result.  ``rows``: about how many edges there may be.
     """
-    now = stored(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    state = None
+    now = stored(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, rows)
+    state = (now.count(),)
     for _ in range(rounds):
-        after = stored(_small_star(_large_star(now)), name)
+        n = state[0]  # no step makes more
+        hub = max(HUB_EDGES, -(-2 * n // HUBS))
+        large = stored(_large_star(now, hub), name, 2 * n)
+        after = stored(_small_star(large, hub), name, n)
+        released(large, now)
         found = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == state:
             return after.select(F.col("u").alias("vertex"), F.col("v").alias("root"))

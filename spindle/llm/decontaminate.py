@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm import kernel as K
-from spindle.llm.common import batch, prepare, stored
+from spindle.llm.common import batch, lean, prepare, stored
 
 Q = 8
 #: For folded items shorter than MIN_BYTES, which must also begin and end at word ends.
@@ -308,7 +308,7 @@ def _search(blocks):
             spans = [sorted(x, key=lambda s: (s["item_id"] is None, s["item_id"] or 0, s["start"], s["end"], s["edits"])) for x in found]
             yield batch(_OUT, b.column("doc_id"), b.column("text"), spans)
 
-    return run
+    return lean(run)
 
 
 def _clean(blocks):
@@ -318,7 +318,7 @@ def _clean(blocks):
             keep[[d for d, *_ in _in_batch(blocks, b.column("text"))]] = False
             yield b.filter(pa.array(keep))
 
-    return run
+    return lean(run)
 
 
 def _through_blocks(rows: DataFrame, benchmark: DataFrame, edits: float, step: Callable) -> DataFrame:

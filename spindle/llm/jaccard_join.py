@@ -24,7 +24,7 @@ members.
   matrix product) and a spanning forest of the links comes back, so a group of
   copies never becomes a table of pairs.
 * The *boundary* is the largest size for which enumerating subsets costs less
-  than scanning lists.
+  than scanning lists, by the mean length of the lists that the corpus has.
 
 Broadcast: the most frequent shingles, ``COMMON`` at most (8 bytes each), and
 ids behind a size check.
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm import kernel as K
-from spindle.llm.common import batch, prepare, semi_by_id, stored
+from spindle.llm.common import batch, lean, lean_group, prepare, released, semi_by_id, stored
 from spindle.llm.components import components
 
 #: Candidate pairs come from lists of up to this many sets; longer lists are joined block by block.
@@ -50,6 +50,10 @@ SHORT_LIST = 16
 BLOCK = 1024
 #: Shingles of one block at most, so that long texts make more blocks: a group of two blocks takes some 60 MB.
 BLOCK_SHINGLES = 400_000
+#: Rows of the join's tables for a set, roughly: only how many files they get follows from it.
+SET_ROWS = 4
+#: Subsets that a light set enumerates at most.
+MAX_SUBSETS = 20_000
 #: Bits of the filter that keeps postings of repeated keys only (32 MB).
 FILTER_BITS = 1 << 28
 #: The most frequent shingles that the global order knows, all others count as rare.
@@ -76,14 +80,21 @@ def subset_cost(n: int, percent: int) -> int:
     return sum(comb(n, overlap(n, m, percent)) for m in range(-(-percent * n // 100), 100 * n // percent + 1) if overlap(n, m, percent) <= min(n, m))
 
 
-def light_boundary(percent: int, partners: float = 1.0) -> int:
-    """Largest size up to which enumeration is cheaper than lists: postings plus checks of ``partners`` sets for each."""
+def light_boundary(percent: int, partners: float) -> int:
+    """Largest size up to which enumeration is cheaper than lists: postings plus checks of ``partners`` sets for each; no set has over ``MAX_SUBSETS``."""
     x = 0
-    while subset_cost(x + 1, percent) <= prefix_length(x + 1, percent) * (1 + partners * (x + 1)):
+    while subset_cost(x + 1, percent) <= min(MAX_SUBSETS, prefix_length(x + 1, percent) * (1 + partners * (x + 1))):
         x += 1
     return x
 
 
+def mean_partners(lists: DataFrame, vertices: DataFrame, percent: int) -> float:
+    """How many other sets a posting finds in its list: ``lists(key, count)`` has those of two sets and more."""
+    found = lists.agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1))).first()[0] or 0.0
+    postings = vertices.agg(F.sum(F.col("n") + F.floor(-percent * F.col("n") / 100) + 1)).first()[0] or 0
+    return found / max(postings, 1)
+
+
 def signature(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
     return K.mix(sums ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
 
@@ -106,7 +117,7 @@ def _sets(k: int):
                 n = np.diff(at)
                 yield batch(_SETS, ids.slice(first, last - first).cast(pa.int64()), n, signature(K.sums_in_docs(K.mix(values), at), n))
 
-    return run
+    return lean(run)
 
 
 def _common_in_runs(k: int, least: int):
@@ -134,7 +145,7 @@ def _common_in_runs(k: int, least: int):
         if parts:
             yield counted(parts)
 
-    return run
+    return lean(run)
 
 
 def _light_keys(values: np.ndarray, percent: int, boundary: int):
@@ -152,8 +163,8 @@ def _light_keys(values: np.ndarray, percent: int, boundary: int):
     return out
 
 
-def _postings(k: int, percent: int, boundary: int, common, bitmap):
-    """Without a bitmap the keys alone; with one, whole postings of the keys it has."""
+def _postings(k: int, percent: int, boundary: int, common, bitmap, scan: bool = True):
+    """Without a bitmap the keys alone; with one, whole postings of the keys it has.  ``scan``: not only the subsets of light sets."""
 
     def run(batches):
         order = np.asarray(common.value)  # rarest first
@@ -175,7 +186,7 @@ def _postings(k: int, percent: int, boundary: int, common, bitmap):
                     m = np.flatnonzero(moved[doc])
                     values[m] = values[m[np.lexsort((values[m], rank[m], doc[m]))]]
                 pos = np.arange(len(values)) - at[doc]
-                scanned = 100 * n // percent > boundary  # some partner may be heavy
+                scanned = scan & (100 * n // percent > boundary)  # some partner may be heavy
                 keep = (pos < prefix_length(n, percent)[doc]) & scanned[doc]
                 keys, sigs, sizes, places = [values[keep]], [sig[doc[keep]]], [n[doc[keep]]], [pos[keep]]
                 for d in np.flatnonzero((n > 0) & (n <= boundary)):
@@ -192,7 +203,7 @@ def _postings(k: int, percent: int, boundary: int, common, bitmap):
                 hit = (bitmap.value[low >> 6] >> (low & 63)) & 1 == 1
                 yield batch(_POSTINGS, found[hit], *(np.concatenate(c)[hit].astype(t) for c, t in ((sigs, np.int64), (sizes, np.int32), (places, np.int32))))
 
-    return run
+    return lean(run)
 
 
 class _Forest:
@@ -286,7 +297,7 @@ def _group_links(k: int, percent: int):
         links = np.array(forest_of(values, at, percent), dtype=np.int64).reshape(-1, 2)
         return pa.Table.from_batches([batch(_LINKS, s[links[:, 0]], s[links[:, 1]])], schema=_LINKS)
 
-    return run
+    return lean_group(run)
 
 
 def sketch_size(n, percent: int):
@@ -307,7 +318,7 @@ def _sketches(k: int, percent: int):
                 low = (values >> np.uint64(32)).astype("<u4")
                 yield batch(_SKETCHES, sig, n.astype(np.int32), [low[at[d] : at[d] + m[d]].tobytes() for d in range(part.n)])
 
-    return run
+    return lean(run)
 
 
 def near_forest(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -341,7 +352,7 @@ def _group_near(percent: int):
         links = np.array(near_forest(sketches, n, percent), dtype=np.int64).reshape(-1, 2)
         return pa.Table.from_batches([batch(_LINKS, sigs[links[:, 0]], sigs[links[:, 1]])], schema=_LINKS)
 
-    return run
+    return lean_group(run)
 
 
 def shingle_sets(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -349,9 +360,13 @@ def shingle_sets(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sets(words), "doc_id long, n_shingles long, sig long")
 
 
-def _repeated(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the low bits of all keys that occur twice or more, of at most ``FILTER_BITS`` bits."""
-    twice = stored(keys.groupBy("key").count().where("count > 1").select("key"), "repeated")
+def _twice(keys: DataFrame, n: int) -> DataFrame:
+    """``(key, count)`` of all keys that occur twice or more, in ``n`` sets."""
+    return stored(keys.groupBy("key").count().where("count > 1"), "repeated", SET_ROWS * n)
+
+
+def _bitmap(twice: DataFrame) -> np.ndarray:
+    """The low bits of all keys, in at most ``FILTER_BITS`` bits."""
     bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * twice.count()).bit_length()))
     low = F.col("key").bitwiseAND(F.lit(bits - 1))
     words = twice.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
@@ -366,13 +381,13 @@ def _blocks_for(size, total):
     return F.greatest(F.ceil(size / BLOCK), F.ceil(total / BLOCK_SHINGLES)).cast("int")
 
 
-def _groups(edges: DataFrame, vertices: DataFrame, name: str) -> DataFrame:
+def _groups(edges: DataFrame, vertices: DataFrame, name: str, n: int) -> DataFrame:
     """``(sig, root, size, total, whole)`` of all ends of edges: their component, its sets and shingles, and whether it can be one group."""
-    roots = components(edges, name)
+    roots = components(edges, name, rows=SET_ROWS * n)
     grouped = roots.union(roots.select("root", "root").distinct())
-    named = stored(grouped.select(F.col("vertex").alias("sig"), "root").join(vertices.select("sig", "n"), "sig"), "grouped")
+    named = stored(grouped.select(F.col("vertex").alias("sig"), "root").join(vertices.select("sig", "n"), "sig"), "grouped", n)
     sized = named.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    return stored(named.join(sized, "root").select("sig", "root", "size", "total", (_blocks_for(F.col("size"), F.col("total")) <= 2).alias("whole")), "groups")
+    return stored(named.join(sized, "root").select("sig", "root", "size", "total", (_blocks_for(F.col("size"), F.col("total")) <= 2).alias("whole")), "groups", n)
 
 
 def _wholes(group: DataFrame) -> DataFrame:
@@ -413,36 +428,41 @@ def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int
     ``vertices(sig, n, doc_id)``: one row of ``docs`` for each distinct set.
     """
     spark = docs.sparkSession
-    boundary = light_boundary(percent)
+    many = vertices.count()
     texts = semi_by_id(docs.select("doc_id", "text"), vertices, "doc_id")
     counts = texts.select("text").mapInArrow(_common_in_runs(words, COMMON_IN_RUN), "token long, df long")
     common = counts.groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= COMMON_IN_ALL).orderBy(F.desc("df"), "token").limit(COMMON)
     order = spark.sparkContext.broadcast(np.array([r.token for r in common.collect()], dtype=np.int64).view(np.uint64)[::-1].copy())
-    keys = texts.select("text").mapInArrow(_postings(words, percent, boundary, order, None), "key long")
-    bitmap = spark.sparkContext.broadcast(_repeated(keys))
+    # the boundary follows from the lists that all sets would have; subsets are then enumerated up to it
+    listed = _twice(texts.select("text").mapInArrow(_postings(words, percent, 0, order, None), "key long"), many)
+    boundary = light_boundary(percent, mean_partners(listed, vertices, percent))
+    small = semi_by_id(docs.select("doc_id", "text"), vertices.where(F.col("n") <= boundary), "doc_id")
+    subsets = _twice(small.select("text").mapInArrow(_postings(words, percent, boundary, order, None, False), "key long"), many)
+    bitmap = spark.sparkContext.broadcast(_bitmap(listed.union(subsets).select("key")))
+    released(listed, subsets)
     postings = stored(texts.select("text").mapInArrow(_postings(words, percent, boundary, order, bitmap), "key long, sig long, n int, pos int"), "postings")
 
     lists = postings.groupBy("key").agg(
         F.count("*").alias("size"), F.min("sig").alias("head"), F.max("sig").alias("tail"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("kind"),
         F.sum(F.hash("sig").cast("long")).alias("members"), F.sum("n").alias("total"),
     ).where("head <> tail")
-    lists = stored(lists, "lists")
+    lists = stored(lists, "lists", SET_ROWS * many)
     subsets = lists.where("kind = -1 OR (kind = -2 AND n0 < n1)").select("key", "head")
     by_subset = postings.where("pos < 0").join(subsets, "key").where("sig <> head").select(F.col("head").alias("u"), F.col("sig").alias("v"))
     scanned = lists.where("kind >= 0").groupBy("members", "size", "head", "tail").agg(F.min_by("key", "kind").alias("key"), F.max("total").alias("total"))  # the first in the global order: places bound what pairs share from there on
-    entries = stored(postings.where("pos >= 0").join(scanned.select("key", "size", "total"), "key"), "entries")
+    entries = stored(postings.where("pos >= 0").join(scanned.select("key", "size", "total"), "key"), "entries", SET_ROWS * many)
 
     short = entries.where(F.col("size") <= SHORT_LIST)
     a, b = (short.select("key", *(F.col(c).alias(c + x) for c in ("sig", "n", "pos"))) for x in "ab")
     fits = (F.col("na") * 100 >= percent * F.col("nb")) & (F.col("nb") * 100 >= percent * F.col("na"))
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     place = 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= need
-    pairs = stored(a.join(b, "key").where((F.col("siga") < F.col("sigb")) & fits & place).select(F.col("siga").alias("u"), F.col("sigb").alias("v")).distinct(), "pairs")
+    pairs = stored(a.join(b, "key").where((F.col("siga") < F.col("sigb")) & fits & place).select(F.col("siga").alias("u"), F.col("sigb").alias("v")).distinct(), "pairs", SET_ROWS * many)
     long_entries = entries.where(F.col("size") > SHORT_LIST)
 
     # First sketches meet, in groups that bring all candidates together: whatever candidates connect,
     # or of larger groups each list's blocks and each set with its partners.
-    group = _groups(pairs.union(_linked_by_lists(long_entries, percent)), vertices, "candidates")
+    group = _groups(pairs.union(_linked_by_lists(long_entries, percent)), vertices, "candidates", many)
     rest = group.where("NOT whole").select("sig")
     apart = pairs.join(rest.withColumnRenamed("sig", "u"), "u")
     none = F.lit(-1)
@@ -451,16 +471,16 @@ def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int
     dealt = sized.join(counts, "u").withColumn("i", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     partners = dealt.select("u", "i", F.explode(F.array("u", "v")).alias("sig")).distinct().select(F.lit(1).alias("kind"), F.col("u").alias("key"), "i", none.alias("j"), "sig")
     blocks = _blocks(long_entries.join(rest, "sig").select("key", "sig", "size", "total"), 2)
-    members = stored(_wholes(group).union(partners).union(blocks), "members")
+    members = stored(_wholes(group).union(partners).union(blocks), "members", SET_ROWS * many)
     ids = vertices.select("sig", "doc_id")
     sketched = members.select("sig").distinct().join(ids, "sig")
-    sketches = semi_by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), stored(sketched, "sketched"), "doc_id").select("text").mapInArrow(_sketches(words, percent), "sig long, n int, sketch binary").dropDuplicates(["sig"])
+    sketches = semi_by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), stored(sketched, "sketched", many), "doc_id").select("text").mapInArrow(_sketches(words, percent), "sig long, n int, sketch binary").dropDuplicates(["sig"])
     near = sketches.join(members, "sig").groupBy("kind", "key", "i", "j").applyInArrow(_group_near(percent), "u long, v long")
 
     # Then whole texts, in groups of what the sketches left connected.
-    group = _groups(near, vertices, "near")
+    group = _groups(near, vertices, "near", many)
     parts = group.where("NOT whole").select(F.col("root").alias("key"), "sig", "size", "total")
-    members = stored(_wholes(group).union(_blocks(parts, 2)).join(ids, "sig"), "members")
+    members = stored(_wholes(group).union(_blocks(parts, 2)).join(ids, "sig"), "members", SET_ROWS * many)
     found = semi_by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), members.select("doc_id").distinct(), "doc_id")
     checked = found.join(members, "doc_id").groupBy("kind", "key", "i", "j").applyInArrow(_group_links(words, percent), "u long, v long")
     return by_subset.union(checked)
@@ -477,8 +497,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     """
     prepare(docs.sparkSession)
     sets = stored(shingle_sets(docs, words), "sets")
-    vertices = stored(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "vertices")
-    roots = components(jaccard_links(docs, vertices, words, percent), "links")
+    vertices = stored(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "vertices", sets.count())
+    roots = components(jaccard_links(docs, vertices, words, percent), "links", rows=vertices.count())
     labelled = vertices.join(roots, vertices.sig == roots.vertex, "left").select("sig", F.coalesce("root", "sig").alias("root"), "doc_id")
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_sig = labelled.join(least, "root").select("sig", "component_id")
@@ -493,7 +513,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     """
     found = stored(jaccard_components(docs, words, percent), "components")
     known = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("kept"), F.count("*").alias("rows"))
-    kept = stored(known.where("kept = 1").select("doc_id", "rows"), "kept")
+    kept = stored(known.where("kept = 1").select("doc_id", "rows"), "kept", found.count())
     once = semi_by_id(docs, kept.where("rows = 1"), "doc_id")
     more = semi_by_id(docs, kept.where("rows > 1"), "doc_id").dropDuplicates(["doc_id"])
     columns = docs.columns

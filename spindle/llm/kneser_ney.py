@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm import kernel as K
-from spindle.llm.common import BROADCAST_ROWS, batch, prepare, semi_by_id, stored, table_path
+from spindle.llm.common import BROADCAST_ROWS, batch, lean, lean_group, prepare, semi_by_id, stored, table_path
 
 ORDER = 5
 SYMBOLS = 256
@@ -91,6 +91,7 @@ def _coded(batches, order: int) -> Iterator[tuple[np.ndarray, int, pa.RecordBatc
 _COUNTS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
 
+@lean
 def _count(batches):
     size, parts = 0, []
 
@@ -135,6 +136,7 @@ def order_counts(counts: DataFrame) -> DataFrame:
 _MODEL = pa.schema([("key", pa.int64()), ("value", pa.int64())])
 
 
+@lean
 def _packed(batches):
     """Share and weight of a key as the halves of one number."""
     for b in batches:
@@ -177,6 +179,7 @@ def lower_keys(keys: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(out))
 
 
+@lean
 def _requests(batches):
     from pyspark import TaskContext
 
@@ -221,7 +224,7 @@ def _answers(folder: str):
             fs.delete_file(own)
         return pa.Table.from_batches([batch(_DONE, [run], [len(keys)])], schema=_DONE)
 
-    return write
+    return lean_group(write)
 
 
 def _answered(folder: str, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,7 +271,7 @@ def _score(folder: str):
             keep = slice(first, last)
             yield batch(_SCORES, b.column("doc_id")[keep].cast(pa.int64()), b.column("lang")[keep], n, np.exp2(-(sums[at[1:]] - sums[at[:-1]]) / n))
 
-    return run
+    return lean(run)
 
 
 def _repeatable(rows: DataFrame) -> DataFrame:

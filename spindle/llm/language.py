@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.llm import kernel as K
-from spindle.llm.common import batch, prepare, semi_by_id, stored
+from spindle.llm.common import batch, lean, prepare, semi_by_id, stored
 
 TRAIN_PER_LANG = 600
 TRAIN_ROWS = 12_000
@@ -96,6 +96,7 @@ def kernel_of(x: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.nda
 _SEGMENTS = pa.schema([("lang", pa.string()), ("slot", pa.int64()), ("segment", pa.binary())])
 
 
+@lean
 def _sampled(batches):
     """Up to ``TRAIN_SEGMENTS`` segments of each text, evenly spaced."""
     for b in batches:
@@ -175,7 +176,7 @@ def _predict(shared):
             names, score = predict(shared.value, b.column("text"))
             yield batch(_OUT, b.column("doc_id"), b.column("held_out"), names, score)
 
-    return run
+    return lean(run)
 
 
 def _accepted(shared, at_least: float):
@@ -184,7 +185,7 @@ def _accepted(shared, at_least: float):
             names, score = predict(shared.value, b.column("text"))
             yield b.filter(pa.array([n != UNKNOWN for n in names]) if not at_least else pa.array([n != UNKNOWN and s >= at_least for n, s in zip(names, score, strict=True)]))
 
-    return run
+    return lean(run)
 
 
 def held_out(column: str = "doc_id"):

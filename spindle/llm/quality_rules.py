@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm import kernel as K
-from spindle.llm.common import batch, prepare
+from spindle.llm.common import batch, lean, prepare
 from spindle.llm.trees import Trees, boosted
 
 #: Labelled rows that the trees are fitted on.
@@ -101,6 +101,7 @@ _COUNT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), *((c,
 _SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS[:5]), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("score", pa.float64())])
 
 
+@lean
 def _count(batches):
     for b in batches:
         for first, last, part in K.slices(K.texts_of(b.column("text"))):
@@ -117,7 +118,7 @@ def _score(model: Trees, at_least: float):
                 p = 1 / (1 + np.exp(-model.raw(features(s))))
                 yield batch(_SCORE_SCHEMA, b.column("doc_id").slice(first, last - first).cast(pa.int64()), *(s[c] for c in COUNTS[:5]), failed, ~failed & (p >= at_least), p)
 
-    return run
+    return lean(run)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int = TRAIN_ROWS) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import batch, prepare, semi_by_id, stored
+from spindle.llm.common import batch, lean, prepare, semi_by_id, stored
 
 ROUNDS = 8
 #: Draws in a unit's own shape; each later one of a name or email is a letter longer.
@@ -284,6 +284,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int3
 _OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_entities", pa.int64()), ("spans", pa.list_(_SPAN))])
 
 
+@lean
 def _find(batches):
     for b in batches:
         out = []
@@ -298,7 +299,7 @@ def _draw(key: bytes):
             rows = [(r["kind"], r["unit"], r["attempt"], _checked(r["kind"], r["unit"], r["attempt"], key)) for r in b.to_pylist()]
             yield batch(_DRAWN, *(zip(*rows, strict=True) if rows else ((), (), (), ())))
 
-    return run
+    return lean(run)
 
 
 def _checked(kind: str, unit: str, attempt: int, key: bytes) -> str:
@@ -324,7 +325,7 @@ def _replace(key: bytes, shared):
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
             yield batch(_OUT, b.column("doc_id"), texts, counts, spans)
 
-    return run
+    return lean(run)
 
 
 def redrawn_units(units: DataFrame, key: bytes) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.llm import kernel as K
-from spindle.llm.common import batch, partitions, prepare, table_path
+from spindle.llm.common import batch, lean, partitions, prepare, table_path
 
 MAGIC = b"TPLN0001"
 CHUNK_IDS = 1 << 16
@@ -359,7 +359,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, chunk_ids: int):
             sink.close()
             yield batch(_MANIFEST, [part], [name], [n_docs], [writer.n_ids])
 
-    return run
+    return lean(run)
 
 
 def _reader(folder: str):
@@ -375,7 +375,7 @@ def _reader(folder: str):
                     j = min(i + 100_000, r.n_docs)
                     yield batch(_READ, pa.array(r.doc_ids[i:j], mask=r.null[i:j]), starts[i:j], r.lengths[i:j], crc[i:j])
 
-    return run
+    return lean(run)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS, files: int | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm import kernel as K
-from spindle.llm.common import batch, prepare, stored
+from spindle.llm.common import batch, lean, prepare, stored
 from spindle.llm.quality_rules import labelled_texts
 
 TRAIN_ROWS = 20_000
@@ -176,6 +176,7 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("bits", pa.bi
 _OUT = pa.schema([("doc_id", pa.int64()), *((f"p_{c}", pa.float64()) for c in CHAIN), ("is_toxic", pa.bool_())])
 
 
+@lean
 def _count_terms(batches):
     for b in batches:
         labels = np.asarray(b.column("label")).astype(np.int64)
@@ -199,7 +200,7 @@ def _rows(shared):
                 own = slice(first, last)
                 yield batch(_ROWS, b.column("doc_id")[own], b.column("label")[own].cast(pa.int32()), [row.tobytes() for row in np.packbits(x, axis=1)])
 
-    return run
+    return lean(run)
 
 
 def telling_terms(counts: DataFrame, n: int, total: int) -> DataFrame:
@@ -219,7 +220,7 @@ def _score(shared):
                 p = probabilities(shared.value, part)
                 yield batch(_OUT, b.column("doc_id").slice(first, last - first).cast(pa.int64()), *p.T, p[:, -1] >= shared.value.limits[-1])
 
-    return run
+    return lean(run)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:

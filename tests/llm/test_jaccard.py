@@ -81,7 +81,9 @@ def test_empty_table(docs_of):
 
 
 def test_bounds():
-    assert J.light_boundary(85) == 13
+    assert J.light_boundary(85, 1.0) == 13
+    bounds = [J.light_boundary(85, x) for x in (0, 0.1, 1, 10, 1e3, 1e9)]
+    assert bounds == sorted(bounds) and bounds[0] < 13 < bounds[-1] and J.subset_cost(bounds[-1], 85) <= J.MAX_SUBSETS
     for n in range(1, 60):
         for m in range(n, 60):
             for both in range(n + 1):
@@ -101,10 +103,11 @@ def test_forest_and_sketches_agree_with_pairs():
     want = [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
 
     def classes(links):
-        f = J._Forest(40)
+        up = list(range(40))
         for a, b in links:
-            f.join(a, b)
-        return [f.root(i) for i in range(40)]
+            low, high = sorted((up[a], up[b]))
+            up = [low if x == high else x for x in up]
+        return up
 
     assert classes(J.forest_of(np.concatenate(sets), at, 85)) == classes(want)
     size = J.sketch_size(n, 85)
@@ -112,6 +115,39 @@ def test_forest_and_sketches_agree_with_pairs():
     assert all(near[i] == near[j] for i, j in want)
 
 
+def test_partners_are_those_of_the_lists(spark):
+    lists = spark.createDataFrame([(1, 3), (2, 2)], "key long, count long")
+    vertices = spark.createDataFrame([(1, 10), (2, 1), (3, 20)], "sig long, n long")
+    postings = sum(J.prefix_length(n, 85) for n in (10, 1, 20))
+    assert J.mean_partners(lists, vertices, 85) == (3 * 2 + 2 * 1) / postings
+    assert J.mean_partners(lists.limit(0), vertices.limit(0), 85) == 0
+
+
+@pytest.mark.parametrize("partners", [0.0, 40.0])
+def test_any_boundary_gives_the_same_components(spark, docs_of, monkeypatch, partners):
+    monkeypatch.setattr(J, "mean_partners", lambda *_: partners)
+    rng = random.Random(31)
+    rows = []
+    for i in range(90):
+        if i % 3:
+            w = rng.choice(rows)[1].split()
+            w[rng.randrange(len(w))] = rng.choice("abcdefgh")
+        else:
+            w = [rng.choice("abcdefghijklmnop") + str(rng.randrange(9)) for _ in range(rng.choice([1, 4, 9, 16, 24, 40]))]
+        rows.append((i, " ".join(w), "en", "s"))
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs_of(rows)).collect()}
+    assert got == {i: c for i, _, c in brute(rows, 4, 85)}
+
+
+def test_hubs_of_any_degree(spark, monkeypatch):
+    from spindle.llm import components as C
+
+    monkeypatch.setattr(C, "HUB_EDGES", 5)
+    edges = [(0, i) for i in range(1, 40)] + [(500, i) for i in range(30, 70)] + [(900, 800 + i) for i in range(30)] + [(i, i + 1) for i in range(100, 130)] + [(130, 830)]
+    got = {r.vertex: r.root for r in C.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {v: 0 for v in [*range(1, 70), 500]} | {v: 100 for v in [*range(101, 131), 830]} | {v: 800 for v in [*range(801, 830), 900]}
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5), (None, 3)]
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
