@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from spindle.ship import ship
+from spindle.ship import ship, spread
 
 #: Fixed value: the pre-token pattern.
 PRE_TOKEN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
@@ -17,8 +21,15 @@ PRE_TOKEN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s
 SPECIAL = ("<|im_start|>", "<|im_end|>", "<|vision_start|>", "<|vision_end|>", "<|video_start|>", "<|video_end|>")
 
 
-def pre_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0))
+def pre_tokens(text: Column, special: tuple[str, ...] = ()) -> Column:
+    """Pieces of a text.  Special tokens are pieces of their own, and each part between them is cut as a text of its own."""
+    pieces = lambda t: F.regexp_extract_all(t, F.lit(PRE_TOKEN), F.lit(0))
+    if not special:
+        return pieces(text)
+    any_special = "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))
+    parts = F.transform(F.split(text, any_special, -1), pieces)
+    marks = F.regexp_extract_all(text, F.lit(f"({any_special})"), F.lit(1))
+    return F.flatten(F.zip_with(parts, marks, lambda p, m: F.when(m.isNotNull(), F.array_append(p, m)).otherwise(p)))
 
 
 @lru_cache(maxsize=1)
@@ -30,10 +41,11 @@ def byte_letters() -> dict[int, str]:
 
 
 class Bpe:
-    """Merges by rank; what was encoded is remembered up to a bound."""
+    """Merges by rank; what was encoded is remembered up to a bound.  Special tokens have their id whole."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], unknown: int | None = None, remember: int = 100_000):
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], unknown: int | None = None, remember: int = 100_000, special: tuple[str, ...] = SPECIAL):
         self.ids, self.ranks, self.unknown, self.bound = vocabulary, {m: i for i, m in enumerate(merges)}, unknown, remember
+        self.special = tuple(t for t in special if t in vocabulary)
         self.known: dict[str, list[int]] = {}
 
     def parts(self, piece: str) -> list[str]:
@@ -61,14 +73,16 @@ class Bpe:
             if p not in self.known:
                 if len(self.known) >= self.bound:
                     self.known.clear()
-                self.known[p] = [i for i in (self.ids.get(s, self.unknown) for s in self.parts(p)) if i is not None]
+                parts = [p] if p in self.special else self.parts(p)
+                self.known[p] = [i for i in (self.ids.get(s, self.unknown) for s in parts) if i is not None]
             out += self.known[p]
         return out
 
     def decode(self, ids: list[int]) -> str:
         letters = {c: b for b, c in byte_letters().items()}
         names = {i: t for t, i in self.ids.items()}
-        return bytes(letters[c] for i in ids if i in names for c in names[i]).decode("utf-8", "replace")
+        plain = lambda t: t.encode() if t in self.special else bytes(letters[c] for c in t)
+        return b"".join(plain(names[i]) for i in ids if i in names).decode("utf-8", "replace")
 
 
 def with_special(vocabulary: dict[str, int]) -> dict[str, int]:
@@ -108,17 +122,37 @@ def learned_merges(words: dict[str, int], n: int) -> tuple[dict[str, int], list[
     return vocabulary, merges
 
 
-def encoded(df: DataFrame, text: str, bpe: Bpe, out: str = "ids") -> DataFrame:
-    """``df`` with the ids of a text column."""
-    ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(bpe)
+def loaded(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """Vocabulary, with added tokens, and merges of a tokenizer file (JSON)."""
+    with open(path, encoding="utf-8") as f:
+        read = json.load(f)
+    model = read["model"]
+    return model["vocab"] | {t["content"]: t["id"] for t in read.get("added_tokens", ())}, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for pieces in batches:
-            yield pieces.map(lambda p: shared.value.encode(list(p)) if p is not None else None)
 
-    return df.withColumn(out, encode(pre_tokens(F.col(text))))
+def encoded(df: DataFrame, text: str, bpe: Bpe, out: str = "ids") -> DataFrame:
+    """``df`` with the ids of a text column.  Of each batch, every distinct piece is encoded once."""
+    ship(df.sparkSession)
+    shared, columns = df.sparkSession.sparkContext.broadcast(bpe), [*df.columns, out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("pieces")
+            flat = column.flatten().dictionary_encode()  # what null texts have is left out
+            names = [shared.value.encode([p]) for p in flat.dictionary.to_pylist()]
+            size = np.array([len(x) for x in names], dtype=np.int64)
+            pool, first = np.fromiter((i for x in names for i in x), np.int32, int(size.sum())), np.cumsum(size) - size
+            codes = np.asarray(flat.indices)
+            many = size[codes]
+            edges = np.concatenate([[0], np.cumsum(many)])
+            ids = pool[np.repeat(first[codes] - edges[:-1], many) + np.arange(int(edges[-1]))]
+            ends = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
+            made = pa.ListArray.from_arrays(pa.array(edges[ends].astype(np.int32)), pa.array(ids, pa.int32()), mask=column.is_null())
+            yield pa.RecordBatch.from_arrays([*b.column("row").flatten(), made], names=columns)
+
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    pieces = spread(df).select(row.alias("row"), pre_tokens(F.col(text), bpe.special).alias("pieces"))
+    return pieces.mapInArrow(run, StructType([*df.schema.fields, StructField(out, ArrayType(IntegerType()))]))
 
 
 def with_eos(ids: Column, eos: int, pair: Column | None = None) -> Column:

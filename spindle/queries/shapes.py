@@ -126,7 +126,8 @@ def q_relative_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("l_partkey") % 300, F.col("l_suppkey") % 200
     box = F.array(*(c.cast("double") for c in (x, y, x + F.col("l_quantity"), y + F.col("l_linenumber") * 9)))
     target = F.array(*(F.lit(float(v)) for v in (140, 100, 200, 140)))
-    t = Tables(spark, sf_dir).lineitem.select(F.array_join(geometry.relative_position(box, target), ",").alias("relation"), geometry.iou(box, target).alias("iou"))
+    boxes = Tables(spark, sf_dir).lineitem.select(box.alias("box"))
+    t = boxes.select(F.array_join(geometry.relative_position(F.col("box"), target), ",").alias("relation"), geometry.iou(F.col("box"), target).alias("iou"))
     return t.groupBy("relation").agg(F.count("*").alias("n"), F.round(F.sum("iou"), 5).alias("iou"))
 
 

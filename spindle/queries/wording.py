@@ -9,6 +9,7 @@ from spindle.functions import answers, prompts, text, tokens
 from spindle.functions.clean import clean_caption
 from spindle.operators import records
 from spindle.queries.registry import Tables, query
+from spindle.ship import spread
 
 @query(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), '_', ' '), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g')) AS canonical FROM documents""")
 def q_canonicalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,20 +27,27 @@ def q_clean_caption_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_clean_caption_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).pages.select("page_id", clean_caption(F.col("html")).alias("caption"))
+    return spread(Tables(spark, sf_dir).pages.select("page_id", "html")).select("page_id", clean_caption(F.col("html")).alias("caption"))
 
 
-@query("SELECT item_id, list_element(['yes', 'no', 'other'], CAST(item_id % 3 AS BIGINT) + 1) AS parsed FROM benchmark")
+_SAID = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("SELECT doc_id, CASE WHEN lower(text) IN ('yes', 'no') THEN lower(text) WHEN contains(substr(lower(text), 1, 4), 'yes') THEN 'yes' WHEN contains(substr(lower(text), 1, 4), 'no') THEN 'no' ELSE 'other' END AS parsed FROM documents")
 def q_yes_no(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.get(F.array(F.lit("YES, it is"), F.lit("No"), F.lit("It may be yes")), F.col("item_id").cast("int") % 3)
-    return Tables(spark, sf_dir).benchmark.select("item_id", answers.yes_no(said).alias("parsed"))
+    return Tables(spark, sf_dir).documents.select("doc_id", answers.yes_no(F.col("text")).alias("parsed"))
+
 
+_MIXED = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || '不是' WHEN 2 THEN 'True, 是的' || text ELSE '否 False ' || text END"
 
-@query("SELECT item_id, list_element(['No', 'Yes', 'No'], CAST(item_id % 3 AS BIGINT) + 1) AS translated, item_id % 2 = 0 AS says_no FROM benchmark")
+
+@query(f"""WITH m AS (SELECT doc_id, {_MIXED} AS m FROM documents),
+t AS (SELECT doc_id, m, replace(replace(regexp_replace(replace(replace(m, chr(10), ''), 'True', 'Yes'), '^\\s+|\\s+$', '', 'g'), 'False', 'No'), '不是', 'No') AS t FROM m)
+SELECT doc_id, regexp_replace(replace(replace(t, '是', 'Yes'), '否', 'No'), '[\u4e00-\u9fa5]', '', 'g') AS translated, list_has_any(string_split(replace(split_part(m, '.', 1), ',', ''), ' '), ['No', 'not', 'no']) AS says_no FROM t""")
 def q_translate_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.get(F.array(F.lit("不是\n"), F.lit("是的"), F.lit("False")), F.col("item_id").cast("int") % 3)
-    sentence = F.when(F.col("item_id") % 2 == 0, "There is, not here. Yes").otherwise("Nothing. No")
-    return Tables(spark, sf_dir).benchmark.select("item_id", answers.translated(said).alias("translated"), answers.first_sentence_no(sentence).alias("says_no"))
+    n = F.col("doc_id") % 4
+    said = F.when(n == 0, F.col("text")).when(n == 1, F.concat("text", F.lit("不是"))).when(n == 2, F.concat(F.lit("True, 是的"), "text")).otherwise(F.concat(F.lit("否 False "), "text"))
+    return Tables(spark, sf_dir).documents.select("doc_id", answers.translated(said).alias("translated"), answers.first_sentence_no(said).alias("says_no"))
 
 
 _FIRST = "regexp_extract(text, '^[^\\n]*')"
@@ -57,10 +65,9 @@ def q_score_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).documents.select("doc_id", answers.judge_score(said, "Consistency").alias("consistency"), answers.judge_score(said, "Realism").alias("realism"))
 
 
-@query("SELECT item_id, list_element(['C', 'B', 'A', 'unknown'], CAST(item_id % 4 AS BIGINT) + 1) AS letter FROM benchmark")
+@query(f"WITH t AS (SELECT doc_id, {_SAID} AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN 'C' WHEN t IN ('A', 'B', 'C', 'D') THEN t WHEN contains(t, 'A') THEN 'A' WHEN contains(t, 'B') THEN 'B' WHEN contains(t, 'C') THEN 'C' WHEN contains(t, 'D') THEN 'D' ELSE t END AS letter FROM t")
 def q_mc_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.get(F.array(F.lit(" "), F.lit("B"), F.lit("D or A"), F.lit("unknown")), F.col("item_id").cast("int") % 4)
-    return Tables(spark, sf_dir).benchmark.select("item_id", answers.choice_letter(said, 4, "C").alias("letter"))
+    return Tables(spark, sf_dir).documents.select("doc_id", answers.choice_letter(F.col("text"), 4, "C").alias("letter"))
 
 
 @query("SELECT p_partkey, 'A. ' || p_brand || chr(10) || 'B. ' || p_type || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'C. ' || p_name ELSE '' END AS options FROM part")
@@ -102,11 +109,14 @@ def q_word_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).documents.select("doc_id", answers.has_digit(F.col("text")).alias("digits"), answers.has_quantity_word(F.col("text")).alias("quantity"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 3 <> 2 AS digits, l_partkey % 3 <> 0 AS floats FROM lineitem")
+_PRICE = "CASE l_partkey % 3 WHEN 0 THEN CAST(l_extendedprice AS VARCHAR) WHEN 1 THEN CAST(l_quantity AS VARCHAR) ELSE l_returnflag || CAST(l_suppkey AS VARCHAR) END"
+
+
+@query(f"WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {_PRICE} AS t FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, regexp_full_match(regexp_replace(t, '\\.0+$', ''), '[+-]?[0-9]+') AS digits, contains(t, '.') AND TRY_CAST(t AS DOUBLE) IS NOT NULL AS floats FROM t")
 def q_number_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("l_partkey").cast("string")
-    said = F.when(F.col("l_partkey") % 3 == 0, n).when(F.col("l_partkey") % 3 == 1, F.concat(n, F.lit(".00"))).otherwise(F.concat(n, F.lit(".25")))
-    return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", answers.is_digit_string(said).alias("digits"), answers.is_float_string(said).alias("floats"))
+    n = F.col("l_partkey") % 3
+    said = F.when(n == 0, F.col("l_extendedprice").cast("string")).when(n == 1, F.col("l_quantity").cast("string")).otherwise(F.concat("l_returnflag", F.col("l_suppkey").cast("string")))
+    return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", answers.is_digit_string(said).alias("digits"), answers.is_float_string(said).alias("floats"))
 
 
 @query()
@@ -147,5 +157,7 @@ def q_few_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_tokenise_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, merges = tokens.learned_merges({"the": 9, " the": 9, " of": 5, " and": 5, "tion": 7, " in": 4}, 12)
-    docs = tokens.encoded(Tables(spark, sf_dir).documents.select("doc_id", "text"), "text", tokens.Bpe(tokens.with_special(vocabulary), merges))
-    return docs.select("doc_id", F.size(tokens.pre_tokens(F.col("text"))).alias("pieces"), F.size("ids").alias("n_ids"), F.element_at(tokens.with_eos(F.col("ids"), 300), -1).alias("final"))
+    said = F.concat(F.lit("<|im_start|>"), "text", F.lit("<|im_end|>"))
+    bpe = tokens.Bpe(tokens.with_special(vocabulary), merges)
+    docs = tokens.encoded(Tables(spark, sf_dir).documents.select("doc_id", said.alias("said")), "said", bpe)
+    return docs.select("doc_id", F.size(tokens.pre_tokens(F.col("said"), bpe.special)).alias("pieces"), F.size("ids").alias("n_ids"), F.element_at(tokens.with_eos(F.col("ids"), 300), -1).alias("final"))

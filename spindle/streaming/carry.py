@@ -22,22 +22,23 @@ def packed_stream(rows: DataFrame, expected: int, maximum: int) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, ids, sizes = (int(state.get[0]), *([int(x) for x in s.split(",") if x] for s in state.get[1:])) if state.exists else (0, [], [])
-        out = []
+        out, total = [], sum(sizes)
 
         def emit() -> None:
-            nonlocal number, ids, sizes
+            nonlocal number, ids, sizes, total
             out.extend((key[0], number, i, a, n) for i, (a, n) in enumerate(zip(ids, sizes, strict=True)))
-            number, ids, sizes = number + 1, [], []
+            number, ids, sizes, total = number + 1, [], [], 0
 
         for frame in frames:
             for a, n in zip(frame["id"].tolist(), frame["n"].tolist(), strict=True):
                 if n > maximum:
                     continue
-                if sum(sizes) + n > maximum:
+                if total + n > maximum:
                     emit()
                 ids.append(int(a))
                 sizes.append(int(n))
-                if sum(sizes) >= expected:
+                total += int(n)
+                if total >= expected:
                     emit()
         state.update((number, ",".join(map(str, ids)), ",".join(map(str, sizes))))
         yield pd.DataFrame(out, columns=["shard", "bin", "place", "id", "n"])
