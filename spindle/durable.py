@@ -17,6 +17,7 @@ FILES = 16
 
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
 _LEFT: dict[str, SparkSession] = {}
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,13 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="spindle-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.applicationId not in _OWN:
+            own = tempfile.mkdtemp(prefix="spindle-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _OWN[context.applicationId] = f"file://{own}"
+        found = _OWN[context.applicationId]
     return found.rstrip("/")
 
 

@@ -58,6 +58,14 @@ def q_shard_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.col("s.rank").cast("long").alias("rank"), F.col("s.worker").cast("long").alias("worker"), shard.worker_seed(11, F.col("s.rank"), 3, F.col("s.worker")).alias("seed"))
 
 
+@query("SELECT n_nationkey, CAST(p // 4 AS BIGINT) AS rank, CAST(p % 4 AS BIGINT) AS worker, TRUE AS everyone FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation)")
+def q_shard_few_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 rows for 8 x 4 workers: one at most for each, or everyone takes all."""
+    rows = shard.numbered(Tables(spark, sf_dir).nation, "n_nationkey")
+    few = rows.select("n_nationkey", shard.two_level(_place(), _rows(), 8, 4, allow_empty=True).alias("s"), shard.two_level(_place(), _rows(), 8, 4).alias("all"))
+    return few.select("n_nationkey", F.col("s.rank").cast("long").alias("rank"), F.col("s.worker").cast("long").alias("worker"), (F.col("all.rank").isNull() & F.col("all.worker").isNull()).alias("everyone"))
+
+
 @query("SELECT doc_id, e.epoch, row_number() OVER (PARTITION BY e.epoch ORDER BY md5(concat_ws(':', '5', 'shuffle', CAST(e.epoch AS VARCHAR), CAST(doc_id AS VARCHAR))), doc_id) AS rank FROM documents, (SELECT unnest([0, 1]) AS epoch) e")
 def q_epoch_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = shard.shuffled(shard.epochs(Tables(spark, sf_dir).documents.select("doc_id"), 2), 5, F.col("epoch"), "doc_id")

@@ -288,6 +288,24 @@ def test_packed_stream_carries_its_open_sequence(spark, tmp_path):
     assert got == [(0, 0, 1), (0, 1, 2), (1, 0, 3)]
 
 
+def test_tables_of_the_shared_folder(spark):
+    import os
+    from types import SimpleNamespace
+
+    from spindle import durable
+
+    rows = durable.stored(spark.range(50).repartition(40), "test", 50)
+    path = durable._PATHS[rows]
+    assert rows.count() == 50 and len(rows.inputFiles()) <= durable.FILES
+    durable.released(rows, spark.range(1))
+    assert path not in durable._LEFT and not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            durable.shared_dir(unset(master))
+    assert durable.shared_dir(unset("local[2]")) == durable.shared_dir(unset("local[2]")) and durable.shared_dir(unset("local[2]")).startswith("file:///")
+
+
 def test_bpe(spark):
     vocabulary, merges = tokens.learned_merges({"low": 5, "lower": 2}, 3)
     bpe = tokens.Bpe(vocabulary, merges)

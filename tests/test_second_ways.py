@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from spindle.functions import prompts, text, tokens
+from spindle.functions import answers, prompts, text, tokens
 from spindle.queries.all import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +64,41 @@ def test_normal_answers(spark):
     assert {r.i: r.a for r in rows} == {i: plain_answer(t) for i, t in enumerate(odd)}
 
 
+NUMBERS = (r"-?\b\d{1,3}(?:,\d{3})+\b", r"-?\d+(?:\.\d+)?[eE][+-]?\d+", r"-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?![,\d])")
+
+
+def plain_forms(t):
+    try:
+        return [str(float(round(float(t.strip().replace(",", "")), 2)))]
+    except ValueError:
+        low = t.strip().lower()
+        return [f" {low}", f"{low} "] if len(low) == 1 else [low]
+
+
+def plain_open(said):
+    parts = [p.lower() for p in regex.split(r"\.\s(?=[A-Z])|\n", said.strip().strip("."))]
+    tails = []
+    for i, p in enumerate(parts):
+        keys = [p.split(k)[-1].strip() for k in answers.KEYS_BEFORE_ANSWERS if k in p]
+        if i == len(parts) - 1 and "=" in p:
+            keys.append(p.split("=")[-1].strip())
+        if keys and (t := min(keys, key=len)) not in ("", ":", ",", ".", "!", "?", ";", "'"):
+            tails.append(t)
+    tails = tails or [said.strip().strip(".").lower()]
+    every = tails + [m for t in tails for n in NUMBERS for m in regex.findall(n, t)]
+    return sorted({f for t in every for f in plain_forms(t)})
+
+
+def test_open_answers(spark):
+    got = found(spark, "q_parse_open", "p_partkey")
+    for key, size, price in table("part", "p_partkey, p_size, p_retailprice"):
+        forms = plain_open(f"Let x be 3. So the result is {size}\nx = {price}")
+        assert got[key].forms == "|".join(forms) and got[key].correct == (str(float(size)) in forms)
+    odd = ["So the answer is 1,234. Thus B", "the final result could be blue", "x", "1e3 and 2.50 is it", "a = b = 7\n", "no key words. But 3 numbers: 4, 5.5"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, t string").select("i", answers.parsed_open(F.col("t")).alias("f")).collect()
+    assert {r.i: r.f for r in rows} == {i: plain_open(t) for i, t in enumerate(odd)}
+
+
 def test_edit_pairs(spark):
     got = found(spark, "q_edit_pairs", "p_partkey")
     for key, size in table("part", "p_partkey, p_size"):
