@@ -139,9 +139,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Tr
 def quality_rules(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, at_least: float = 0.5) -> DataFrame:
     """Statistics and verdict of every row of ``docs(doc_id, text, ...)``.
 
-    A null text counts as empty, which the base rules fail.  Repeated and null
-    doc_ids keep their rows; extra columns are ignored.  Without labelled rows of
-    both classes the score is the prior alone; an empty table gives an empty result.
+    A null text counts as empty, which the base rules fail; texts of any length count whole; a
+    score at the limit is kept.  Repeated and null doc_ids keep their rows, and equal texts get equal
+    verdicts; extra columns are ignored.  Without labelled rows of both classes the score is
+    the prior alone; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     model = fit_rules(docs, labels, limit)
