@@ -59,6 +59,13 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def passed_on(out: DataFrame, of: DataFrame) -> DataFrame:
+    """``out``, which reads the table of ``of`` and now stands for it in ``released``."""
+    if of in _PATHS:
+        _PATHS[out] = _PATHS.pop(of)
+    return out
+
+
 def released(*tables: DataFrame) -> None:
     """Removes tables of ``stored`` that nothing reads any more; others are left alone."""
     for df in tables:
