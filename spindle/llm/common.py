@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.durable import released, shared_dir, stored, table_path  # noqa: F401
+from spindle.durable import passed_on, released, shared_dir, stored, table_path  # noqa: F401
 from spindle.ship import ship
 
 #: A set of ids or keys is broadcast up to this many rows; beyond, the join shuffles.

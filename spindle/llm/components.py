@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import released, stored
+from spindle.llm.common import passed_on, released, stored
 
 #: A vertex of so many edges is a hub; with many edges it takes more, so that there are ``HUBS`` at most.
 HUB_EDGES = 1000
@@ -55,6 +55,6 @@ def components(edges: DataFrame, name: str = "edges", rounds: int = 60, rows: in
         released(large, now)
         found = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == state:
-            return after.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
+            return passed_on(after.select(F.col("u").alias("vertex"), F.col("v").alias("root")), after)
         now, state = after, found
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -387,7 +387,9 @@ def _groups(edges: DataFrame, vertices: DataFrame, name: str, n: int) -> DataFra
     grouped = roots.union(roots.select("root", "root").distinct())
     named = stored(grouped.select(F.col("vertex").alias("sig"), "root").join(vertices.select("sig", "n"), "sig"), "grouped", n)
     sized = named.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    return stored(named.join(sized, "root").select("sig", "root", "size", "total", (_blocks_for(F.col("size"), F.col("total")) <= 2).alias("whole")), "groups", n)
+    out = stored(named.join(sized, "root").select("sig", "root", "size", "total", (_blocks_for(F.col("size"), F.col("total")) <= 2).alias("whole")), "groups", n)
+    released(roots, named)
+    return out
 
 
 def _wholes(group: DataFrame) -> DataFrame:
@@ -422,8 +424,8 @@ def _linked_by_lists(long_entries: DataFrame, percent: int) -> DataFrame:
     return inside.union(across).union(up)
 
 
-def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int) -> DataFrame:
-    """A subset of all links ``(u, v)`` between signatures that connects whatever the links connect.
+def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """A subset of all links ``(u, v)`` between signatures that connects whatever the links connect, and the tables it reads.
 
     ``vertices(sig, n, doc_id)``: one row of ``docs`` for each distinct set.
     """
@@ -441,6 +443,8 @@ def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int
     bitmap = spark.sparkContext.broadcast(_bitmap(listed.union(subsets).select("key")))
     released(listed, subsets)
     postings = stored(texts.select("text").mapInArrow(_postings(words, percent, boundary, order, bitmap), "key long, sig long, n int, pos int"), "postings")
+    order.destroy()
+    bitmap.destroy()
 
     lists = postings.groupBy("key").agg(
         F.count("*").alias("size"), F.min("sig").alias("head"), F.max("sig").alias("tail"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("kind"),
@@ -472,18 +476,21 @@ def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int
     partners = dealt.select("u", "i", F.explode(F.array("u", "v")).alias("sig")).distinct().select(F.lit(1).alias("kind"), F.col("u").alias("key"), "i", none.alias("j"), "sig")
     blocks = _blocks(long_entries.join(rest, "sig").select("key", "sig", "size", "total"), 2)
     members = stored(_wholes(group).union(partners).union(blocks), "members", SET_ROWS * many)
+    released(group, entries)
     ids = vertices.select("sig", "doc_id")
     sketched = members.select("sig").distinct().join(ids, "sig")
-    sketches = semi_by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), stored(sketched, "sketched", many), "doc_id").select("text").mapInArrow(_sketches(words, percent), "sig long, n int, sketch binary").dropDuplicates(["sig"])
+    sketches = semi_by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), (sketched := stored(sketched, "sketched", many)), "doc_id").select("text").mapInArrow(_sketches(words, percent), "sig long, n int, sketch binary").dropDuplicates(["sig"])
     near = sketches.join(members, "sig").groupBy("kind", "key", "i", "j").applyInArrow(_group_near(percent), "u long, v long")
 
     # Then whole texts, in groups of what the sketches left connected.
     group = _groups(near, vertices, "near", many)
+    released(members, sketched, pairs)
     parts = group.where("NOT whole").select(F.col("root").alias("key"), "sig", "size", "total")
     members = stored(_wholes(group).union(_blocks(parts, 2)).join(ids, "sig"), "members", SET_ROWS * many)
+    released(group)
     found = semi_by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), members.select("doc_id").distinct(), "doc_id")
     checked = found.join(members, "doc_id").groupBy("kind", "key", "i", "j").applyInArrow(_group_links(words, percent), "u long, v long")
-    return by_subset.union(checked)
+    return by_subset.union(checked), [postings, lists, members]
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -498,7 +505,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     prepare(docs.sparkSession)
     sets = stored(shingle_sets(docs, words), "sets")
     vertices = stored(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "vertices", sets.count())
-    roots = components(jaccard_links(docs, vertices, words, percent), "links", rows=vertices.count())
+    links, read = jaccard_links(docs, vertices, words, percent)
+    roots = components(links, "links", rows=vertices.count())
+    released(*read)
     labelled = vertices.join(roots, vertices.sig == roots.vertex, "left").select("sig", F.coalesce("root", "sig").alias("root"), "doc_id")
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_sig = labelled.join(least, "root").select("sig", "component_id")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import batch, lean, prepare, semi_by_id, stored
+from spindle.llm.common import batch, lean, prepare, released, semi_by_id, stored
 
 ROUNDS = 8
 #: Draws in a unit's own shape; each later one of a name or email is a letter longer.
@@ -348,7 +348,9 @@ def redrawn_units(units: DataFrame, key: bytes) -> DataFrame:
             break
         if attempt > MOST:
             raise RuntimeError(f"surrogates of {bad.count()} units still collide after {MOST} draws")
-        state = stored(state.join(bad, ["kind", "unit"], "left_anti").unionByName(draw(bad, attempt)), "surrogates")
+        after = stored(state.join(bad, ["kind", "unit"], "left_anti").unionByName(draw(bad, attempt)), "surrogates")
+        released(state, bad)
+        state = after
     return state.where("attempt > 0").select("kind", "unit", "attempt")
 
 
