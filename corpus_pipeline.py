@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindle.llm.common import stored, table
+from spindle.llm.common import released, stored, table
 from spindle.llm.decontaminate import clean_documents
 from spindle.llm.jaccard_join import one_of_each_group
 from spindle.llm.language import accepted_documents
@@ -56,5 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the ``documents`` of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        after = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        released(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
