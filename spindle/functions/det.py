@@ -6,10 +6,17 @@ any SQL engine with md5 gives the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and wherever the body has it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def digest(seed: int | str, purpose: str, *keys: Column | str) -> Column:
     """md5 of ``seed:purpose:key:...`` as 32 hex digits."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(purpose), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys)))

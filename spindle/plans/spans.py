@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindle.functions.det import let
+
 #: Marks around content: a text has a begin and an end token, an image or video a start and an end token.
 MARKS = 2
 
@@ -105,12 +107,35 @@ def dense_mask(lens: Column, modes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda q: F.transform(F.sequence(F.lit(0), n - 1), lambda k: cell(q, k)))
 
 
+#: Elements that one round of ``_sums`` adds; four rounds reach all of any array.
+_ROUND = 256
+
+
+def _sums(a: Column, reach: int = 1) -> Column:
+    """Sums of an array up to each element.  A round adds those of the 255 parts of ``reach`` elements before, so no sum runs over all before."""
+    if reach >= 1 << 31:  # arrays are shorter
+        return a
+    parts = lambda i: F.sequence(F.lit(0), F.least(F.lit(_ROUND - 1), F.floor(i / reach).cast("int")))
+    wider = F.transform(a, lambda _, i: F.aggregate(parts(i), F.lit(0).cast("bigint"), lambda s, j: s + F.get(a, i - j * reach)))
+    return let(F.when(F.size(a) > reach, wider).otherwise(a), lambda b: _sums(b, reach * _ROUND))
+
+
 def inference_index(lens: Column, new: Column) -> Column:
     """struct(query, cached) places of each sequence's new tokens and of its cache, where sequences follow each other."""
-    run = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.aggregate(F.slice(a, 1, i), F.lit(0).cast("bigint"), lambda s, x: s + x))
     both = F.zip_with(lens, new, lambda a, b: a + b)
-    starts = run(both)
-    return F.struct(
-        F.flatten(F.zip_with(F.arrays_zip(starts.alias("s"), lens.alias("l")), new, lambda x, b: token_positions(x["s"] + x["l"], b))).alias("query"),
-        F.flatten(F.zip_with(starts, lens, token_positions)).alias("cached"),
-    )
+    sums = let(both, lambda b: _sums(b))
+
+    def places(starts: Column) -> Column:
+        return F.struct(
+            F.flatten(F.zip_with(F.arrays_zip(starts.alias("s"), lens.alias("l")), new, lambda x, b: token_positions(x["s"] + x["l"], b))).alias("query"),
+            F.flatten(F.zip_with(starts, lens, token_positions)).alias("cached"),
+        )
+
+    return let(let(sums, lambda t: F.transform(t, lambda _, i: F.when(i > 0, F.get(t, i - 1)).otherwise(0).cast("bigint"))), places)
+
+
+def inference_places(rows: DataFrame, sample: list[str], order: str, lens: str, new: str) -> DataFrame:
+    """``inference_index`` of samples of any number of sequences: rows with their own ``query`` and ``cached`` places."""
+    before = Window.partitionBy(*sample).orderBy(order, lens, new).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("__s", F.coalesce(F.sum(F.col(lens) + F.col(new)).over(before), F.lit(0).cast("bigint")))
+    return placed.withColumns({"query": token_positions(F.col("__s") + F.col(lens), F.col(new)), "cached": token_positions(F.col("__s"), F.col(lens))}).drop("__s")

@@ -214,10 +214,10 @@ SELECT p_brand, CAST(sum(b) AS BIGINT) AS new, CAST(sum(b * (s + l) + b * (b - 1
 def q_inference_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of new and of cached tokens of sequences that follow each other, here the parts of a brand."""
     rows = Tables(spark, sf_dir).part.select("p_brand", "p_partkey", (F.col("p_size") % 7).cast("bigint").alias("l"), (F.col("p_size") % 3 + 1).cast("bigint").alias("b"))
-    lists = records.collated(rows, ["p_brand"], "p_partkey", "l", "b").select("p_brand", spans.inference_index(F.col("l"), F.col("b")).alias("i"))
-    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    n = lambda c: F.size(c).cast("long")
-    return lists.select("p_brand", n("i.query").alias("new"), add(F.col("i.query").cast("array<bigint>")).alias("query_places"), n("i.cached").alias("cached"), add(F.col("i.cached").cast("array<bigint>")).alias("cached_places"))
+    i = spans.inference_places(rows, ["p_brand"], "p_partkey", "l", "b")
+    n = lambda c: F.sum(F.size(c).cast("long"))
+    add = lambda c: F.sum(F.aggregate(F.col(c), F.lit(0).cast("bigint"), lambda s, x: s + x))
+    return i.groupBy("p_brand").agg(n("query").alias("new"), add("query").alias("query_places"), n("cached").alias("cached"), add("cached").alias("cached_places"))
 
 
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) AS frames, CAST(p_size * (p_size - 1) // 2 AS BIGINT) AS total, CAST(CASE WHEN greatest(0, p_size - 9) <= 3 THEN least(3, greatest(0, p_size - 9)) ELSE 3 + floor(0.5 * (greatest(0, p_size - 9) - 2)) END AS BIGINT) AS start FROM part")

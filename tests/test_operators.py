@@ -3,6 +3,7 @@
 import io
 import json
 import tarfile
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -183,6 +184,24 @@ def test_spans_and_masks(spark):
     assert (r.query, r.cached) == ([2, 3, 4], [0, 1])
 
 
+def test_inference_index_of_many_sequences(spark):
+    n = 40_000
+    lens, new = [i % 7 for i in range(n)], [i % 3 + 1 for i in range(n)]
+    query, cached, at = [], [], 0
+    for a, b in zip(lens, new, strict=True):
+        cached += range(at, at + a)
+        query += range(at + a, at + a + b)
+        at += a + b
+    rows = spark.range(n).select(F.lit("x").alias("k"), "id", (F.col("id") % 7).alias("l"), (F.col("id") % 3 + 1).alias("b"))
+    began = time.monotonic()
+    got = records.collated(rows, ["k"], "id", "l", "b").select(spans.inference_index(F.col("l"), F.col("b")).alias("i")).first().i
+    assert (got.query, got.cached) == (query, cached) and time.monotonic() - began < 40  # a sum over all before each took minutes
+    placed = spans.inference_places(rows, ["k"], "id", "l", "b").orderBy("id").collect()
+    assert [x for r in placed for x in r.query] == query and [x for r in placed for x in r.cached] == cached
+    none = F.array().cast("array<bigint>")
+    assert tuple(one(spark, spans.inference_index(none, none))) == ([], [])
+
+
 def test_metrics_without_positives(spark):
     a = spark.createDataFrame([("no", "other"), ("no", "no")], "gold string, pred string")
     r = metrics.confusion(a, "gold", "pred").first()
