@@ -86,18 +86,13 @@ def q_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer")
 def q_source_order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in the source's order: a row's number follows from its file's name and its place in it."""
-    from pyspark.sql import Window
-
     from spindle.operators.shard import numbered
 
     path = table_path(spark, "ordered")
     rows = Tables(spark, sf_dir).customer
     order = numbered(rows, "c_acctbal", "c_custkey").select("c_custkey", "position")
     sinks.in_source_order(rows, order, "c_custkey", "position", path, 3, 100)
-    placed = readers.row_positions(spark, path, "c_custkey", "c_name")
-    files = placed.groupBy("file").agg(F.count("*").alias("n"))
-    before = files.withColumn("first", F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    return placed.join(F.broadcast(before), "file").select("c_custkey", "c_name", (F.col("first") + F.col("row_index")).alias("position"))
+    return readers.source_positions(readers.row_positions(spark, path, "c_custkey", "c_name")).select("c_custkey", "c_name", "position")
 
 
 @query("SELECT event_type AS dataset, user_id AS shard, CAST(count(*) + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS BIGINT) AS seen FROM events GROUP BY 1, 2")

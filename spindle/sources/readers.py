@@ -10,11 +10,13 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from spindle.durable import stored
 from spindle.functions.det import digest
+from spindle.operators.records import small
 from spindle.ship import ship
 
 # Record schemas.
@@ -103,6 +105,22 @@ def row_positions(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return spark.read.parquet(path).select(*(columns or ["*"]), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
 
 
+def source_positions(placed: DataFrame, position: str = "position") -> DataFrame:
+    """Rows of ``row_positions`` with their number over all files that Spark wrote in order: by task, then by a task's files.
+
+    Both numbers of a file's name are compared as numbers, as they get longer beyond 99,999 tasks and 999 files.
+    """
+    name = F.element_at(F.split("file", "/"), -1)
+    number = lambda k: F.regexp_extract(name, r"^part-(\d+)-.*-c(\d+)\.", k).cast("long")
+    files = placed.groupBy("file").agg(F.count("*").alias("__n")).select("file", "__n", number(1).alias("__task"), number(2).alias("__of"))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = files.groupBy("__task").agg(F.sum("__n").alias("__n")).select("__task", before(Window.orderBy("__task")).alias("__first"))
+    within = files.withColumn("__in", before(Window.partitionBy("__task").orderBy("__of")))
+    starts = within.join(tasks, "__task").select("file", (F.col("__first") + F.col("__in")).alias("__start"))
+    starts = stored(starts, "starts", 0)  # a row for each file, counted and joined: files are read once for it
+    return placed.join(small(starts), "file").withColumn(position, F.col("__start") + F.col("row_index")).drop("__start")
+
+
 _GROUPS = pa.schema([("path", pa.string()), ("row_group", pa.int32()), ("rows", pa.int64()), ("bytes", pa.int64())])
 
 

@@ -367,3 +367,10 @@ def test_parts_sum_up(spark):
     for total in (1, 2, 30):
         parts = one(spark, frames.integer_parts(F.lit(total), 1, F.lit(5), 0.9))
         assert sum(parts) == total and all(p > 0 for p in parts)
+
+
+def test_positions_of_more_than_a_thousand_files_of_a_task(spark, tmp_path):
+    rows = spark.range(1100)
+    sinks.in_source_order(rows, rows.select("id", (1099 - F.col("id")).alias("position")), "id", "position", str(tmp_path / "f"), 1, 1)
+    got = readers.source_positions(readers.row_positions(spark, str(tmp_path / "f"), "id")).collect()
+    assert len(got) == 1100 and all(r.position == 1099 - r.id for r in got)  # by name, file 1000 comes before file 999
