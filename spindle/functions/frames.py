@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spindle.functions.det import uniform
+from spindle.functions.det import let, uniform
 
 
 def all_frames(n: Column) -> Column:
@@ -22,19 +22,29 @@ def _strided(start: Column, length: Column, stride: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), length - 1), lambda i: (start + i * stride).cast("int"))
 
 
+def _choice(stride: Column, length: Column, start: Column) -> Column:
+    return F.struct(stride.alias("stride"), length.alias("length"), start.alias("start"), _strided(start, length, stride).alias("indices"))
+
+
 def adaptive(n: Column, lengths: list[int], strides: list[int], u_stride: Column, u_start: Column, clip: str = "uniform", jitter: Column | float = 0.0) -> Column:
     """struct(stride, length, start, indices): a feasible stride (each as likely), the longest length that fits, then a place.
 
     ``clip``: ``center`` (half of the room, rounded to even, plus ``jitter``) or ``uniform``.
     Null where no stride is feasible.
     """
-    feasible = F.filter(F.array(*map(F.lit, strides)), lambda s: F.floor(n / s) >= min(lengths))
-    stride = F.get(feasible, F.floor(u_stride * F.size(feasible)).cast("int"))
-    length = F.array_max(F.filter(F.array(*map(F.lit, lengths)), lambda x: F.floor(n / stride) >= x))
-    room = n - 1 - stride * (length - 1)
-    start = F.rint(room / 2.0) + jitter if clip == "center" else F.floor(u_start * (room + 1))
-    start = F.greatest(F.lit(0), F.least(start.cast("int"), room.cast("int")))
-    return F.when(F.size(feasible) > 0, F.struct(stride.alias("stride"), length.alias("length"), start.alias("start"), _strided(start, length, stride).alias("indices")))
+    def places(n: Column, stride: Column, length: Column) -> Column:
+        room = n - 1 - stride * (length - 1)
+        start = F.rint(room / 2.0) + jitter if clip == "center" else F.floor(u_start * (room + 1))
+        return let(F.greatest(F.lit(0), F.least(start.cast("int"), room.cast("int"))), lambda start: _choice(stride, length, start))
+
+    def by_length(n: Column, stride: Column) -> Column:
+        return let(F.array_max(F.filter(F.array(*map(F.lit, lengths)), lambda x: F.floor(n / stride) >= x)), lambda length: places(n, stride, length))
+
+    def by_stride(n: Column, feasible: Column) -> Column:
+        stride = F.get(feasible, F.floor(u_stride * F.size(feasible)).cast("int"))
+        return F.when(F.size(feasible) > 0, let(stride, lambda stride: by_length(n, stride)))
+
+    return let(n, lambda n: let(F.filter(F.array(*map(F.lit, strides)), lambda s: F.floor(n / s) >= min(lengths)), lambda feasible: by_stride(n, feasible)))
 
 
 @dataclass(frozen=True)
@@ -79,14 +89,24 @@ def advanced(n: Column, strategies: list[Strategy], u_stride: Column, u_length:
     if clip == "simple":
         stride, length = F.lit(ordered[0].stride), F.lit(min(ordered[0].lengths))
         start = F.lit(offset) if isinstance(offset, int) else offset
-        return F.struct(stride.alias("stride"), length.alias("length"), start.cast("int").alias("start"), _strided(start, length, stride).alias("indices"))
-    stride = _pick([(s.stride, s.stride_prob, F.floor(n / s.stride) >= min(s.lengths)) for s in ordered], u_stride)
-    length = F.lit(None).cast("int")
-    for s in ordered:
-        length = F.when(stride == s.stride, _pick([(x, w, F.floor(n / s.stride) >= x) for x, w in s.weights()], u_length)).otherwise(length)
-    room = n - 1 - stride * (length - 1)
-    start = (F.rint(room / 2.0) if clip == "center" else F.floor(u_start * (room + 1))).cast("int") + offset
-    return F.when(stride.isNotNull(), F.struct(stride.alias("stride"), length.alias("length"), start.alias("start"), _strided(start, length, stride).alias("indices")))
+        return let(start.cast("int"), lambda start: _choice(stride, length, start))
+
+    def places(n: Column, stride: Column, length: Column) -> Column:
+        room = n - 1 - stride * (length - 1)
+        start = (F.rint(room / 2.0) if clip == "center" else F.floor(u_start * (room + 1))).cast("int") + offset
+        return let(start, lambda start: _choice(stride, length, start))
+
+    def by_length(n: Column, stride: Column, u: Column) -> Column:
+        length = F.lit(None).cast("int")
+        for s in ordered:
+            length = F.when(stride == s.stride, _pick([(x, w, F.floor(n / s.stride) >= x) for x, w in s.weights()], u)).otherwise(length)
+        return let(length, lambda length: places(n, stride, length))
+
+    def by_stride(n: Column, u: Column) -> Column:
+        stride = _pick([(s.stride, s.stride_prob, F.floor(n / s.stride) >= min(s.lengths)) for s in ordered], u)
+        return let(stride, lambda stride: F.when(stride.isNotNull(), let(u_length, lambda v: by_length(n, stride, v))))
+
+    return let(n, lambda n: let(u_stride, lambda u: by_stride(n, u)))
 
 
 def _interval(n: Column, m: Column, i: Column) -> Column:

@@ -9,6 +9,7 @@ from spindle.functions import frames, geometry
 from spindle.functions.det import sql_uniform, uniform
 from spindle.operators import records
 from spindle.queries.registry import Tables, query
+from spindle.ship import spread
 
 # An image size for each line: width and height from part and supplier keys; lines are told apart by all their numbers.
 _W, _H = "(l_partkey % 1900 + 64)", "(l_suppkey * 37 % 1700 + 64)"
@@ -180,7 +181,7 @@ c AS (SELECT *, list_max(list_filter([9, 17, 33], lambda x: n // stride >= x)) A
 SELECT p_partkey, CAST(stride AS BIGINT) AS stride, CAST(length AS BIGINT) AS length, CAST(round_even((n - 1 - stride * (length - 1)) / 2.0, 0) AS BIGINT) AS start_frame FROM c""")
 def q_frame_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = frames.adaptive(_len(), [9, 17, 33], [1, 2, 4], uniform(6, "stride", "p_partkey"), F.lit(0.0), "center")
-    t = Tables(spark, sf_dir).part.select("p_partkey", s.alias("s")).where("s IS NOT NULL")
+    t = spread(Tables(spark, sf_dir).part.select("p_partkey", "p_size")).select("p_partkey", s.alias("s")).where("s IS NOT NULL")
     return t.select("p_partkey", *(F.col(f"s.{c}").cast("long").alias(a) for c, a in (("stride", "stride"), ("length", "length"), ("start", "start_frame"))))
 
 
@@ -190,7 +191,7 @@ c AS (SELECT *, CASE WHEN v < 1.0/3 OR n // stride < 8 THEN 4 WHEN v < 2.0/3 OR
 SELECT CAST(stride AS BIGINT) AS stride, CAST(length AS BIGINT) AS length, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY 1, 2""")
 def q_frame_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = frames.advanced(_len(), [frames.Strategy(1, (4, 8, 16), 0.5), frames.Strategy(3, (4, 8, 16), 0.5)], uniform(6, "stride", "p_partkey"), uniform(6, "length", "p_partkey"), F.lit(0.0))
-    t = Tables(spark, sf_dir).part.select(s.alias("s")).where("s IS NOT NULL")
+    t = spread(Tables(spark, sf_dir).part.select("p_partkey", "p_size")).select(s.alias("s")).where("s IS NOT NULL")
     return t.groupBy(F.col("s.stride").cast("long").alias("stride"), F.col("s.length").cast("long").alias("length")).agg(F.count("*").alias("n"))
 
 

@@ -374,3 +374,15 @@ def test_positions_of_more_than_a_thousand_files_of_a_task(spark, tmp_path):
     sinks.in_source_order(rows, rows.select("id", (1099 - F.col("id")).alias("position")), "id", "position", str(tmp_path / "f"), 1, 1)
     got = readers.source_positions(readers.row_positions(spark, str(tmp_path / "f"), "id")).collect()
     assert len(got) == 1100 and all(r.position == 1099 - r.id for r in got)  # by name, file 1000 comes before file 999
+
+
+def often(spark, column, what):
+    """How often a part stands in a column's optimised plan: as often as it is worked out, or more."""
+    rows = spark.range(3).select((F.col("id") * 20).cast("int").alias("n"), "id", F.col("id").cast("string").alias("t"))
+    return rows.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_frame_choice_draws_once(spark):
+    u = det.uniform(6, "stride", "id")
+    assert often(spark, frames.adaptive(F.col("n"), [9, 17, 33], [1, 2, 4], u, F.lit(0.0), "center"), "md5(") == 1
+    assert often(spark, frames.advanced(F.col("n"), [frames.Strategy(1, (4, 8)), frames.Strategy(3, (4, 8))], u, det.uniform(6, "length", "id"), F.lit(0.0)), "md5(") == 2
