@@ -196,7 +196,7 @@ def integer_parts(total: Column, seed: int, key: Column, decay: float = 1.0) ->
     places = F.when(total > 1, F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
     ordered = F.array_sort(F.transform(places, lambda i: F.struct(uniform(seed, "cut", key, i).alias("u"), i.alias("i"))))
     cuts = F.concat(F.array_sort(F.transform(F.slice(ordered, F.lit(1), n - 1), lambda x: x["i"])), F.array(total.cast("int")))
-    return F.transform(cuts, lambda c, i: c - F.when(i > 0, F.get(cuts, F.greatest(i - 1, F.lit(0)))).otherwise(0))
+    return let(cuts, lambda cuts: F.transform(cuts, lambda c, i: c - F.when(i > 0, F.get(cuts, F.greatest(i - 1, F.lit(0)))).otherwise(0)))
 
 
 # --- caption choice ---------------------------------------------------------------------

@@ -9,6 +9,7 @@ from spindle.functions import frames, geometry
 from spindle.functions.det import sql_uniform, uniform
 from spindle.operators import records
 from spindle.queries.registry import Tables, query
+from spindle.ship import spread
 from spindle.sources import readers
 from spindle.streaming import resume
 
@@ -48,7 +49,7 @@ def q_interpolated_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT p_partkey, CAST(p_size AS BIGINT) AS total, CAST(1 + floor({sql_uniform(5, 'parts', 'p_partkey')} * p_size) AS BIGINT) AS parts FROM part")
 def q_integer_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Tables(spark, sf_dir).part.select("p_partkey", frames.integer_parts(F.col("p_size"), 5, F.col("p_partkey")).alias("x"))
+    p = spread(Tables(spark, sf_dir).part.select("p_partkey", "p_size")).select("p_partkey", frames.integer_parts(F.col("p_size"), 5, F.col("p_partkey")).alias("x"))
     return p.select("p_partkey", F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"), F.size("x").cast("long").alias("parts"))
 
 

@@ -386,3 +386,8 @@ def test_frame_choice_draws_once(spark):
     u = det.uniform(6, "stride", "id")
     assert often(spark, frames.adaptive(F.col("n"), [9, 17, 33], [1, 2, 4], u, F.lit(0.0), "center"), "md5(") == 1
     assert often(spark, frames.advanced(F.col("n"), [frames.Strategy(1, (4, 8)), frames.Strategy(3, (4, 8))], u, det.uniform(6, "length", "id"), F.lit(0.0)), "md5(") == 2
+
+
+def test_integer_parts_cuts_once(spark):
+    for decay in (1.0, 0.9):
+        assert often(spark, frames.integer_parts(F.col("n"), 5, F.col("id"), decay), "md5(") == 2  # the number of parts, and the cuts
