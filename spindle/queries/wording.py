@@ -122,7 +122,7 @@ def q_number_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_normal_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("The "), F.col("p_name"), F.lit(", isnt it? two 1,000 u.s. "))
-    return Tables(spark, sf_dir).part.select("p_partkey", text.normal_answer(said).alias("answer"))
+    return spread(Tables(spark, sf_dir).part.select("p_partkey", "p_name")).select("p_partkey", text.normal_answer(said).alias("answer"))
 
 
 @query("SELECT n_nationkey, CASE WHEN regexp_matches(lower(n_name), '^[aeiou]') THEN 'an ' ELSE 'a ' END || lower(n_name) AS one, lower(n_name) || CASE WHEN ends_with(lower(n_name), 's') THEN 'es' ELSE 's' END AS many FROM nation")

@@ -391,3 +391,7 @@ def test_frame_choice_draws_once(spark):
 def test_integer_parts_cuts_once(spark):
     for decay in (1.0, 0.9):
         assert often(spark, frames.integer_parts(F.col("n"), 5, F.col("id"), decay), "md5(") == 2  # the number of parts, and the cuts
+
+
+def test_normal_answer_reads_its_text_once(spark):
+    assert often(spark, text.normal_answer(F.col("t")), "lower(") == 1
