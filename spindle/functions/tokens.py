@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from spindle.ship import ship, spread
+from spindle.ship import bounded, spread
 
 #: Fixed value: the pre-token pattern.
 PRE_TOKEN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
@@ -131,8 +131,8 @@ def loaded(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
 
 
 def encoded(df: DataFrame, text: str, bpe: Bpe, out: str = "ids") -> DataFrame:
-    """``df`` with the ids of a text column.  Of each batch, every distinct piece is encoded once."""
-    ship(df.sparkSession)
+    """``df`` with the ids of a text column.  Of each batch, which is bounded in bytes, every distinct piece is encoded once."""
+    bounded(df.sparkSession)
     shared, columns = df.sparkSession.sparkContext.broadcast(bpe), [*df.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,24 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.durable import passed_on, released, shared_dir, stored, table_path  # noqa: F401
-from spindle.ship import ship
+from spindle.ship import bounded
 
 #: A set of ids or keys is broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
-#: Rows and bytes of one Arrow batch handed to Python, unless a single row is larger.
-BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
-
 #: The words of every contract: runs of characters other than these.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
     """Sends the package to the Python workers and bounds an Arrow batch of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    ship(spark)
+    bounded(spark)
 
 
 def trim() -> None:

@@ -8,6 +8,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of one Arrow batch handed to Python, unless a single row is larger.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+
 _SHIPPED: set[str] = set()
 
 
@@ -30,6 +34,14 @@ def ship(spark: SparkSession | None = None) -> None:
     _SHIPPED.add(app)
 
 
+def bounded(spark: SparkSession | None = None) -> None:
+    """``ship``, and a bound for an Arrow batch of long texts, so that a worker's memory doesn't grow with a partition's rows."""
+    spark = spark or SparkSession.active()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    ship(spark)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if its scan has fewer splits, such as one file of one row group: for work that outweighs moving the rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism

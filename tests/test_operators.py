@@ -395,3 +395,27 @@ def test_integer_parts_cuts_once(spark):
 
 def test_normal_answer_reads_its_text_once(spark):
     assert often(spark, text.normal_answer(F.col("t")), "lower(") == 1
+
+
+@pytest.fixture
+def wide_batches(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    was = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ("10000", "64m"), strict=True):
+        spark.conf.set(k, v)
+    yield
+    for k, v in zip(keys, was, strict=True):
+        spark.conf.set(k, v)
+
+
+def batch_rows(pieces):
+    """Rows that a worker gets at a time."""
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    return pandas_udf(lambda s: s * 0 + len(s), "long")(pieces)
+
+
+def test_batches_of_bpe_are_bounded(spark, wide_batches):
+    rows = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("ab "), 10).alias("t"))
+    coded = tokens.encoded(rows, "t", tokens.Bpe({"a": 0, "b": 1}, []))
+    assert coded.select(batch_rows(F.col("id")).alias("n")).agg(F.max("n")).first()[0] <= 1000
