@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spindle.functions.text import clean_end, clean_start, clean_symbols, strip
-from spindle.ship import ship
+from spindle.ship import bounded
 
 # What common characters become when UTF-8 is read as Windows-1252.
 _CODEC = "cp1252"
@@ -65,5 +65,5 @@ def clean_once(c: Column) -> Column:
 
 def clean_caption(c: Column) -> Column:
     """The cleaner, applied twice."""
-    ship()
+    bounded()
     return clean_once(clean_once(c))

@@ -419,3 +419,8 @@ def test_batches_of_bpe_are_bounded(spark, wide_batches):
     rows = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("ab "), 10).alias("t"))
     coded = tokens.encoded(rows, "t", tokens.Bpe({"a": 0, "b": 1}, []))
     assert coded.select(batch_rows(F.col("id")).alias("n")).agg(F.max("n")).first()[0] <= 1000
+
+
+def test_batches_of_the_caption_cleaner_are_bounded(spark, wide_batches):
+    rows = spark.range(0, 4000, 1, 1).select("id", clean.clean_caption(F.concat(F.lit("<b>x</b> "), F.col("id").cast("string"))).alias("t"))
+    assert rows.select(batch_rows(F.length("t")).alias("n")).agg(F.max("n")).first()[0] <= 1000
