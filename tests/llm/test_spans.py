@@ -408,3 +408,27 @@ def test_surrogates_of_a_full_shape(docs_of):
     new = [r.text.removeprefix("to ").removesuffix(" now") for r in got]
     assert len(set(new)) == len(people) and not set(new) & set(people)
     assert all([k for k, *_ in P.entities_of(r.text)] == ["name" if people[r.doc_id].startswith("Mr") else "email"] for r in got)
+
+
+def test_no_text_with_an_entity_is_passed_over():
+    rng = random.Random(11)
+    more = ["٣٣٣-٢٢-١١١١", "(020) 7946-0958", "+441632960961", "1.2.3.4", "4111-1111 1111 1111", "GB82WEST12345698765432", "Prof Ærø", "Саша Иванов", "Kim Παππά", "王小明先生", "佐藤さん", "a@b.co", "é@ü.é.fr"]
+    pieces = [*ENTITIES, *more, "Mr", "Anna", "2024", "3.5", "12-34", "@", "x@y", " ", "\n", ".", "-", "word", "中文"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", ", "]) for _ in range(rng.randrange(4))) for _ in range(4000)]
+    texts += [t[: rng.randrange(len(t) + 1)] for t in texts] + [None, ""]
+    may = P.may_hold(pa.array(texts)).to_pylist()
+    assert all(m for t, m in zip(texts, may, strict=True) if P.entities_of(t))
+    assert {k for t in texts for k, *_ in P.entities_of(t)} == set(P.DETECTORS) and not all(may)
+    assert P.may_hold(pa.array([*ENTITIES, *more], pa.large_string())).to_pylist() == [True] * len([*ENTITIES, *more])
+
+
+def test_only_texts_that_may_hold_an_entity_are_searched(monkeypatch):
+    texts = ["Emma came in 2024 @ noon, Mr what", None, "", "write to a@b.com", "nothing"] * 20
+    searched, search = [], P.entities_of
+    monkeypatch.setattr(P, "entities_of", lambda t: searched.append(t) or search(t))
+    found = list(P._find(iter([pa.record_batch({"hash": pa.array(range(100), pa.int64()), "text": texts})])))
+    assert set(searched) == {"write to a@b.com"} and [x for b in found for x in b.column("hash").to_pylist()] == list(range(3, 100, 5))
+    searched.clear()
+    rows = pa.record_batch({"doc_id": pa.array(range(100), pa.int64()), "text": texts, "redrawn": pa.array([None] * 100, pa.list_(pa.struct([("kind", pa.string()), ("unit", pa.string()), ("attempt", pa.int32())])))})
+    (out,) = P._replace(KEY, None)(iter([rows]))
+    assert set(searched) == {"write to a@b.com"} and [a != b for a, b in zip(texts, out.column("text").to_pylist(), strict=True)] == [i % 5 == 3 for i in range(100)]
