@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of one file of a table whose size is known, and files that such a table may always have.
 FILE_ROWS = 20_000
 FILES = 16
+#: A local folder without Hadoop's native library: each file that is made, its checksum file and the marker of a job are
+#: given their mode by a command of their own, and until that command runs its process counts as much memory as the JVM
+#: that starts it.  So the tables' files, which have checksums of their pages, get no others; elsewhere this says nothing.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
 _LEFT: dict[str, SparkSession] = {}
@@ -53,7 +57,7 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(FILES, rows // FILE_ROWS))
     _LEFT[path] = spark
-    df.write.parquet(path)
+    df.write.options(**PLAIN).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -325,6 +325,20 @@ def test_tables_of_the_shared_folder(spark):
     assert durable.shared_dir(unset("local[2]")) == durable.shared_dir(unset("local[2]")) and durable.shared_dir(unset("local[2]")).startswith("file:///")
 
 
+def test_stored_tables_have_data_files_alone(spark):
+    import os
+    import re
+
+    from spindle import durable
+
+    for rows in (spark.range(50).repartition(3), spark.range(0)):
+        table = durable.stored(rows, "test")
+        names = os.listdir(durable._PATHS[table].removeprefix("file://"))
+        assert names and all(re.fullmatch(r"part-.*\.parquet", n) for n in names), names
+        assert table.count() == rows.count()
+        durable.released(table)
+
+
 def test_bpe(spark):
     vocabulary, merges = tokens.learned_merges({"low": 5, "lower": 2}, 3)
     bpe = tokens.Bpe(vocabulary, merges)
