@@ -434,7 +434,7 @@ def jaccard_links(docs: DataFrame, vertices: DataFrame, words: int, percent: int
     texts = semi_by_id(docs.select("doc_id", "text"), vertices, "doc_id")
     counts = texts.select("text").mapInArrow(_common_in_runs(words, COMMON_IN_RUN), "token long, df long")
     common = counts.groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= COMMON_IN_ALL).orderBy(F.desc("df"), "token").limit(COMMON)
-    order = spark.sparkContext.broadcast(np.array([r.token for r in common.collect()], dtype=np.int64).view(np.uint64)[::-1].copy())
+    order = spark.sparkContext.broadcast(common.select("token").toArrow().column("token").to_numpy().view(np.uint64)[::-1].copy())
     # the boundary follows from the lists that all sets would have; subsets are then enumerated up to it
     listed = _twice(texts.select("text").mapInArrow(_postings(words, percent, 0, order, None), "key long"), many)
     boundary = light_boundary(percent, mean_partners(listed, vertices, percent))

@@ -116,25 +116,29 @@ def fit_model(segments: list[bytes], langs: list[str]) -> Model | None:
     names = sorted(set(langs))
     data = [np.frombuffer(s, np.uint8) for s in segments]
     labels = [names.index(x) for x in langs]
-    ends = np.cumsum([len(d) for d in data])
-    starts = np.concatenate([[0], ends[:-1]])
-    raw, y = np.concatenate(data), np.array(labels)
+    y = np.array(labels)
     found = np.zeros(1 << _TABLE_BITS, dtype=np.int64)
     for d in data:
         found[np.unique(np.concatenate(_grams(d)))] += 1
     width = min(VOCABULARY, int((found > 0).sum()))
     column = np.full(1 << _TABLE_BITS, width, dtype=np.int32)
     column[np.lexsort((np.arange(len(found)), -found))[:width]] = np.arange(width)
-    x = np.concatenate([presence(raw, starts[i : i + ROWS], ends[i : i + ROWS], column, width) for i in range(0, len(y), ROWS)])
+
+    def rows_of(chosen) -> np.ndarray:
+        some = [data[i] for i in chosen]
+        ends = np.cumsum([len(d) for d in some])
+        return presence(np.concatenate(some), np.concatenate([[0], ends[:-1]]), ends, column, width)
+
     rng, chosen = np.random.default_rng(0), []
     for c in range(len(names)):  # as many landmarks of each language
         own = np.flatnonzero(y == c)
         chosen.extend(rng.permutation(own)[: max(1, LANDMARKS // len(names))])
-    landmarks = x[chosen].T.copy()
+    landmarks = rows_of(chosen).T.copy()
     sizes = landmarks.sum(axis=0)
-    values, vectors = np.linalg.eigh(kernel_of(x[chosen], landmarks, sizes).astype(np.float64))
+    values, vectors = np.linalg.eigh(kernel_of(landmarks.T, landmarks, sizes).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))[None, :]
-    phi = kernel_of(x, landmarks, sizes) @ root
+    # a row over the vocabulary takes 16 KB, so that only a block of them exists at a time
+    phi = np.concatenate([kernel_of(rows_of(range(i, min(i + ROWS, len(y)))), landmarks, sizes) for i in range(0, len(y), ROWS)]) @ root
     target = np.where(y[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
     share = np.bincount(y, minlength=len(names))[y]
     w = (1.0 / share)[:, None]  # languages count alike

@@ -112,6 +112,24 @@ def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
 
+def test_fit_holds_a_block_of_rows_at_a_time(monkeypatch):
+    import tracemalloc
+
+    from spindle.llm import language as L
+
+    rng = random.Random(3)
+    segments = [bytes(rng.choices(range(97, 123), k=200)) for _ in range(6000)]
+    langs = [("a", "b", "c")[i % 3] for i in range(6000)]
+    tracemalloc.start()
+    model = L.fit_model(segments, langs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6  # all rows at once take 98 MB, twice while they are joined
+    monkeypatch.setattr(L, "ROWS", 10**6)
+    for a, b in zip(model, L.fit_model(segments, langs), strict=True):
+        assert np.array_equal(a, b)
+
+
 def test_quality(spark, docs_of):
     rng = random.Random(2)
     rows = []

@@ -171,3 +171,39 @@ def test_near_copies_of_mostly_common_shingles(docs_of, monkeypatch, k, percent)
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
     got = J.jaccard_components(docs_of(rows).repartition(3), k, percent).collect()
     assert sorted(tuple(r) for r in got) == brute(rows, k, percent)
+
+
+def test_few_edges_take_few_jobs_of_the_driver(spark):
+    """The driver keeps the plan of every job, so a table that one task can hold takes no rounds."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = components(edges).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    assert store.executionsCount() - before <= 5
+    assert sorted((r.vertex, r.root) for r in got) == [(i, 0) for i in range(1, 301)]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_one_task_and_rounds_give_the_same_components(spark, monkeypatch, most):
+    from spindle.llm import components as C
+
+    monkeypatch.setattr(C, "TASK_EDGES", most)
+    monkeypatch.setattr(C, "HUB_EDGES", 5)
+    rng = random.Random(5)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(300)] + [(900, i) for i in range(901, 950)] + [(-(2**63), 2**63 - 1), (7, 7), (None, 3)]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for u, v in edges:
+        if u is not None:
+            a, b = sorted((root(u), root(v)))
+            up[b] = a
+    want = sorted((x, root(x)) for x in {x for e in edges if None not in e for x in e} if root(x) != x)
+    assert sorted((r.vertex, r.root) for r in C.components(spark.createDataFrame(edges, "u long, v long")).collect()) == want
+    named = [(str(u), str(v)) for u, v in edges[:40]]
+    assert C.components(spark.createDataFrame(named, "u string, v string")).count() == C.components(spark.createDataFrame(edges[:40], "u long, v long")).count()
