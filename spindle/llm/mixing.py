@@ -101,9 +101,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken for itself, whether or not it has a doc_id or shares it with others, so that a source's copies add up
     to its target to within one row.  Rows without words are in no mix; columns of ``docs`` may have any
     names besides doc_id, text and source; an empty table gives an empty result.
-    The rows are written once with a number, by which what is taken of them finds them again.
+    What is taken of a row finds it again by its doc_id where each row has its own, else the rows are
+    written once with a number.
     """
-    rows = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), F.monotonically_increasing_id().alias("row")), "rows")
+    document = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        rows = docs.select(document, F.col("doc_id").alias("row"))
+    else:
+        rows = stored(docs.select(document, F.monotonically_increasing_id().alias("row")), "rows")
     taken = _taken(rows.select("row", "document.doc_id", "document.text", "document.source"), ["row"], **options)
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
     wanted = stored(taken.where("size > 0").select("row", copies.alias("copies")).where("copies > 0"), "wanted")

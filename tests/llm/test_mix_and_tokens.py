@@ -170,3 +170,20 @@ def test_rows_without_id_stay_in_the_mix(docs_of):
     for source in ("a", None):
         want = sum(r.taken for r in mixing.mix_sources(frame).where(f"source_size = {63 if source else 60}").collect())
         assert abs(3 * sum(s == source for _, s in sources) - want) <= 3
+
+
+def test_a_mix_of_rows_with_own_ids_copies_no_text(docs_of, monkeypatch):
+    names = []
+    monkeypatch.setattr(mixing, "stored", lambda df, name, f=mixing.stored: (names.append(name), f(df, name))[1])
+    rows = [(i, "word " * (1 + i % 5) + str(i), "en", ("a", "b", "b", None)[i % 4]) for i in range(200)]
+    got = mixing.mixed_documents(docs_of(rows), bucket_rows=10)
+    assert "rows" not in names
+    found, size, words = got.collect(), {}, {}
+    assert {tuple(r)[:4] for r in found} <= set(rows)
+    for _, t, _, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    for r in found:
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    for s, n in waterfill(size).items():
+        assert abs(words[s] - n) <= 6, s
+    assert mixing.mixed_documents(docs_of([*rows, rows[0]]), bucket_rows=10).count() > 0 and "rows" in names
